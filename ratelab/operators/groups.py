@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelab import constants as C
@@ -41,9 +41,9 @@ def gap_to_reference(df: DataFrame, outer: Sequence[str], group: str, speaker: s
     """
     means = speaker_means(df.where(F.col(value).isNotNull()), [*outer, group, speaker], value)
     stats = mean_and_error(means, [*outer, group], value)
-    base = stats.groupBy(*outer).agg(F.max(F.when(F.col(group) == reference, F.col("mean"))).alias("base"))
-    joined = attach(stats, base, outer) if outer else stats.crossJoin(F.broadcast(base))
-    return joined.select(*outer, group, "mean", "sem", "n", (F.col("mean") - F.col("base")).alias("gap"))
+    peers = Window.partitionBy(*outer) if outer else Window.partitionBy(F.lit(0))
+    base = F.max(F.when(F.col(group) == reference, F.col("mean"))).over(peers)
+    return stats.withColumn("gap", F.col("mean") - base)
 
 
 def zscores(df: DataFrame, keys: Sequence[str], value: str = "rating", out: str = "z") -> DataFrame:
@@ -68,17 +68,16 @@ def mean_zscores(df: DataFrame, z_keys: Sequence[str], cell_keys: Sequence[str],
         .agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("spread"))
         .where(F.col("n") > 0)
     )
-    group = fine.groupBy(*z_keys).agg(
-        F.sum("n").alias("group_n"),
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("group_mean"),
+    # Windows over the cell table, not the rows: a group has as many cells as it has subgroups.
+    peers = Window.partitionBy(*z_keys)
+    group_n = F.sum("n").over(peers)
+    centred = fine.withColumns(
+        {"group_n": group_n, "group_mean": F.sum(F.col("n") * F.col("mean")).over(peers) / group_n}
     )
-    centred = fine.join(group, list(z_keys))
     squares = F.col("n") * (F.col("spread") + (F.col("mean") - F.col("group_mean")) ** 2)
-    spread = centred.groupBy(*z_keys).agg(
-        F.sqrt(F.try_divide(F.sum(squares), F.max("group_n") - 1)).alias("group_sd")
-    )
+    group_sd = F.sqrt(F.try_divide(F.sum(squares).over(peers), F.col("group_n") - 1))
     z = F.try_divide(F.col("mean") - F.col("group_mean"), F.col("group_sd"))
-    scored = centred.join(spread, list(z_keys)).withColumn("z", z)
+    scored = centred.withColumn("group_sd", group_sd).withColumn("z", z)
     weight = F.when(F.col("z").isNotNull(), F.col("n"))
     return scored.groupBy(*cell_keys).agg(
         F.try_divide(F.sum(weight * F.col("z")), F.sum(weight)).alias("z"), F.sum("n").alias("n")
@@ -109,11 +108,11 @@ def percent_divergence(df: DataFrame, group: str, feature: str, value: str,
                        reference: str = C.REFERENCE_ACCENT) -> DataFrame:
     """Percent by which each other group's mean exceeds the reference group's, per feature."""
     means = group_means(df, [group, feature], value)
-    base = means.where(F.col(group) == reference).select(feature, F.col(value).alias("base"))
+    base = F.max(F.when(F.col(group) == reference, F.col(value))).over(Window.partitionBy(feature))
     return (
-        means.where(F.col(group) != reference)
-        .join(base, feature, "left")
-        .select(group, feature, value, percent_gap(F.col(value), F.col("base")).alias("gap_pct"))
+        means.withColumn("gap_pct", percent_gap(F.col(value), base))
+        .where(F.col(group) != reference)
+        .select(group, feature, value, "gap_pct")
     )
 
 
@@ -123,11 +122,27 @@ def wide_table(df: DataFrame, rows: Sequence[str], columns: str, value: str, lis
 
 
 def dense_grid(df: DataFrame, keys: Sequence[str], axes: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Every combination of the keys present and the listed axis values, null where df has no row."""
-    grid = df.select(*keys).distinct()
-    for name, values in axes.items():
-        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    return grid.join(df, [*keys, *axes], "left")
+    """Every combination of the keys present and the listed axis values, null where df has no row.
+
+    Expects one row per cell, so a key gathers at most as many cells as the lists combine to.
+    """
+    values = [c for c in df.columns if c not in keys and c not in axes]
+    listed = F.lit(True)
+    for name, members in axes.items():
+        listed = listed & F.col(name).isin(list(members))
+    cell = F.struct(*axes, *values)
+    grid = df.groupBy(*keys).agg(F.collect_list(F.when(listed, cell)).alias("cells"))
+    for name, members in axes.items():
+        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(m) for m in members])))
+
+    def here(c: Column) -> Column:
+        same = F.lit(True)
+        for name in axes:
+            same = same & (c[name] == F.col(name))
+        return same
+
+    found = grid.withColumn("cell", F.get(F.filter("cells", here), F.lit(0)))
+    return found.select(*keys, *axes, *[F.col("cell")[v].alias(v) for v in values])
 
 
 def value_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:

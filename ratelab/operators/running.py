@@ -24,7 +24,7 @@ def _sliced(df: DataFrame, keys: Sequence[str], by: str, big: DataFrame, limit:
     wanted = F.least(F.ceil(F.col("group_rows") / F.lit(limit)), F.lit(MAX_BOUNDS))
     stride = F.greatest(F.floor(F.col("group_rows") / (wanted * PROBES_PER_SLICE)), F.lit(1))
     probes = (
-        attach(df.select(*keys, by).where(F.col(by).isNotNull()), big, keys, "inner")
+        attach(df.select(*keys, by).where(F.col(by).isNotNull()), big, keys, "inner", settled=True)
         .where(F.pmod(F.xxhash64(by), stride) == 0)
         .groupBy(*keys, "group_rows")
         .agg(F.sort_array(F.collect_set(by)).alias("probe"))
@@ -52,7 +52,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         df = df.withColumn(name, value)
     if big is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({name: F.sum(name).over(w) for name in totals})
+        return df.withColumns({name: F.coalesce(F.sum(name).over(w), F.lit(0)) for name in totals})
     df = _sliced(df, keys, order[0], big, limit)
     per_slice = df.groupBy(*keys, "slice").agg(*[F.sum(n).alias(f"{n}_slice") for n in totals])
     earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,12 +77,24 @@ def _ranked_values(df: DataFrame, keys: Sequence[str], value: str, limit: int) -
     return running_totals(counts, keys, [value], {"upto": F.col("ties")}, limit)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, limit: int = GROUP_ROWS) -> DataFrame:
-    """Add the rank of a value within its group, ties sharing the mean of their ranks; null for null."""
-    ranks = _ranked_values(df, keys, value, limit).select(
-        *keys, value, (F.col("upto") - (F.col("ties") - 1) / 2).alias(out)
-    )
-    return df.join(ranks, [*keys, value], "left")
+def average_ranks(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str],
+                  limit: int = GROUP_ROWS) -> DataFrame:
+    """Add the rank of each named column within its group under the mapped name.
+
+    Ties share the mean of their ranks; a missing value has no rank.
+    """
+    if oversized_groups(df, keys, limit) is None:
+        for value, out in columns.items():
+            within = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+            ties = F.count(value).over(Window.partitionBy(*keys, value))
+            df = df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(within) + (ties - 1) / 2))
+        return df
+    for value, out in columns.items():
+        ranks = _ranked_values(df, keys, value, limit).select(
+            *keys, value, (F.col("upto") - (F.col("ties") - 1) / 2).alias(out)
+        )
+        df = df.join(ranks, [*keys, value], "left")
+    return df
 
 
 def group_medians(df: DataFrame, keys: Sequence[str], value: str, out: str, limit: int = GROUP_ROWS) -> DataFrame:

@@ -14,14 +14,14 @@ GROUP_ROWS = 2_000_000
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left",
-           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+           broadcast_rows: int = BROADCAST_ROWS, settled: bool = False) -> DataFrame:
     """Join a per-group table back onto its rows.
 
     The table is computed once and counted. Up to broadcast_rows it is broadcast, so the rows are not
     shuffled and a hot group stays spread over its scan tasks. A larger table takes part in an
     ordinary join, whose skewed partitions adaptive execution splits.
     """
-    table = settle(table)
+    table = table if settled else settle(table)
     if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
         table = F.broadcast(table)
     return rows.join(table, list(keys), how)

@@ -98,7 +98,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, limit: int = GR
 
     A missing value anywhere in a group, or a constant side, leaves its correlation undefined (null).
     """
-    ranked = average_ranks(average_ranks(df.select(*keys, x, y), keys, x, "rank_x", limit), keys, y, "rank_y", limit)
+    ranked = average_ranks(df.select(*keys, x, y), keys, {x: "rank_x", y: "rank_y"}, limit)
     rho = F.try_divide(
         F.covar_pop("rank_x", "rank_y"), F.stddev_pop("rank_x") * F.stddev_pop("rank_y")
     )
