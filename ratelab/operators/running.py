@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelab.operators.sizing import GROUP_ROWS, attach, oversized_groups
+from ratelab.session import settle
 
 PROBES_PER_SLICE = 32
 MAX_BOUNDS = 1024
@@ -67,14 +68,14 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     )
 
 
-def _ranked_values(df: DataFrame, keys: Sequence[str], value: str, limit: int) -> DataFrame:
-    """One row per distinct value of a group: its count (ties) and the count up to it (upto)."""
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("ties"))
-    )
-    return running_totals(counts, keys, [value], {"upto": F.col("ties")}, limit)
+def value_ties(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row per distinct value of a group with its count, ties; equal values combine before the shuffle."""
+    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
+
+
+def _ranked_values(ties: DataFrame, keys: Sequence[str], value: str, limit: int) -> DataFrame:
+    """Add to each distinct value the number of rows up to and including it, upto."""
+    return running_totals(ties.where(F.col(value).isNotNull()), keys, [value], {"upto": F.col("ties")}, limit)
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str],
@@ -90,7 +91,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str]
             df = df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(within) + (ties - 1) / 2))
         return df
     for value, out in columns.items():
-        ranks = _ranked_values(df, keys, value, limit).select(
+        ranks = _ranked_values(settle(value_ties(df, keys, value)), keys, value, limit).select(
             *keys, value, (F.col("upto") - (F.col("ties") - 1) / 2).alias(out)
         )
         df = df.join(ranks, [*keys, value], "left")
@@ -99,18 +100,14 @@ def average_ranks(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str]
 
 def group_medians(df: DataFrame, keys: Sequence[str], value: str, out: str, limit: int = GROUP_ROWS) -> DataFrame:
     """Exact median per group, the mean of the two middle values when the count is even."""
-    if oversized_groups(df, keys, limit) is None:
-        return df.groupBy(*keys).agg(F.median(value).alias(out))
-    ranked = _ranked_values(df, keys, value, limit)
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
-    middle = attach(ranked, sizes, keys, "inner")
-    low, high = F.ceil(F.col("n") / 2), F.floor(F.col("n") / 2) + 1
+    ties = settle(value_ties(df, keys, value))
+    sizes = ties.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(value).isNotNull(), F.col("ties"))), F.lit(0)).alias("n"))
+    ranked = attach(_ranked_values(ties, keys, value, limit), sizes, keys)
     first = F.col("upto") - F.col("ties") + 1
 
     def holds(rank: Column) -> Column:
-        return F.when(rank.between(first, F.col("upto")), F.col(value))
+        return F.max(F.when(rank.between(first, F.col("upto")), F.col(value)))
 
-    medians = middle.groupBy(*keys).agg(
-        ((F.max(holds(low)) + F.max(holds(high))) / 2).alias(out)
-    )
-    return sizes.select(*keys).join(medians, list(keys), "left") if keys else medians
+    low, high = F.ceil(F.col("n") / 2), F.floor(F.col("n") / 2) + 1
+    medians = ranked.groupBy(*keys).agg(((holds(low) + holds(high)) / 2).alias(out))
+    return sizes.select(*keys).join(medians, list(keys), "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ratelab import constants as C
 from ratelab.operators.running import GROUP_ROWS, average_ranks
+from ratelab.session import settle
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -98,7 +99,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, limit: int = GR
 
     A missing value anywhere in a group, or a constant side, leaves its correlation undefined (null).
     """
-    ranked = average_ranks(df.select(*keys, x, y), keys, {x: "rank_x", y: "rank_y"}, limit)
+    ranked = average_ranks(settle(df.select(*keys, x, y)), keys, {x: "rank_x", y: "rank_y"}, limit)
     rho = F.try_divide(
         F.covar_pop("rank_x", "rank_y"), F.stddev_pop("rank_x") * F.stddev_pop("rank_y")
     )

@@ -73,12 +73,12 @@ def presentation_gap(df: DataFrame) -> DataFrame:
     return gap.select("model_label", strip_piece(F.col("prompt_style"), "_v2").alias("prompt_type"), "gap")
 
 
-def test_rows(df: DataFrame) -> DataFrame:
+def language_test_rows(df: DataFrame) -> DataFrame:
     return rated_rows(df)
 
 
 def language_test_gap(df: DataFrame) -> DataFrame:
-    rows = test_rows(df.where(F.col("script_type") == "delivery"))
+    rows = language_test_rows(df.where(F.col("script_type") == "delivery"))
     return framing_gap(rows, ["model_label", "prompt_style"], style="prompt_style").withColumnRenamed(
         "prompt_style", "prompt_type"
     )

@@ -13,6 +13,7 @@ from ratelab.functions.text import normalize_tokens, remove_fillers
 from ratelab.functions.words import word_error_rate
 from ratelab.operators.groups import gap_to_reference, group_means, mean_and_error, with_keys
 from ratelab.operators.running import GROUP_ROWS, group_medians
+from ratelab.session import settle
 
 
 def score_transcripts(transcripts: DataFrame, scripts: DataFrame, reference: str = "script",
@@ -52,9 +53,15 @@ def median_by_group(df: DataFrame, group: Sequence[str] = ("accent",), wer: str
 def rate_table(df: DataFrame, groups: Sequence[str], outer: Sequence[str] = ("model",), group: str = "accent",
                speaker: str = "speaker_id", wer: str = "wer", limit: int = GROUP_ROWS) -> DataFrame:
     """Median of speaker means in percent, one column per group and Overall, which weighs speakers, not groups."""
-    rows = valid_rates(df, wer)
-    cells = group_medians(group_means(rows, [*outer, group, speaker], wer), [*outer, group], wer, "median")
-    overall = group_medians(group_means(rows, [*outer, speaker], wer), outer, wer, "Overall", limit)
+    parts = settle(
+        with_keys(valid_rates(df, wer), [*outer, speaker])
+        .groupBy(*outer, group, speaker)
+        .agg(F.sum(wer).alias("total"), F.count(wer).alias("n"))
+    )
+    mean = F.col("total") / F.col("n")
+    cells = group_medians(with_keys(parts, [group]).withColumn(wer, mean), [*outer, group], wer, "median", limit)
+    whole = parts.groupBy(*outer, speaker).agg((F.sum("total") / F.sum("n")).alias(wer))
+    overall = group_medians(whole, outer, wer, "Overall", limit)
     wide = (
         cells.where(F.col(group).isin(list(groups)))
         .groupBy(*outer)

@@ -1,0 +1,6 @@
+"""The query registry."""
+
+from ratelab.queries import text  # noqa: F401  (registers)
+from ratelab.queries.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
