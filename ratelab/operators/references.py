@@ -64,19 +64,18 @@ def reference_pool(tokens: DataFrame, keys: Sequence[str], speaker: str = "speak
     )
 
 
-def _cell_sums(keys: list[str], target: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
+def _cell_sums(keys: list[str], cell: pd.DataFrame) -> pd.DataFrame:
     """Sum and number of defined alignment costs per target of one cell."""
+    target, ref = cell[~cell["pooled"]], cell[cell["pooled"]]
+    out = target[[*keys, "speaker_id", "accent"]].copy()
     if target.empty or ref.empty:
-        return pd.DataFrame({c: [] for c in [*keys, "speaker_id", "accent", "cost", "n"]})
+        return out.assign(cost=0.0, n=0)
     cost = dtw_block(
         [np.asarray(v, np.float32).reshape(n, -1) for v, n in zip(target["values"], target["frames"])],
         [np.asarray(v, np.float32).reshape(n, -1) for v, n in zip(ref["values"], ref["frames"])],
     )
     cost[target["speaker_id"].to_numpy()[:, None] == ref["speaker_id"].to_numpy()[None, :]] = np.nan
-    out = target[[*keys, "speaker_id", "accent"]].copy()
-    out["cost"] = np.nansum(cost, axis=1)
-    out["n"] = np.isfinite(cost).sum(axis=1)
-    return out
+    return out.assign(cost=np.nansum(cost, axis=1), n=np.isfinite(cost).sum(axis=1))
 
 
 def left_out_distances(tokens: DataFrame, keys: Sequence[str] = ("word",), reference: str = C.REFERENCE_ACCENT,
@@ -105,14 +104,16 @@ def left_out_distances(tokens: DataFrame, keys: Sequence[str] = ("word",), refer
         F.size("emb").alias("frames"), F.flatten("emb").alias("values"),
     )
 
-    def side(df: DataFrame, own: str, other: str, own_cell: str, other_cell: str) -> DataFrame:
-        return df.withColumn(own_cell, F.pmod(F.xxhash64("speaker_id", F.lit(own)), F.col(own)).cast("int")).withColumn(
-            other_cell, F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        ).select(*keys, "row", "col", "speaker_id", "accent", "frames", "values")
+    def side(df: DataFrame, pooled: bool, own: str, other: str, own_cell: str, other_cell: str) -> DataFrame:
+        place = F.pmod(F.xxhash64("speaker_id", F.lit(own)), F.col(own)).cast("int")
+        return (
+            df.withColumn(own_cell, place)
+            .withColumn(other_cell, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            .select(*keys, "row", "col", F.lit(pooled).alias("pooled"), "speaker_id", "accent", "frames", "values")
+        )
 
-    targets = side(flat, "rows", "cols", "row", "col")
-    pool = side(flat.where(is_ref), "cols", "rows", "col", "row")
-    cell = [*keys, "row", "col"]
+    targets = side(flat, False, "rows", "cols", "row", "col")
+    pool = side(flat.where(is_ref), True, "cols", "rows", "col", "row")
     schema = T.StructType(
         [tokens.schema[k] for k in keys]
         + [T.StructField("speaker_id", tokens.schema["speaker_id"].dataType),
@@ -120,10 +121,10 @@ def left_out_distances(tokens: DataFrame, keys: Sequence[str] = ("word",), refer
            T.StructField("cost", T.DoubleType()), T.StructField("n", T.LongType())]
     )
 
-    def sums(target: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
-        return _cell_sums(keys, target, ref)
+    def sums(cell: pd.DataFrame) -> pd.DataFrame:
+        return _cell_sums(keys, cell)
 
-    partial = targets.groupBy(*cell).cogroup(pool.groupBy(*cell)).applyInPandas(sums, schema)
+    partial = targets.unionByName(pool).groupBy(*keys, "row", "col").applyInPandas(sums, schema)
     return (
         partial.groupBy(*keys, "speaker_id", "accent")
         .agg(F.sum("cost").alias("cost"), F.sum("n").alias("n_ref"))

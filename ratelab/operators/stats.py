@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratelab import constants as C
 from ratelab.operators.running import GROUP_ROWS, average_ranks
@@ -76,7 +77,7 @@ def student_quantile(level: float, df: np.ndarray) -> np.ndarray:
     return (low + high) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     ok = t.notna() & (df > 0)
     out = pd.Series(np.nan, index=t.index, dtype=float)
@@ -85,7 +86,7 @@ def _two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return out.astype(object).where(out.notna(), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _quantile(df: pd.Series) -> pd.Series:
     ok = df.notna() & (df > 0)
     out = pd.Series(np.nan, index=df.index, dtype=float)
