@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ratelab import constants as C
 
-# The rating pattern, the reasoning tags and the word delimiters.
+# The rating pattern, the reasoning tags, and what a spoken word loses.
 LABELLED_RATING = r"(?i)rating\"?\s*[:=]\s*([0-9])"
 THINK_BODY = r"(?s)<think>(.*?)</think>"
 THINK_END = "</think>"
-WORD_BREAKS = "[-–—]"
+WORD_NOISE = r"(?s)[-–—].*|[^a-zA-Z']"
 # End of fixed values.
 
 
@@ -60,8 +60,7 @@ def script_words(c: Column) -> Column:
 
 def normalize_word(c: Column) -> Column:
     """The part of a spoken word before the first hyphen or dash, letters and apostrophes only."""
-    head = F.element_at(F.split(c, WORD_BREAKS, 2), 1)
-    return F.lower(F.regexp_replace(head, "[^a-zA-Z']", ""))
+    return F.lower(F.regexp_replace(c, WORD_NOISE, ""))
 
 
 def answer_text(c: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ratelab import constants as C
 from ratelab.functions.align import dtw_block
 from ratelab.functions.numeric import normalized_distance
-from ratelab.operators.sizing import attach
+from ratelab.operators.sizing import attach, fan_out
 
 TARGETS_PER_CELL = 128
 REFERENCES_PER_CELL = 128
@@ -124,7 +124,8 @@ def left_out_distances(tokens: DataFrame, keys: Sequence[str] = ("word",), refer
     def sums(cell: pd.DataFrame) -> pd.DataFrame:
         return _cell_sums(keys, cell)
 
-    partial = targets.unionByName(pool).groupBy(*keys, "row", "col").applyInPandas(sums, schema)
+    cell = [*keys, "row", "col"]
+    partial = fan_out(targets.unionByName(pool), *cell).groupBy(*cell).applyInPandas(sums, schema)
     return (
         partial.groupBy(*keys, "speaker_id", "accent")
         .agg(F.sum("cost").alias("cost"), F.sum("n").alias("n_ref"))

@@ -32,3 +32,18 @@ def oversized_groups(df: DataFrame, keys: Sequence[str], limit: int = GROUP_ROWS
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows")).where(F.col("group_rows") > limit)
     sizes = settle(sizes)
     return None if sizes.isEmpty() else sizes
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by keys into all shuffle partitions, for costly work per row or group downstream.
+
+    The shuffle is the one the following join or grouping on the same keys needs anyway; the stated
+    number only keeps adaptive execution from merging partitions that are small in bytes but not in work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def fill_cores(scan: DataFrame) -> DataFrame:
+    """Spread the rows of a scan that has fewer tasks than there are cores; larger scans stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -33,12 +33,16 @@ def clean_timestamps(chunks: DataFrame, vocabulary: DataFrame, keys: Sequence[st
     `chunks` holds one row per speaker with an array of {text, start, end}; `vocabulary` one row per
     (keys, word). Words without letters, without times or outside the script are dropped.
     """
+    # The outer form of explode, a null instead of a filter on the vocabulary, and a word that is never
+    # null keep the engine from
+    # adding derived filters that would build the chunks and normalize the words a second time.
     words = (
-        chunks.withColumn("chunk", F.explode("chunks"))
-        .withColumn("word", normalize_word(F.col("chunk.text")))
-        .where((F.col("word") != "") & F.col("chunk.start").isNotNull() & F.col("chunk.end").isNotNull())
+        chunks.withColumn("chunk", F.explode_outer("chunks"))
+        .where(F.col("chunk.start").isNotNull() & F.col("chunk.end").isNotNull())
+        .withColumn("word", F.coalesce(normalize_word(F.col("chunk.text")), F.lit("")))
     )
-    kept = attach(words, vocabulary.select(*keys, "word"), [*keys, "word"], "left_semi")
+    vocabulary = vocabulary.select(*keys, F.nullif("word", F.lit("")).alias("word"))
+    kept = attach(words, vocabulary, [*keys, "word"], "left_semi")
     return kept.select(
         *keys, "speaker_id", "word", F.round("chunk.start", 3).alias("start"), F.round("chunk.end", 3).alias("end")
     )

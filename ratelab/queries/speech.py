@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ratelab.functions import align, signal
 from ratelab.functions.numeric import normalized_distance
 from ratelab.operators import quality, references
-from ratelab.operators.sizing import attach
+from ratelab.operators.sizing import attach, fan_out
 from ratelab.plans import distances as D
 from ratelab.queries.groups import rounded
 from ratelab.queries.registry import Tables, query
@@ -112,7 +112,7 @@ def dtw_pairs(t: Tables) -> DataFrame:
     """Alignment of each vector with the next one, by the column expression."""
     mine = t("embeddings").select("vec_id", frames().alias("a"))
     following = t("embeddings").select((F.col("vec_id") - 1).alias("vec_id"), frames().alias("b"))
-    pairs = mine.join(following, "vec_id")
+    pairs = fan_out(mine, "vec_id").join(fan_out(following, "vec_id"), "vec_id")
     return pairs.select(
         "vec_id", F.round(align.dtw_distance(F.col("a"), F.col("b")), 6).alias("distance"),
         F.round(align.cosine_costs(F.col("a"), F.col("b"))[0][0], 6).alias("first_cost"),

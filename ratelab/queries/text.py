@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ratelab.functions import text as X
 from ratelab.functions.words import text_error_rate
 from ratelab.operators.groups import with_keys
-from ratelab.operators.sizing import attach
+from ratelab.operators.sizing import fan_out, fill_cores
+from ratelab.operators.vocabulary import inside, outside
 from ratelab.plans import transcripts as P
 from ratelab.queries.registry import Tables, query
 
@@ -45,7 +46,7 @@ def turn_pairs(t: Tables) -> DataFrame:
     hyp = t("conversations").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("reply_role"), F.col("text").alias("reply")
     )
-    return ref.join(hyp, ["conv_id", "turn"])
+    return fan_out(ref, "conv_id", "turn").join(fan_out(hyp, "conv_id", "turn"), ["conv_id", "turn"])
 
 
 def turn_rates(t: Tables) -> DataFrame:
@@ -154,7 +155,7 @@ def transcript_scores(t: Tables) -> DataFrame:
     scripts = t("conversations").select(key.alias("category"), F.col("text").alias("script"))
     raw = F.when(F.col("role") == "system", "FAILED").otherwise(F.col("text"))
     replies = t("conversations").select((key - 1).alias("category"), raw.alias("raw_transcription"))
-    scored = P.score_transcripts(replies, scripts)
+    scored = P.score_transcripts(fan_out(replies, "category"), fan_out(scripts, "category"))
     return scored.withColumn("failed", F.col("status") == "failed").drop("raw_transcription", "status")
 
 
@@ -211,10 +212,18 @@ def wer_vs_gap(t: Tables) -> DataFrame:
 
 
 def document_words(t: Tables) -> DataFrame:
-    """Spoken-word form of every word of every document with its count, one row per language and word."""
-    words = t("documents").select("lang", F.explode(F.split("text", r"\s+")).alias("raw"))
-    words = words.select("lang", X.normalize_word(F.col("raw")).alias("word")).where(F.col("word") != "")
-    return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    """Spoken-word form of every word of every document with its count, one row per language and word.
+
+    Counting the raw words first leaves far fewer strings to normalize and to shuffle.
+    """
+    documents = fill_cores(t("documents").select("lang", "text"))
+    words = documents.select("lang", F.explode_outer(F.split("text", r"\s+")).alias("raw"))
+    counts = words.groupBy("lang", "raw").agg(F.count(F.lit(1)).alias("n"))
+    # A word that is never null, and a condition that involves the count, keep filters on the word above
+    # the counting; pushed below it they would normalize every occurrence.
+    word = F.coalesce(X.normalize_word(F.col("raw")), F.lit(""))
+    spoken = counts.select("lang", word.alias("word"), "n")
+    return spoken.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.length("word") * F.col("n") > 0)
 
 
 def benchmark_vocabulary(t: Tables) -> DataFrame:
@@ -232,12 +241,12 @@ vocabulary AS (SELECT DISTINCT unnest(string_split(lower(regexp_replace(
 
 @query("vocab_semi_join", VOCABULARY + "SELECT lang, word, n FROM counts WHERE word IN (SELECT word FROM vocabulary)")
 def vocab_semi_join(t: Tables) -> DataFrame:
-    return attach(document_words(t), benchmark_vocabulary(t), ["word"], "left_semi").select("lang", "word", "n")
+    return inside(document_words(t), benchmark_vocabulary(t)).select("lang", "word", "n")
 
 
 @query("vocab_anti_join", VOCABULARY + "SELECT lang, word, n FROM counts WHERE word NOT IN (SELECT word FROM vocabulary)")
 def vocab_anti_join(t: Tables) -> DataFrame:
-    return attach(document_words(t), benchmark_vocabulary(t), ["word"], "left_anti").select("lang", "word", "n")
+    return outside(document_words(t), benchmark_vocabulary(t)).select("lang", "word", "n")
 
 
 @query("think_split", rf"""
@@ -369,7 +378,8 @@ def clean_timestamps(t: Tables) -> DataFrame:
             w.alias("text"), (i * 0.4).alias("start"), F.when(i % 11 != 10, i * 0.4 + 0.3).alias("end")
         ),
     )
-    chunks = t("documents").select(F.col("doc_id").alias("speaker_id"), chunk.alias("chunks"))
+    documents = fill_cores(t("documents").select("doc_id", "text"))
+    chunks = documents.select(F.col("doc_id").alias("speaker_id"), chunk.alias("chunks"))
     kept = clean(chunks, benchmark_vocabulary(t))
     return with_keys(kept, ["speaker_id"]).groupBy("speaker_id").agg(
         F.count(F.lit(1)).alias("n_words"), F.countDistinct("word").alias("n_distinct"),
