@@ -105,9 +105,17 @@ def baseline_gap(cells: DataFrame, keys: Sequence[str], group: str,
 
 
 def percent_divergence(df: DataFrame, group: str, feature: str, value: str,
-                       reference: str = C.REFERENCE_ACCENT) -> DataFrame:
-    """Percent by which each other group's mean exceeds the reference group's, per feature."""
-    means = group_means(df, [group, feature], value)
+                       reference: str = C.REFERENCE_ACCENT, weight: str | None = None) -> DataFrame:
+    """Percent by which each other group's mean exceeds the reference group's, per feature.
+
+    With a weight the rows are means already (of a word, say) and count as that many rows.
+    """
+    if weight is None:
+        means = group_means(df, [group, feature], value)
+    else:
+        w = F.when(F.col(value).isNotNull(), F.col(weight))
+        mean = F.try_divide(F.sum(F.col(value) * w), F.sum(w)).alias(value)
+        means = with_keys(df, [group, feature]).groupBy(group, feature).agg(mean)
     base = F.max(F.when(F.col(group) == reference, F.col(value))).over(Window.partitionBy(feature))
     return (
         means.withColumn("gap_pct", percent_gap(F.col(value), base))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,7 @@ from ratelab import constants as C
 from ratelab.functions.align import dtw_block
 from ratelab.functions.numeric import normalized_distance
 from ratelab.operators.sizing import attach, fan_out
+from ratelab.session import settle
 
 TARGETS_PER_CELL = 128
 REFERENCES_PER_CELL = 128
@@ -78,42 +79,51 @@ def _cell_sums(keys: list[str], cell: pd.DataFrame) -> pd.DataFrame:
     return out.assign(cost=np.nansum(cost, axis=1), n=np.isfinite(cost).sum(axis=1))
 
 
+def _cell_grid(census: DataFrame, keys: Sequence[str], is_ref: Column, targets_per_cell: int,
+               references_per_cell: int) -> DataFrame:
+    """Rows and columns of cells per key, from token counts. Counts only steer balance."""
+    counts = census.groupBy(*keys).agg(F.count(F.lit(1)).alias("targets"), F.count(F.when(is_ref, 1)).alias("pool"))
+    return counts.where(F.col("pool") > 0).select(
+        *keys,
+        F.ceil(F.col("targets") / targets_per_cell).cast("int").alias("rows"),
+        F.ceil(F.col("pool") / references_per_cell).cast("int").alias("cols"),
+    )
+
+
 def left_out_distances(tokens: DataFrame, keys: Sequence[str] = ("word",), reference: str = C.REFERENCE_ACCENT,
-                       targets_per_cell: int = TARGETS_PER_CELL,
-                       references_per_cell: int = REFERENCES_PER_CELL) -> DataFrame:
+                       targets_per_cell: int = TARGETS_PER_CELL, references_per_cell: int = REFERENCES_PER_CELL,
+                       census: DataFrame | None = None, census_keys: Sequence[str] | None = None) -> DataFrame:
     """Mean alignment cost of every token to the reference pool of its word, and the pool size.
 
     Expects one row per key and speaker_id with accent and emb (frames of floats). Words without a
-    reference, and tokens whose pool is empty, give no row.
+    reference, and tokens whose pool is empty, give no row. A census is a lighter table of the same
+    tokens, keyed by some of the keys, to count instead of the tokens themselves.
     """
     keys = list(keys)
-    tokens = tokens.where(F.size("emb") > 0)
     is_ref = F.col("accent") == reference
-    grid = (
-        tokens.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_target"), F.count(F.when(is_ref, 1)).alias("n_pool"))
-        .where(F.col("n_pool") > 0)
+    grid_keys = list(census_keys or keys)
+    grid = _cell_grid(tokens if census is None else census, grid_keys, is_ref, targets_per_cell, references_per_cell)
+
+    def place(side: str) -> Column:
+        return F.pmod(F.xxhash64("speaker_id", F.lit(side)), F.col(side)).cast("int")
+
+    def cell(row: Column, col: Column, pooled: bool) -> Column:
+        return F.struct(row.alias("row"), col.alias("col"), F.lit(pooled).alias("pooled"))
+
+    # A token goes to every cell of its own row of the grid as target and, if it is a reference, to
+    # every cell of its own column as reference.
+    as_target = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda c: cell(F.col("own_row"), c, False))
+    as_pool = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: cell(r, F.col("own_col"), True))
+    placed = (
+        attach(tokens.where(F.size("emb") > 0), grid, grid_keys, "inner")
+        .withColumn("own_row", place("rows"))
+        .withColumn("own_col", place("cols"))
         .select(
-            *keys,
-            F.ceil(F.col("n_target") / targets_per_cell).cast("int").alias("rows"),
-            F.ceil(F.col("n_pool") / references_per_cell).cast("int").alias("cols"),
+            *keys, "speaker_id", "accent", F.size("emb").alias("frames"), F.flatten("emb").alias("values"),
+            F.explode_outer(F.when(is_ref, F.concat(as_target, as_pool)).otherwise(as_target)).alias("cell"),
         )
+        .select(*keys, "cell.*", "speaker_id", "accent", "frames", "values")
     )
-    flat = attach(tokens, grid, keys, "inner").select(
-        *keys, "speaker_id", "accent", "rows", "cols",
-        F.size("emb").alias("frames"), F.flatten("emb").alias("values"),
-    )
-
-    def side(df: DataFrame, pooled: bool, own: str, other: str, own_cell: str, other_cell: str) -> DataFrame:
-        place = F.pmod(F.xxhash64("speaker_id", F.lit(own)), F.col(own)).cast("int")
-        return (
-            df.withColumn(own_cell, place)
-            .withColumn(other_cell, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .select(*keys, "row", "col", F.lit(pooled).alias("pooled"), "speaker_id", "accent", "frames", "values")
-        )
-
-    targets = side(flat, False, "rows", "cols", "row", "col")
-    pool = side(flat.where(is_ref), True, "cols", "rows", "col", "row")
     schema = T.StructType(
         [tokens.schema[k] for k in keys]
         + [T.StructField("speaker_id", tokens.schema["speaker_id"].dataType),
@@ -121,11 +131,11 @@ def left_out_distances(tokens: DataFrame, keys: Sequence[str] = ("word",), refer
            T.StructField("cost", T.DoubleType()), T.StructField("n", T.LongType())]
     )
 
-    def sums(cell: pd.DataFrame) -> pd.DataFrame:
-        return _cell_sums(keys, cell)
+    def sums(one_cell: pd.DataFrame) -> pd.DataFrame:
+        return _cell_sums(keys, one_cell)
 
-    cell = [*keys, "row", "col"]
-    partial = fan_out(targets.unionByName(pool), *cell).groupBy(*cell).applyInPandas(sums, schema)
+    cell_keys = [*keys, "row", "col"]
+    partial = fan_out(placed, *cell_keys).groupBy(*cell_keys).applyInPandas(sums, schema)
     return (
         partial.groupBy(*keys, "speaker_id", "accent")
         .agg(F.sum("cost").alias("cost"), F.sum("n").alias("n_ref"))
@@ -142,16 +152,17 @@ def word_distances(words: DataFrame, frames: DataFrame, keys: Sequence[str] = ("
     `words` holds one row per keys and speaker_id (the first occurrence) with accent and dur; `frames`
     holds the embeddings of the same tokens, further keyed by frame_keys (layer, say).
     """
+    words = settle(words)
     frame_keys = list(frame_keys or keys)
-    ref_dur = reference_durations(words, keys, reference)
+    token_keys = [*keys, "speaker_id"]
     if "n_samples" in frames.columns:
         frames = frames.where(F.col("n_samples") >= C.MIN_SEGMENT_SAMPLES)
-    token_keys = [*keys, "speaker_id"]
-    tokens = words.select(*token_keys, "accent", "dur").join(frames.select(*token_keys, *[k for k in frame_keys if k not in keys], "emb"), token_keys)
-    dist = left_out_distances(tokens.drop("dur"), frame_keys, reference, **cells)
+    embedded = frames.select(*token_keys, *[k for k in frame_keys if k not in keys], "emb")
+    tokens = words.select(*token_keys, "accent").join(embedded, token_keys)
+    dist = left_out_distances(tokens, frame_keys, reference, census=words, census_keys=keys, **cells)
     timed = dist.join(words.select(*token_keys, F.col("dur").alias("speaker_dur")), token_keys)
     norm = normalized_distance(F.col("distance"), F.col("speaker_dur"), F.col("am_dur"))
-    return attach(timed, ref_dur, keys).select(
+    return attach(timed, reference_durations(words, keys, reference), keys).select(
         *frame_keys, "speaker_id", "accent", "distance", "n_ref",
         F.round("speaker_dur", 5).alias("speaker_dur"), F.round("am_dur", 5).alias("am_dur"),
         F.round(norm, 7).alias("norm_dist"),

@@ -12,17 +12,19 @@ from pyspark.sql import types as T
 from ratelab import constants as C
 from ratelab.functions.text import flatten_breaks, is_valid_output, reply_status
 from ratelab.operators.picks import best_per_key, first_per_key
+from ratelab.operators.sizing import attach
 
 
 def pair_with_prompts(clips: DataFrame, prompts: DataFrame, on: str = "category") -> DataFrame:
     """Every clip with every prompt of its category.
 
     Columns on both sides take the prompt's value; the clip's own are kept with the prefix clip_.
+    Prompts are counted and, while few, broadcast, so a category with most clips needs no shuffle.
     """
     shared = [c for c in clips.columns if c in prompts.columns and c != on]
     for c in shared:
         clips = clips.withColumnRenamed(c, f"clip_{c}")
-    return clips.join(prompts, on)
+    return attach(clips, prompts, [on], "inner")
 
 
 def without_prompts(clips: DataFrame, prompts: DataFrame, on: str = "category") -> DataFrame:
@@ -39,8 +41,8 @@ def finished(results: DataFrame, keys: Sequence[str], output: str = "model_outpu
 def pending(work: DataFrame, results: DataFrame, keys: Sequence[str], output: str = "model_output",
             error_prefix: str | None = C.ERROR_PREFIX) -> DataFrame:
     """Work whose key has no valid result yet; failed keys come back."""
-    valid = results.where(is_valid_output(F.col(output), error_prefix)).select(*keys)
-    return work.join(valid, list(keys), "left_anti")
+    # Distinct keys: a key with very many results shrinks to one row before the join, on the join's own shuffle.
+    return work.join(finished(results, keys, output, error_prefix), list(keys), "left_anti")
 
 
 def corpus_work(recordings: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -52,11 +54,11 @@ def corpus_work(recordings: DataFrame, prompts: DataFrame) -> DataFrame:
 
 
 def existing_inputs(work: DataFrame, files: DataFrame, on: str) -> DataFrame:
-    return work.join(files.select(on), on, "left_semi")
+    return work.join(files.select(on).distinct(), on, "left_semi")
 
 
 def missing_inputs(work: DataFrame, files: DataFrame, on: str) -> DataFrame:
-    return work.join(files.select(on), on, "left_anti")
+    return work.join(files.select(on).distinct(), on, "left_anti")
 
 
 def progress(manifest: DataFrame, results: DataFrame, keys: Sequence[str], output: str = "model_output",
@@ -77,7 +79,8 @@ def score_pending(work: DataFrame, score: Callable[[dict], str | None], columns:
     The function gets the named columns of a row and returns text; an exception, an empty reply, a
     rate-limit or an error reply is a failed attempt. After the last attempt the row is kept with the
     failure word, or dropped. Adds the output and a status. Waiting between attempts is left to the
-    function. The call is opaque to the optimizer, so finished work must be removed before.
+    function. The call is opaque to the optimizer, so finished work must be removed before, and the
+    result should be written (append_results) or settled before it is read twice.
     """
     schema = T.StructType(list(work.schema.fields) + [T.StructField("reply", T.StringType())])
     markers = list(C.RATE_LIMIT_MARKERS)

@@ -9,6 +9,7 @@ from ratelab import constants as C
 from ratelab.operators import picks
 from ratelab.operators import worklist as W
 from ratelab.queries.registry import Tables, query
+from ratelab.session import settle
 from ratelab.sources import readers
 
 
@@ -102,7 +103,7 @@ def batch_score_rerun(t: Tables) -> DataFrame:
         return f"\nRating: {len(row['text']) % 7 + 1}\r\n"
 
     columns = ["n_chars", "text"]
-    first = W.score_pending(work, flaky, columns).withColumn("run", F.lit(1))
+    first = settle(W.score_pending(work, flaky, columns).withColumn("run", F.lit(1)))
     again = W.pending(work, first, ["doc_id"])
     second = W.score_pending(again, steady, columns).withColumn("run", F.lit(2))
     return first.unionByName(second).select("doc_id", "run", "model_output", "status")

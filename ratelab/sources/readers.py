@@ -13,20 +13,24 @@ from ratelab import schemas
 from ratelab.operators.worklist import read_short_list
 
 
-def read_table(spark: SparkSession, path: str | list[str], schema: T.StructType, sep: str = ",") -> DataFrame:
+def read_table(spark: SparkSession, path: str | list[str], schema: T.StructType, sep: str = ",",
+               line_breaks: bool = True) -> DataFrame:
     """A header CSV. Quotes are doubled and fields may hold line breaks; columns go by position.
 
-    The text NA, which the analysis takes as missing, becomes null along with empty fields.
+    The text NA, which the analysis takes as missing, becomes null along with empty fields. A file
+    whose fields may hold line breaks is read by one task; say line_breaks=False for large files
+    without them, which are then split. Result tables that grow are kept as Parquet.
     """
-    df = spark.read.csv(path, schema=schema, header=True, sep=sep, multiLine=True, quote='"', escape='"')
+    df = spark.read.csv(path, schema=schema, header=True, sep=sep, multiLine=line_breaks, quote='"', escape='"')
     texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
     return df.withColumns({n: F.nullif(F.col(f"`{n}`"), F.lit("NA")) for n in texts}) if texts else df
 
 
-def read_result_table(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+def read_result_table(spark: SparkSession, path: str | list[str], schema: T.StructType,
+                      line_breaks: bool = True) -> DataFrame:
     """A result table without the repeated copies of columns its header names twice."""
     copies = [n for n in schema.names if n.endswith("_1")]
-    return read_table(spark, path, schema).drop(*copies)
+    return read_table(spark, path, schema, line_breaks=line_breaks).drop(*copies)
 
 
 def stack(frames: Iterable[DataFrame]) -> DataFrame:
@@ -103,7 +107,7 @@ def existing_paths(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str]
 
 
 def read_family(spark: SparkSession, paths: Sequence[str] | str, schema: T.StructType, pattern: str,
-                dimensions: Sequence[str]) -> tuple[DataFrame, list[str]]:
+                dimensions: Sequence[str], line_breaks: bool = True) -> tuple[DataFrame, list[str]]:
     """Result files whose names encode dimensions, stacked with those dimensions as columns.
 
     The pattern has one group per dimension and is matched against the file name. All files are read
@@ -119,7 +123,7 @@ def read_family(spark: SparkSession, paths: Sequence[str] | str, schema: T.Struc
             + [T.StructField(d, T.StringType()) for d in dimensions])), missing
     name = F.url_decode(F.col("_metadata.file_name"))
     tags = {d: F.regexp_extract(name, pattern, i + 1) for i, d in enumerate(dimensions)}
-    return read_result_table(spark, found, schema).withColumns(tags), missing
+    return read_result_table(spark, found, schema, line_breaks).withColumns(tags), missing
 
 
 def read_family_parquet(spark: SparkSession, glob: str, columns: Sequence[str], pattern: str,

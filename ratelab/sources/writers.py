@@ -27,10 +27,10 @@ def overwrite_table(df: DataFrame, path: str, columns: Sequence[str]) -> None:
 
 
 def write_timestamps(df: DataFrame, path: str) -> None:
-    """Timestamps in one folder per speaker, in time order within each file."""
+    """Timestamps in one folder per speaker, in time order; a speaker with very many words gets several files."""
     (
         df.select("speaker_id", "word", "start", "end")
-        .repartition("speaker_id")
+        .repartitionByRange("speaker_id", "start")
         .sortWithinPartitions("speaker_id", "start", "end")
         .write.mode("append")
         .partitionBy("speaker_id")
