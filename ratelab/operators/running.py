@@ -18,6 +18,7 @@ from ratelab.session import settle
 
 PROBES_PER_SLICE = 32
 MAX_BOUNDS = 1024
+BLOCK = 32  # bounds are searched block by block: at most 32 + 32 comparisons instead of 1024
 
 
 def _sliced(df: DataFrame, keys: Sequence[str], by: str, big: DataFrame, limit: int) -> DataFrame:
@@ -33,12 +34,18 @@ def _sliced(df: DataFrame, keys: Sequence[str], by: str, big: DataFrame, limit:
     every = F.greatest(F.floor(F.size("probe") / wanted), F.lit(1))
     bounds = probes.select(
         *keys, F.filter("probe", lambda _, i: F.pmod(i + 1, every.cast("int")) == 0).alias("bounds")
-    )
-    below = F.size(F.filter("bounds", lambda b: b < F.col(by)))
+    ).withColumn("block_ends", F.filter("bounds", lambda _, i: F.pmod(i + 1, F.lit(BLOCK)) == 0))
+
+    def below(array: Column) -> Column:
+        return F.size(F.filter(array, lambda b: b < F.col(by)))
+
+    place = F.col("full") * BLOCK + below(F.slice("bounds", F.col("full") * BLOCK + 1, BLOCK))
+    unsliced = F.col("bounds").isNull() | F.col(by).isNull()
     return (
         attach(df, bounds, keys)
-        .withColumn("slice", F.when(F.col("bounds").isNull() | F.col(by).isNull(), 0).otherwise(below))
-        .drop("bounds")
+        .withColumn("full", F.when(~unsliced, below(F.col("block_ends"))))
+        .withColumn("slice", F.when(unsliced, 0).otherwise(place))
+        .drop("bounds", "block_ends", "full")
     )
 
 

@@ -70,7 +70,7 @@ def student_quantile(level: float, df: np.ndarray) -> np.ndarray:
     df = np.asarray(df, float)
     low, high = np.zeros_like(df), np.full_like(df, 1e10)
     target = 2.0 * (1.0 - level)
-    for _ in range(200):
+    for _ in range(90):
         mid = (low + high) / 2
         above = student_tail(mid, df) > target
         low, high = np.where(above, mid, low), np.where(above, high, mid)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratelab import constants as C
-from ratelab.functions.text import flatten_breaks, is_valid_output, reply_status
+from ratelab.functions.text import corpus_path, flatten_breaks, is_valid_output, reply_status
 from ratelab.operators.picks import best_per_key, first_per_key
 from ratelab.operators.sizing import attach
 
@@ -53,6 +53,17 @@ def corpus_work(recordings: DataFrame, prompts: DataFrame) -> DataFrame:
     return recordings.join(names, "category").join(prompts, "prompt_category").drop("prompt_category")
 
 
+def corpus_metadata(recordings: DataFrame) -> DataFrame:
+    """The fixed metadata columns, empty where a recording lacks them, with the composed file path."""
+    present = set(recordings.columns)
+    columns = {
+        n: F.coalesce(F.col(n).cast("string"), F.lit("")) if n in present else F.lit("") for n in C.METADATA_COLUMNS
+    }
+    speaker = columns["speaker_name_from_file"]
+    columns["file_path"] = corpus_path(F.col("category"), speaker)
+    return recordings.select(*[c.alias(n) for n, c in columns.items()])
+
+
 def existing_inputs(work: DataFrame, files: DataFrame, on: str) -> DataFrame:
     return work.join(files.select(on).distinct(), on, "left_semi")
 

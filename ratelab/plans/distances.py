@@ -27,12 +27,17 @@ def prepare_clips(clips: DataFrame, speaker: str = "speaker_name", root: str = "
     )
 
 
-def clean_timestamps(chunks: DataFrame, vocabulary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def clean_timestamps(chunks: DataFrame, vocabulary: DataFrame, keys: Sequence[str] = (),
+                     done: DataFrame | None = None) -> DataFrame:
     """Recognized chunks as script words with times rounded to milliseconds.
 
     `chunks` holds one row per speaker with an array of {text, start, end}; `vocabulary` one row per
-    (keys, word). Words without letters, without times or outside the script are dropped.
+    (keys, word). Words without letters, without times or outside the script are dropped, and so are
+    speakers that `done` lists as finished.
     """
+    if done is not None:
+        finished = done.select(*keys, "speaker_id").distinct()
+        chunks = chunks.join(finished, [*keys, "speaker_id"], "left_anti")
     # The outer form of explode, a null instead of a filter on the vocabulary, and a word that is never
     # null keep the engine from
     # adding derived filters that would build the chunks and normalize the words a second time.

@@ -127,6 +127,7 @@ def test_timestamps_are_cleaned_against_the_script(spark):
     vocab = D.script_vocabulary(spark.createDataFrame([("c", "I've a detail-oriented—mind")], "category string, script string"))
     got = [tuple(r) for r in D.clean_timestamps(df, vocab).orderBy("start").collect()]
     assert got == [("s1", "detail", 0.123, 0.5), ("s1", "i've", 0.8, 0.9), ("s1", "i've", 1.0, 1.1)]
+    assert D.clean_timestamps(df, vocab, done=df.select("speaker_id")).count() == 0
 
 
 def test_clips_are_mixed_and_resampled(spark):

@@ -47,6 +47,15 @@ def test_slices_are_used_and_bounded(spark):
     assert len(sizes) > 5 and sizes["count"].max() < 600
 
 
+def test_many_slices_find_the_same_place_as_one_search(spark):
+    df = spark.range(20000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 20011).cast("double").alias("v"))
+    got = running.running_totals(df, ["g"], ["v"], {"upto": F.lit(1)}, 40).toPandas().sort_values("v")
+    assert (got.upto.to_numpy() == np.arange(1, 20001)).all()
+    big = sizing.oversized_groups(df, ["g"], 40)
+    slices = running._sliced(df, ["g"], "v", big, 40).toPandas().sort_values("v").slice
+    assert slices.is_monotonic_increasing and slices.nunique() > 200
+
+
 def test_median_edges(spark):
     df = spark.createDataFrame([("e", 1.0), ("e", 2.0), ("o", 5.0), ("n", None), ("t", 1.0), ("t", 1.0), ("t", 9.0), ("t", None)], "g string, v double")
     got = {r.g: r.m for r in running.group_medians(df, ["g"], "v", "m").collect()}

@@ -39,6 +39,13 @@ def test_corpus_work_maps_categories_strictly(spark):
     assert [(r.file_path, r.category, r.prompt) for r in got] == [("a", "client-disagreement", "p3")]
 
 
+def test_metadata_is_complete_with_empty_defaults(spark):
+    df = spark.createDataFrame([("client-disagreement", "Ann", None, 7)], "category string, speaker_name_from_file string, name string, extra int")
+    row = W.corpus_metadata(df).first().asDict()
+    assert list(row) == C.METADATA_COLUMNS
+    assert row["file_path"] == "client-disagreement/cd - Ann.wav" and row["name"] == "" and row["gender"] == ""
+
+
 def test_scoring_is_idempotent_after_retries(spark):
     work = spark.createDataFrame([(i, f"t{i}") for i in range(12)], "id int, text string")
 
