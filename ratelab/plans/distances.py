@@ -18,6 +18,9 @@ from ratelab.operators.sizing import attach
 from ratelab.operators.stats import centroids, confidence_band, ols_line, spearman, with_pvalue
 
 
+POINT_PLACES = 12
+
+
 def prepare_clips(clips: DataFrame, speaker: str = "speaker_name", root: str = "wav") -> DataFrame:
     """Clips as mono at the target rate, with the manifest columns."""
     mono = mixdown(F.col("samples"))
@@ -84,8 +87,13 @@ def speaker_distances(distances: DataFrame, keys: Sequence[str] = ("category", "
 
 
 def score_points(speakers: DataFrame, scores: DataFrame) -> DataFrame:
-    """One point per speaker and whatever else keys the scores: distance against score."""
-    return speakers.join(scores, "speaker_key")
+    """One point per speaker and whatever else keys the scores: distance against score.
+
+    A mean can differ in its last bit with the order of summation. The points are ranked next, so they
+    are rounded well above that, lest ties break at random.
+    """
+    points = speakers.join(scores, "speaker_key")
+    return points.withColumns({c: F.round(c, POINT_PLACES) for c in ("mean_norm_dist", "delivery")})
 
 
 def score_correlations(points: DataFrame, keys: Sequence[str] = ("model_label", "domain")) -> DataFrame:

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelab.functions.numeric import number_or_null
+from ratelab.functions.text import map_or_default, normalize_tokens, strip_piece
 from ratelab.operators import groups as G
 from ratelab.operators import picks, running, stats
 from ratelab.operators.quality import keep_quality_words, quality_words as quality
 from ratelab.plans import distances as D
 from ratelab.plans import ratings as P
 from ratelab.queries.registry import Tables, query
+from ratelab.session import settle
+from ratelab.sources.readers import stack
 
 # The study's groups on the order tables: priority plays the accent, status the prompt style, market
 # segment the model, customer the speaker.
@@ -127,8 +130,6 @@ gap AS (SELECT a.accent, a.feature, (a.v / b.v - 1) * 100 AS gap_pct FROM m a
 
 
 def part_divergence(t: Tables) -> DataFrame:
-    from ratelab.functions.text import map_or_default
-
     feature = t("part").select(
         F.col("p_partkey").alias("l_partkey"), map_or_default(F.col("p_type"), PART_FEATURES, "Other").alias("feature")
     )
@@ -160,7 +161,7 @@ def feature_divergence_wide(t: Tables) -> DataFrame:
 
 
 CUSTOMER_POINTS = """
-pts AS (SELECT c_mktsegment AS model_label, any_value(c_nationkey) % 5 AS accent, o_custkey, sum(o_totalprice) / 100000 AS x,
+pts AS (SELECT c_mktsegment AS model_label, any_value(c_nationkey) % 5 AS accent, o_custkey, round(sum(o_totalprice) / 100000, 9) AS x,
     count(*)::DOUBLE AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
 """
 
@@ -168,7 +169,7 @@ pts AS (SELECT c_mktsegment AS model_label, any_value(c_nationkey) % 5 AS accent
 def customer_points(t: Tables, *extra: str) -> DataFrame:
     """Per customer, with the given order columns as further keys: order value against order count."""
     totals = t("orders").groupBy("o_custkey", *extra).agg(
-        (F.sum("o_totalprice") / 100000).alias("x"), F.count(F.lit(1)).cast("double").alias("y")
+        F.round(F.sum("o_totalprice") / 100000, 9).alias("x"), F.count(F.lit(1)).cast("double").alias("y")
     )
     who = t("customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("model_label"), (F.col("c_nationkey") % 5).alias("accent")
@@ -194,7 +195,8 @@ def spearman_pvalue(t: Tables) -> DataFrame:
     prices = t("lineitem").groupBy("l_suppkey", "l_returnflag").agg(
         F.avg("l_extendedprice").alias("x"), F.avg("l_discount").alias("y")
     )
-    return rounded(stats.with_pvalue(stats.spearman(prices, ["l_returnflag"], "x", "y")), "rho", "p_value")
+    points = rounded(prices, "x", "y", places=9)
+    return rounded(stats.with_pvalue(stats.spearman(points, ["l_returnflag"], "x", "y")), "rho", "p_value")
 
 
 @query("ols_line", f"""WITH {CUSTOMER_POINTS}
@@ -221,7 +223,7 @@ def centroids(t: Tables) -> DataFrame:
 
 
 @query("most_biased_domain", f"""WITH pts AS (SELECT c_mktsegment AS model_label, o_orderstatus AS domain, o_custkey,
-    sum(o_totalprice) / 100000 AS x, count(*)::DOUBLE AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+    round(sum(o_totalprice) / 100000, 9) AS x, count(*)::DOUBLE AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 {RANKS.format(keys='model_label, domain')}
 SELECT model_label, domain, round(rho, 6) AS rho, n FROM (SELECT *, row_number() OVER (PARTITION BY model_label
     ORDER BY rho, list_position(['O', 'F', 'P'], domain)) AS k FROM rho WHERE n >= 3 AND rho IS NOT NULL) WHERE k = 1
@@ -277,7 +279,7 @@ def quality_rows(t: Tables) -> DataFrame:
 @query("distance_vs_score", f"""WITH {LINE_DISTANCES},
 sp AS (SELECT speaker_id AS speaker_key, accent, avg(norm_dist) AS x FROM d SEMI JOIN kept USING (category, word) GROUP BY ALL),
 scores AS (SELECT l_returnflag AS domain, l_suppkey AS speaker_key, avg(l_tax) AS y FROM lineitem GROUP BY ALL),
-pts AS (SELECT domain, accent, x, y FROM sp JOIN scores USING (speaker_key)),
+pts AS (SELECT domain, accent, round(x, 9) AS x, round(y, 9) AS y FROM sp JOIN scores USING (speaker_key)),
 {RANKS.format(keys='domain')},
 line AS (SELECT domain, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM pts GROUP BY domain),
 mid AS (SELECT domain, accent, avg(x) AS mx, avg(y) AS my FROM pts GROUP BY ALL)
@@ -285,9 +287,6 @@ SELECT domain, accent, round(rho, 6) AS rho, n, round(slope, 6) AS slope, round(
   round(mx, 6) AS mean_norm_dist, round(my, 6) AS delivery FROM mid JOIN rho USING (domain) JOIN line USING (domain)
 """)
 def distance_vs_score(t: Tables) -> DataFrame:
-    from ratelab.session import settle
-    from ratelab.sources.readers import stack
-
     speakers = keep_quality_words(line_distances(t), ["category", "word"], **LIMITS).groupBy(
         F.col("speaker_id").alias("speaker_key"), "accent"
     ).agg(F.avg("norm_dist").alias("mean_norm_dist"))
@@ -296,7 +295,8 @@ def distance_vs_score(t: Tables) -> DataFrame:
         .agg(F.avg("l_tax").alias("delivery")).withColumn("domain", F.lit(flag))
         for flag in ("A", "N", "R")
     )
-    points = settle(D.score_points(speakers, scores))
+    # Means of equal values differ in the last bit with the order of summation; rounding keeps ties ties.
+    points = settle(rounded(D.score_points(speakers, scores), "mean_norm_dist", "delivery", places=9))
     rho = D.score_correlations(points, ["domain"]).select("domain", "rho", "n")
     line = D.score_lines(points, ["domain"]).select("domain", "slope", "intercept")
     middle = D.score_centroids(points, ["domain"]).drop("n")
@@ -344,8 +344,6 @@ UNION ALL SELECT 'documents', model_label, replace(prompt_type, '_v2', ''), roun
 UNION ALL SELECT 'events', model_label, prompt_type, round(gap, 6) FROM d
 """)
 def framing_gap_domains(t: Tables) -> DataFrame:
-    from ratelab.functions.text import strip_piece
-
     rows = domain_rows(t)
     keys = ["model_label", "prompt_type"]
     gaps = {
@@ -440,8 +438,6 @@ SELECT lang, round(avg(n), 6) AS mean_words, min(n) AS min_words, max(n) AS max_
   FROM documents GROUP BY ALL) GROUP BY lang
 """)
 def words_per_speaker(t: Tables) -> DataFrame:
-    from ratelab.functions.text import normalize_tokens
-
     speakers = t("documents").groupBy("lang", "source").agg(F.sum(F.size(normalize_tokens(F.col("text")))).alias("n"))
     return speakers.groupBy("lang").agg(
         F.round(F.avg("n"), 6).alias("mean_words"), F.min("n").alias("min_words"), F.max("n").alias("max_words"),

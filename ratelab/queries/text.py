@@ -10,7 +10,9 @@ from ratelab.functions.words import text_error_rate
 from ratelab.operators.groups import with_keys
 from ratelab.operators.sizing import fan_out, fill_cores
 from ratelab.operators.vocabulary import inside, outside
+from ratelab.plans import distances as D
 from ratelab.plans import transcripts as P
+from ratelab.plans.ratings import synthetic_speaker_scores
 from ratelab.queries.registry import Tables, query
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -347,8 +349,6 @@ SELECT lang AS domain, CASE source WHEN 'src1' THEN 'src0' ELSE source END AS sp
 FROM rated WHERE rating IS NOT NULL GROUP BY 1, 2
 """)
 def per_speaker_score(t: Tables) -> DataFrame:
-    from ratelab.plans.ratings import synthetic_speaker_scores
-
     replies = t("documents").select(
         F.col("lang").alias("domain"), F.upper("source").alias("speaker_name"), F.col("text").alias("model_output"),
         F.lit("delivery").alias("script_type"),
@@ -369,8 +369,6 @@ SELECT doc_id AS speaker_id, count(*) AS n_words, count(DISTINCT word) AS n_dist
   round(max("end"), 3) AS last_end, round(sum("end" - start), 3) AS spoken FROM timed GROUP BY doc_id
 """)
 def clean_timestamps(t: Tables) -> DataFrame:
-    from ratelab.plans.distances import clean_timestamps as clean
-
     # Every eleventh chunk lacks its end time.
     chunk = F.transform(
         F.split("text", r"\s+"),
@@ -380,7 +378,7 @@ def clean_timestamps(t: Tables) -> DataFrame:
     )
     documents = fill_cores(t("documents").select("doc_id", "text"))
     chunks = documents.select(F.col("doc_id").alias("speaker_id"), chunk.alias("chunks"))
-    kept = clean(chunks, benchmark_vocabulary(t))
+    kept = D.clean_timestamps(chunks, benchmark_vocabulary(t))
     return with_keys(kept, ["speaker_id"]).groupBy("speaker_id").agg(
         F.count(F.lit(1)).alias("n_words"), F.countDistinct("word").alias("n_distinct"),
         F.round(F.min("start"), 3).alias("first_start"), F.round(F.max("end"), 3).alias("last_end"),
