@@ -1,7 +1,5 @@
 import numpy as np
-import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from ratelab.operators import references
 from ratelab.plans import distances as D
