@@ -74,9 +74,9 @@ def think_text(c: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(bodies, strip), ""), F.lit(""))
 
 
-def flatten_breaks(c: Column) -> Column:
-    """One line: strip, line feeds to spaces, carriage returns dropped."""
-    return F.translate(strip(c), "\n\r", " ")
+def flatten_breaks(c: Column, drop_returns: bool = True) -> Column:
+    """One line: strip, line feeds to spaces, carriage returns dropped (or left in a transcript)."""
+    return F.translate(strip(c), "\n\r" if drop_returns else "\n", " ")
 
 
 def is_rate_limited(c: Column) -> Column:

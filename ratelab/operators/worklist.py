@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ratelab import constants as C
 from ratelab.functions.text import corpus_path, flatten_breaks, is_valid_output, reply_status
 from ratelab.operators.picks import best_per_key, first_per_key
-from ratelab.operators.sizing import attach
+from ratelab.operators.sizing import attach, fan_out
 
 
 def pair_with_prompts(clips: DataFrame, prompts: DataFrame, on: str = "category") -> DataFrame:
@@ -84,13 +84,14 @@ def progress(manifest: DataFrame, results: DataFrame, keys: Sequence[str], outpu
 
 def score_pending(work: DataFrame, score: Callable[[dict], str | None], columns: Sequence[str],
                   output: str = "model_output", keep_failed: bool = True, attempts: int = C.MAX_ATTEMPTS,
-                  error_prefix: str = C.ERROR_PREFIX) -> DataFrame:
+                  error_prefix: str = C.ERROR_PREFIX, drop_returns: bool = True) -> DataFrame:
     """Call a scoring function for every row, on the executors, with retries.
 
     The function gets the named columns of a row and returns text; an exception, an empty reply, a
     rate-limit or an error reply is a failed attempt. After the last attempt the row is kept with the
     failure word, or dropped. Adds the output and a status. Waiting between attempts is left to the
-    function. The call is opaque to the optimizer, so finished work must be removed before, and the
+    function. Pending rows are spread over all shuffle partitions first: they are few in bytes, and the
+    calls are what takes time. The call is opaque to the optimizer, so finished work must be removed before, and the
     result should be written (append_results) or settled before it is read twice.
     """
     schema = T.StructType(list(work.schema.fields) + [T.StructField("reply", T.StringType())])
@@ -113,7 +114,8 @@ def score_pending(work: DataFrame, score: Callable[[dict], str | None], columns:
             rows = batch[list(columns)].to_dict("records")
             yield batch.assign(reply=pd.Series([attempt(r) for r in rows], index=batch.index, dtype=object))
 
-    scored = work.mapInPandas(run, schema).withColumn("reply", flatten_breaks(F.col("reply")))
+    scored = fan_out(work).mapInPandas(run, schema)
+    scored = scored.withColumn("reply", flatten_breaks(F.col("reply"), drop_returns))
     scored = scored.withColumn("status", reply_status(F.col("reply"), error_prefix))
     ok = F.col("status") == "ok"
     scored = scored.withColumn(output, F.when(ok, F.col("reply")).otherwise(C.FAILED)).drop("reply")
