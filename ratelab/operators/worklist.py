@@ -15,6 +15,9 @@ from ratelab.operators.picks import best_per_key, first_per_key
 from ratelab.operators.sizing import attach, fan_out
 
 
+PROMPT_ROWS = 10_000  # prompts are long texts
+
+
 def pair_with_prompts(clips: DataFrame, prompts: DataFrame, on: str = "category") -> DataFrame:
     """Every clip with every prompt of its category.
 
@@ -24,7 +27,7 @@ def pair_with_prompts(clips: DataFrame, prompts: DataFrame, on: str = "category"
     shared = [c for c in clips.columns if c in prompts.columns and c != on]
     for c in shared:
         clips = clips.withColumnRenamed(c, f"clip_{c}")
-    return attach(clips, prompts, [on], "inner")
+    return attach(clips, prompts, [on], "inner", broadcast_rows=PROMPT_ROWS)
 
 
 def without_prompts(clips: DataFrame, prompts: DataFrame, on: str = "category") -> DataFrame:

@@ -60,6 +60,19 @@ def script_vocabulary(scripts: DataFrame, keys: Sequence[str] = ("category",), s
     return scripts.select(*keys, F.explode(script_words(F.col(script))).alias("word")).distinct()
 
 
+def word_coverage(timestamps: DataFrame, speakers: DataFrame) -> DataFrame:
+    """Words found per speaker, with the accent, or ? for a speaker outside the manifest."""
+    counts = timestamps.groupBy("speaker_id").agg(F.count(F.lit(1)).alias("n_words"))
+    known = counts.join(speakers.select("speaker_id", "accent"), "speaker_id", "left")
+    return known.select("speaker_id", F.coalesce("accent", F.lit("?")).alias("accent"), "n_words")
+
+
+def coverage_by_accent(coverage: DataFrame) -> DataFrame:
+    return coverage.groupBy("accent").agg(
+        F.round(F.avg("n_words"), 1).alias("mean"), F.min("n_words").alias("min"), F.max("n_words").alias("max")
+    )
+
+
 def first_occurrences(timestamps: DataFrame, speakers: DataFrame, keys: Sequence[str] = ("word",)) -> DataFrame:
     """The first utterance of each word by each speaker, with accent and duration."""
     first = first_per_key(timestamps, [*keys, "speaker_id"], ["start", "end"])

@@ -15,6 +15,7 @@ from ratelab.functions.text import (
     name_field,
     rating_in_range,
     rating_labelled,
+    strip,
     strip_piece,
     underscore_key,
 )
@@ -142,6 +143,16 @@ def synthetic_speaker_scores(df: DataFrame, keys: Sequence[str] = (), categories
     )
 
 
+def delivery_ratings(df: DataFrame, keys: Sequence[str] = ("model_label",)) -> DataFrame:
+    """Readable delivery ratings of the scripted categories under any prompt, one row per reply."""
+    rows = df.where((F.col("script_type") == "delivery") & F.col("category").isin(C.SCRIPTED_CATEGORIES))
+    rated = rows.select(
+        *keys, strip(F.col("accent_nationality_origin")).alias("accent"), "name",
+        rating_in_range(F.col("model_output")).alias("rating"),
+    )
+    return rated.where(F.col("rating").isNotNull())
+
+
 def domain_speaker_scores(hiring: DataFrame, tests: DataFrame, presentations: DataFrame,
                           keys: Sequence[str] = ("model_label",)) -> DataFrame:
     """Speaker scores of the three synthetic domains, each by its own rule, in one table."""

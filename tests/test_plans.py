@@ -130,6 +130,26 @@ def test_timestamps_are_cleaned_against_the_script(spark):
     assert D.clean_timestamps(df, vocab, done=df.select("speaker_id")).count() == 0
 
 
+def test_word_coverage(spark):
+    ts = spark.createDataFrame([("a", "w"), ("a", "v"), ("a", "w"), ("b", "w"), ("x", "w")], "speaker_id string, word string")
+    people = spark.createDataFrame([("a", "Indian"), ("b", "Indian")], "speaker_id string, accent string")
+    coverage = D.word_coverage(ts, people)
+    assert {tuple(r) for r in coverage.collect()} == {("a", "Indian", 3), ("b", "Indian", 1), ("x", "?", 1)}
+    assert {tuple(r) for r in D.coverage_by_accent(coverage).collect()} == {("Indian", 2.0, 1, 3), ("?", 1.0, 1, 1)}
+
+
+def test_error_rates_beside_delivery_gaps(spark):
+    cat = "client-disagreement"
+    replies = [("m", " American ", "A", cat, "delivery", "Rating: 6"), ("m", "Indian", "B", cat, "delivery", "4 of 7... 5"), ("m", "Indian", "B", cat, "delivery", "none"),
+               ("m", "Indian", "C", cat, "content", "1"), ("m", "Indian", "D", "disagreement-unscripted", "delivery", "1")]
+    rated = P.delivery_ratings(spark.createDataFrame(replies, "model_label string, accent_nationality_origin string, name string, category string, script_type string, model_output string"))
+    rates = [("m", "American", "A", "0.1"), ("m", "American", "A", "0.3"), ("m", "Indian", "B", "0.5"), ("m", "Indian", "B", "FAILED"), ("m", "Indian", "E", "0.1")]
+    table = TR.rate_and_gap(spark.createDataFrame(rates, "model string, accent string, speaker_id string, wer string"), rated.withColumnRenamed("model_label", "model"))
+    got = {r.accent: r for r in table.collect()}
+    assert got["American"].wer_mean == pytest.approx(0.2) and got["American"].wer_sem == 0 and got["American"].gap == 0
+    assert got["Indian"].wer_mean == pytest.approx(0.3) and got["Indian"].wer_sem == pytest.approx(0.2) and got["Indian"].gap == -1
+
+
 def test_clips_are_mixed_and_resampled(spark):
     df = spark.createDataFrame([("Chinedu Dike", 8000, [[0.0, 1.0], [1.0, 2.0]])], "speaker_name string, sampling_rate int, samples array<array<float>>")
     row = D.prepare_clips(df).first()
