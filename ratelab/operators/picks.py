@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratelab.functions.text import map_value
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of every key.
@@ -52,6 +54,11 @@ def in_list_order(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame
     return df.orderBy(F.when(place > 0, place).asc_nulls_last(), F.col(column))
 
 
+def keep_mapped(df: DataFrame, column: str, table: Mapping[str, str], out: str) -> DataFrame:
+    """Map a column by a short fixed table and drop rows whose value is not in it. A literal map, no join."""
+    return df.withColumn(out, map_value(F.col(column), dict(table))).where(F.col(out).isNotNull())
+
+
 def keep_listed(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
     """Only the listed values, with their place, as a fixed row order demands."""
     place = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(column))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ratelab import constants as C
 from ratelab.functions.text import corpus_path, flatten_breaks, is_valid_output, reply_status
-from ratelab.operators.picks import best_per_key, first_per_key
+from ratelab.operators.picks import best_per_key, first_per_key, keep_mapped
 from ratelab.operators.sizing import attach, fan_out
 
 
@@ -50,10 +50,9 @@ def pending(work: DataFrame, results: DataFrame, keys: Sequence[str], output: st
 
 def corpus_work(recordings: DataFrame, prompts: DataFrame) -> DataFrame:
     """Recordings of the known categories with the prompts of the matching prompt category."""
-    table = [(k, v) for k, v in C.CORPUS_CATEGORIES.items()]
-    names = recordings.sparkSession.createDataFrame(table, "category string, prompt_category string")
+    known = keep_mapped(recordings, "category", C.CORPUS_CATEGORIES, "prompt_category")
     prompts = prompts.withColumnRenamed("category", "prompt_category")
-    return recordings.join(names, "category").join(prompts, "prompt_category").drop("prompt_category")
+    return attach(known, prompts, ["prompt_category"], "inner", broadcast_rows=PROMPT_ROWS).drop("prompt_category")
 
 
 def corpus_metadata(recordings: DataFrame) -> DataFrame:

@@ -150,11 +150,8 @@ SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Urgent' WHEN '2-HI
   ELSE 'Low' END AS category FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'
 """)
 def strict_map_join(t: Tables) -> DataFrame:
-    names = t.spark.createDataFrame(
-        [("1-URGENT", "Urgent"), ("2-HIGH", "High"), ("3-MEDIUM", "Medium"), ("5-LOW", "Low")],
-        "o_orderpriority string, category string",
-    )
-    return t("orders").select("o_orderkey", "o_orderpriority").join(names, "o_orderpriority").drop("o_orderpriority")
+    names = {"1-URGENT": "Urgent", "2-HIGH": "High", "3-MEDIUM": "Medium", "5-LOW": "Low"}
+    return picks.keep_mapped(t("orders"), "o_orderpriority", names, "category").select("o_orderkey", "category")
 
 
 @query("existing_inputs", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
