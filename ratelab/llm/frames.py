@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelab.session import ensure_checkpoint_dir, settle
 
-__all__ = ["id_text", "in_arrow", "partitions", "settle", "shared_folder"]
+__all__ = ["file_system", "id_text", "in_arrow", "partitions", "read_files", "settle", "shared_folder"]
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,6 +33,24 @@ def in_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
+def file_system(folder: str) -> tuple[pa_fs.FileSystem, str]:
+    """The file system and path of a folder, for tasks that write files of their own."""
+    uri = re.sub(r"^file:/(?!/)", "file:///", folder)
+    return pa_fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
+def read_files(manifest: DataFrame, folder: str, broadcast_rows: int = 200_000) -> DataFrame:
+    """The columns of manifest (column name: file names in folder) with each file's content.
+
+    Files that the manifest does not name, left by failed tasks, are not returned. The manifest is broadcast
+    up to a number of rows; a larger one is joined by shuffle.
+    """
+    files = manifest.sparkSession.read.format("binaryFile").load(folder)
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    few = manifest.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return files.join(F.broadcast(manifest) if few else manifest, "name")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelab.llm import bpe, decontaminate, simhash, surrogates, toxicity
+from ratelab.llm import bpe, decontaminate, hilbert, html, simhash, surrogates, tokenfiles, topk, toxicity, warc
+from ratelab.llm.frames import shared_folder
 from ratelab.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +67,36 @@ def op9_decontamination(table):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         decontaminate.contaminated().alias("contaminated"))
+
+
+@query
+def op2_exact_top_k(table):
+    vectors = table("embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query
+def op4_warc(table):
+    pages = table("pages")
+    folder = shared_folder(pages.sparkSession, "warc")
+    found = warc.read(warc.write(pages, folder), folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"), "problem")
+
+
+@query
+def op6_hilbert_sharding(table):
+    placed = hilbert.shard_documents(table("documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_token_files(table):
+    docs = table("documents")
+    folder = shared_folder(docs.sparkSession, "tokens")
+    found = tokenfiles.read(tokenfiles.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json")), folder)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op10_html_extraction(table):
+    return html.extract(table("pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
