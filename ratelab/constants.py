@@ -6,8 +6,6 @@
 ACCENTS = ["American", "British", "Indian", "Chinese", "Nigerian"]
 BASELINE_ACCENTS = ["American", "British"]
 REFERENCE_ACCENT = "American"
-ACCENT_ORDER = ["Nigerian", "Chinese", "Indian", "British", "American"]
-TARGET_ACCENTS = ["Nigerian", "Chinese", "Indian", "British"]
 PROMPT_ORDER = ["critical", "ideal", "native"]
 
 RATING_LOW, RATING_HIGH = 1, 7
@@ -51,8 +49,6 @@ SAMPLE_RATE = 16000
 INT16_SCALE, INT16_MIN, INT16_MAX = 32767, -32768, 32767
 MIN_SEGMENT_SAMPLES = 400
 FRAME_RATE = 50.0
-DEFAULT_LAYER = 14
-SWEEP_LAYERS = [6, 8, 10, 12, 16]
 
 MIN_REFERENCES = 2
 MIN_SNR = 1.0
@@ -90,7 +86,6 @@ FEATURE_BY_WORD = {
     "example": "Schwa reduction", "acknowledged": "Schwa reduction",
     "tolerance": "Schwa reduction",
 }
-FEATURE_ORDER = ["Consonant cluster", "Schwa reduction", "Other"]
 FEATURE_DEFAULT = "Other"
 
 METADATA_COLUMNS = [

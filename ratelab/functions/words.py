@@ -9,54 +9,45 @@ from ratelab.functions.binding import bind
 from ratelab.functions.text import normalize_tokens
 
 # Words become Unicode code points, so the built-in levenshtein, which counts code points, counts
-# words. Points below the surrogates serve; a pair with more distinct words goes row by row.
-CODES = 0xD800 - 1
-
-
-def _as_code_points(words: Column, vocabulary: Column) -> Column:
-    codes = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(vocabulary, w)), 8, "0"))
-    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
-
-
-def _row_by_row(ref: Column, hyp: Column) -> Column:
-    """The same distance for vocabularies beyond the code points: one row of the table at a time."""
-
-    def next_row(state: Column, word: Column) -> Column:
-        prev = state["row"]
-        start = F.array(F.element_at(prev, 1) + 1)
-        cells = F.zip_with(F.sequence(F.lit(1), F.size(hyp)), hyp, lambda j, h: F.struct(j.alias("j"), h.alias("h")))
-        row = F.aggregate(
-            F.when(F.size(hyp) > 0, cells).otherwise(F.filter(cells, lambda _: F.lit(False))),
-            start,
-            lambda acc, c: F.concat(
-                acc,
-                F.array(
-                    F.least(
-                        F.get(prev, c["j"]) + 1,
-                        F.element_at(acc, -1) + 1,
-                        F.get(prev, c["j"] - 1) + (c["h"] != word).cast("int"),
-                    )
-                ),
-            ),
-        )
-        return F.struct(row.alias("row"))
+# words. The points from SURROGATES on are reserved for 0x800 places and skipped.
+SURROGATES, SKIPPED, CODES = 0xD800, 0x800, 0x110000 - 0x800 - 1
+
+
+def _place(ordered: Column, word: Column) -> Column:
+    """Where a word stands in a sorted array that holds it, counted from 1, by halving."""
+    steps = F.sequence(F.ceil(F.log2(F.size(ordered))).cast("int"), F.lit(0), F.lit(-1))
+
+    def closer(at: Column, power: Column) -> Column:
+        ahead = at + F.pow(F.lit(2), power).cast("int")
+        return F.when(F.get(ordered, ahead) <= word, ahead).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), closer) + 1
+
+
+def _as_code_points(words: Column, ordered: Column) -> Column:
+    def code(word: Column) -> Column:
+        place = _place(ordered, word)
+        return F.lpad(F.hex(F.when(place < SURROGATES, place).otherwise(place + SKIPPED)), 8, "0")
+
+    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
 
-    first = F.struct(F.sequence(F.lit(0), F.size(hyp)).alias("row"))
-    return F.aggregate(ref, first, next_row, lambda s: F.element_at(s["row"], -1))
 
+def token_edit_distance(ref: Column, hyp: Column) -> Column:
+    """Insertions, deletions and substitutions of words that turn one word array into the other.
 
-def token_edit_distance(ref: Column, hyp: Column, max_codes: int = CODES) -> Column:
-    """Insertions, deletions and substitutions of words that turn one word array into the other."""
+    A pair with more distinct words than Unicode has code points fails with a message.
+    """
 
     def distance(w: Column) -> Column:
-        ref, hyp, vocabulary = w["ref"], w["hyp"], w["vocabulary"]
-        short = F.levenshtein(_as_code_points(ref, vocabulary), _as_code_points(hyp, vocabulary))
-        return F.when(F.size(vocabulary) <= max_codes, short).otherwise(_row_by_row(ref, hyp)).cast("int")
+        ref, hyp, ordered = w["ref"], w["hyp"], w["ordered"]
+        known = F.levenshtein(_as_code_points(ref, ordered), _as_code_points(hyp, ordered))
+        too_many = F.raise_error(F.lit(f"more than {CODES} distinct words in a pair of texts")).cast("int")
+        return F.when(F.size(ordered) <= CODES, known).otherwise(too_many).cast("int")
 
     return bind(
         F.struct(ref.alias("ref"), hyp.alias("hyp")),
         lambda w: bind(
-            F.struct(w["ref"].alias("ref"), w["hyp"].alias("hyp"), F.array_union(w["ref"], w["hyp"]).alias("vocabulary")),
+            F.struct(w["ref"].alias("ref"), w["hyp"].alias("hyp"), F.array_sort(F.array_union(w["ref"], w["hyp"])).alias("ordered")),
             distance,
         ),
     )

@@ -47,11 +47,13 @@ def reference_pool(tokens: DataFrame, keys: Sequence[str], speaker: str = "speak
     """Size of every target's reference pool, and the pool mean of each measure, the target left out.
 
     Totals per word less the target's own share give the same as going over the pool. Expects one row
-    per key and speaker. Targets with an empty pool are dropped.
+    per key and speaker. Targets with an empty pool are dropped; a pool mean is taken over the values that
+    are there and is null where there are none.
     """
     is_ref = F.col(accent) == reference
     totals = tokens.where(is_ref).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pool_n"), *[F.sum(m).alias(f"{m}_pool") for m in measures]
+        F.count(F.lit(1)).alias("pool_n"), *[F.sum(m).alias(f"{m}_pool") for m in measures],
+        *[F.count(m).alias(f"{m}_known") for m in measures],
     )
     own = F.when(is_ref, 1).otherwise(0)
     n = F.col("pool_n") - own
@@ -60,7 +62,10 @@ def reference_pool(tokens: DataFrame, keys: Sequence[str], speaker: str = "speak
         .where(n > 0)
         .select(
             *keys, speaker, accent, n.alias("n_ref"),
-            *[((F.col(f"{m}_pool") - own * F.col(m)) / n).alias(f"{m}_ref") for m in measures],
+            *[F.try_divide(
+                F.coalesce(f"{m}_pool", F.lit(0)) - F.coalesce(own * F.col(m), F.lit(0)),
+                F.col(f"{m}_known") - F.when(is_ref & F.col(m).isNotNull(), 1).otherwise(0),
+            ).alias(f"{m}_ref") for m in measures],
         )
     )
 

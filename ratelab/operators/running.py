@@ -1,9 +1,10 @@
 """Running totals, ranks and medians within groups, safe for groups far larger than one task.
 
-A window over a group sorts the whole group in one task. Where a group exceeds a row limit it is cut
-into slices by value: bounds come from a hash-chosen subset of the group's own values (the choice
-depends on the values alone, so a recomputed task sees the same bounds), totals per slice become
-offsets, and each slice is sorted on its own. Every row takes part; the bounds only decide balance.
+A window over a group sorts the whole group in one task. So groups are cut into slices of the order: bounds
+are rows of the group itself, chosen by a hash of their place in the order (the choice depends on the
+values alone, so a recomputed task sees the same bounds), totals per slice become offsets, and each slice is
+sorted on its own. There are as many slices as a group needs; every row takes part; the bounds only decide
+balance. A null key is a group like any other, and null order values sort first, with slices and without.
 """
 
 from __future__ import annotations
@@ -13,55 +14,68 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelab.operators.sizing import GROUP_ROWS, attach, oversized_groups
 from ratelab.session import settle
 
+SLICE_ROWS = 2_000_000
 PROBES_PER_SLICE = 32
-MAX_BOUNDS = 1024
-BLOCK = 32  # bounds are searched block by block: at most 32 + 32 comparisons instead of 1024
-
-
-def _sliced(df: DataFrame, keys: Sequence[str], by: str, big: DataFrame, limit: int) -> DataFrame:
-    """Add column slice: the number of the group's bounds below the row's value."""
-    wanted = F.least(F.ceil(F.col("group_rows") / F.lit(limit)), F.lit(MAX_BOUNDS))
-    stride = F.greatest(F.floor(F.col("group_rows") / (wanted * PROBES_PER_SLICE)), F.lit(1))
-    probes = (
-        attach(df.select(*keys, by).where(F.col(by).isNotNull()), big, keys, "inner", settled=True)
-        .where(F.pmod(F.xxhash64(by), stride) == 0)
-        .groupBy(*keys, "group_rows")
-        .agg(F.sort_array(F.collect_set(by)).alias("probe"))
-    )
-    every = F.greatest(F.floor(F.size("probe") / wanted), F.lit(1))
-    bounds = probes.select(
-        *keys, F.filter("probe", lambda _, i: F.pmod(i + 1, every.cast("int")) == 0).alias("bounds")
-    ).withColumn("block_ends", F.filter("bounds", lambda _, i: F.pmod(i + 1, F.lit(BLOCK)) == 0))
+MEDIAN_SLACK = 1 / 2000  # share of a group on either side of its middle that the second scan keeps
+MEDIAN_ACCURACY = 10_000  # percentile_approx is off by one part of this at most
 
-    def below(array: Column) -> Column:
-        return F.size(F.filter(array, lambda b: b < F.col(by)))
 
-    place = F.col("full") * BLOCK + below(F.slice("bounds", F.col("full") * BLOCK + 1, BLOCK))
-    unsliced = F.col("bounds").isNull() | F.col(by).isNull()
-    return (
-        attach(df, bounds, keys)
-        .withColumn("full", F.when(~unsliced, below(F.col("block_ends"))))
-        .withColumn("slice", F.when(unsliced, 0).otherwise(place))
-        .drop("bounds", "block_ends", "full")
-    )
+def join_groups(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table by keys that may be null, a null key meeting a null key; the keys are those of rows."""
+    other = table.select(*[F.col(k).alias(f"{k}_key") if k in keys else F.col(k) for k in table.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_key"))
+    return rows.join(other, same, how).drop(*[f"{k}_key" for k in keys])
+
+
+def slice_bounds(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int = SLICE_ROWS) -> DataFrame:
+    """(keys, blocks): for groups of more than about `limit` rows the sorted bounds, in blocks.
+
+    A row in every limit / PROBES_PER_SLICE is a probe, and every PROBES_PER_SLICE-th probe a bound. Bounds are
+    kept in about as many blocks as a block has bounds, so a row is placed by two short searches.
+    """
+    spot = F.struct(*order)
+    stride = max(1, limit // PROBES_PER_SLICE)
+    probes = df.where(F.pmod(F.xxhash64(*order), F.lit(stride)) == 0).select(*keys, spot.alias("spot")).distinct()
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("spot"))
+    bounds = probes.withColumn("nth", nth).where(F.col("nth") % PROBES_PER_SLICE == 0)
+    count = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    place = (F.col("nth") / PROBES_PER_SLICE).cast("long") - 1
+    block = F.floor(place / F.ceil(F.sqrt(count)))
+    blocks = bounds.select(*keys, "spot", block.alias("block")).groupBy(*keys, "block").agg(
+        F.sort_array(F.collect_list("spot")).alias("spots"))
+    return blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", "spots"))).alias("blocks"))
+
+
+def in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], bounds: DataFrame) -> DataFrame:
+    """Add column slice: the number of the group's bounds below the row's place in the order."""
+    spot = F.struct(*order)
+    joined = join_groups(df, bounds, keys)
+    full = F.size(F.filter("blocks", lambda b: F.element_at(b["spots"], -1) < spot))
+    joined = joined.withColumn("full", F.when(F.col("blocks").isNotNull(), full))
+    width = F.size(F.element_at("blocks", 1)["spots"])
+    rest = F.coalesce(F.size(F.filter(F.get("blocks", F.col("full"))["spots"], lambda b: b < spot)), F.lit(0))
+    rest = F.when(F.col("full") < F.size("blocks"), rest).otherwise(0)
+    place = F.when(F.col("full").isNull(), 0).otherwise(F.col("full") * width + rest)
+    return joined.withColumn("slice", place.cast("long")).drop("blocks", "full")
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   totals: Mapping[str, Column], limit: int = GROUP_ROWS) -> DataFrame:
+                   totals: Mapping[str, Column], limit: int = SLICE_ROWS) -> DataFrame:
     """Add running sums, up to and including each row, in the stated order within each group.
 
     The order must be total within a group for the sums to be well defined.
     """
-    big = oversized_groups(df, keys, limit)
     for name, value in totals.items():
         df = df.withColumn(name, value)
-    if big is None:
+    bounds = settle(slice_bounds(df, keys, order, limit))
+    if bounds.isEmpty():  # nothing to cut: one slice per group
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({name: F.coalesce(F.sum(name).over(w), F.lit(0)) for name in totals})
-    df = _sliced(df, keys, order[0], big, limit)
+    df = in_slices(df, keys, order, bounds)
     per_slice = df.groupBy(*keys, "slice").agg(*[F.sum(n).alias(f"{n}_slice") for n in totals])
     earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
@@ -69,7 +83,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     )
     inside = Window.partitionBy(*keys, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        attach(df, offsets, [*keys, "slice"])
+        join_groups(df, offsets, [*keys, "slice"])
         .withColumns({n: F.coalesce(F.sum(n).over(inside), F.lit(0)) + F.col(f"{n}_before") for n in totals})
         .drop("slice", *[f"{n}_before" for n in totals])
     )
@@ -80,41 +94,42 @@ def value_ties(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
 
 
-def _ranked_values(ties: DataFrame, keys: Sequence[str], value: str, limit: int) -> DataFrame:
-    """Add to each distinct value the number of rows up to and including it, upto."""
-    return running_totals(ties.where(F.col(value).isNotNull()), keys, [value], {"upto": F.col("ties")}, limit)
-
-
 def average_ranks(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str],
-                  limit: int = GROUP_ROWS) -> DataFrame:
+                  limit: int = SLICE_ROWS) -> DataFrame:
     """Add the rank of each named column within its group under the mapped name.
 
-    Ties share the mean of their ranks; a missing value has no rank.
+    Ties share the mean of their ranks; a missing value has no rank. Equal values are counted first and the
+    ranks of distinct values joined back, so df is evaluated once per column and once more: values that a
+    second evaluation could change in the last digit must be settled before.
     """
-    if oversized_groups(df, keys, limit) is None:
-        for value, out in columns.items():
-            within = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
-            ties = F.count(value).over(Window.partitionBy(*keys, value))
-            df = df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(within) + (ties - 1) / 2))
-        return df
     for value, out in columns.items():
-        ranks = _ranked_values(settle(value_ties(df, keys, value)), keys, value, limit).select(
-            *keys, value, (F.col("upto") - (F.col("ties") - 1) / 2).alias(out)
-        )
-        df = df.join(ranks, [*keys, value], "left")
+        ties = value_ties(df.where(F.col(value).isNotNull()), keys, value)
+        ranked = running_totals(ties, keys, [value], {"upto": F.col("ties")}, limit)
+        ranks = ranked.select(*keys, value, (F.col("upto") - (F.col("ties") - 1) / 2).alias(out))
+        df = join_groups(df, ranks, [*keys, value])
     return df
 
 
-def group_medians(df: DataFrame, keys: Sequence[str], value: str, out: str, limit: int = GROUP_ROWS) -> DataFrame:
-    """Exact median per group, the mean of the two middle values when the count is even."""
-    ties = settle(value_ties(df, keys, value))
-    sizes = ties.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(value).isNotNull(), F.col("ties"))), F.lit(0)).alias("n"))
-    ranked = attach(_ranked_values(ties, keys, value, limit), sizes, keys)
+def group_medians(df: DataFrame, keys: Sequence[str], value: str, out: str, limit: int = SLICE_ROWS,
+                  slack: float = MEDIAN_SLACK) -> DataFrame:
+    """Exact median per group, the mean of the two middle values when the count is even; null without values.
+
+    A first scan brackets the middle of every group, the second counts the values below the bracket and keeps
+    the few inside it, equal ones counted once.
+    """
+    near = F.percentile_approx(value, [0.5 - slack, 0.5 + slack], max(MEDIAN_ACCURACY, int(5 / slack)))
+    groups = settle(df.groupBy(*keys).agg(F.count(value).alias("n"), near.alias("near")))
+    placed = join_groups(df.select(*keys, value).where(F.col(value).isNotNull()), groups, keys)
+    below, high = F.col(value) < F.col("near")[0], F.col("near")[1]
+    inside = F.when(~below, F.col(value))
+    ties = placed.where(F.col(value) <= high).groupBy(*keys, inside.alias(value)).agg(F.count(F.lit(1)).alias("ties"))
+    # the values below the bracket are one row with a null value, which sorts first
+    ranked = join_groups(running_totals(ties, keys, [value], {"upto": F.col("ties")}, limit), groups.drop("near"), keys)
     first = F.col("upto") - F.col("ties") + 1
 
     def holds(rank: Column) -> Column:
         return F.max(F.when(rank.between(first, F.col("upto")), F.col(value)))
 
-    low, high = F.ceil(F.col("n") / 2), F.floor(F.col("n") / 2) + 1
-    medians = ranked.groupBy(*keys).agg(((holds(low) + holds(high)) / 2).alias(out))
-    return sizes.select(*keys).join(medians, list(keys), "left")
+    middle, next_one = F.ceil(F.col("n") / 2), F.floor(F.col("n") / 2) + 1
+    medians = ranked.groupBy(*keys).agg(((holds(middle) + holds(next_one)) / 2).alias(out))
+    return join_groups(groups.select(*keys), medians, keys)

@@ -1,4 +1,4 @@
-"""Joins against per-group tables and the check for oversized groups."""
+"""Joins against per-group tables and the spread of costly work."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ratelab.session import settle
 
 BROADCAST_ROWS = 200_000
-GROUP_ROWS = 2_000_000
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left",
@@ -27,13 +26,6 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "l
     return rows.join(table, list(keys), how)
 
 
-def oversized_groups(df: DataFrame, keys: Sequence[str], limit: int = GROUP_ROWS) -> DataFrame | None:
-    """Groups of more than `limit` rows with their sizes (column group_rows), or None when there are none."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows")).where(F.col("group_rows") > limit)
-    sizes = settle(sizes)
-    return None if sizes.isEmpty() else sizes
-
-
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Shuffle by keys into all shuffle partitions, for costly work per row or group downstream.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratelab import constants as C
-from ratelab.operators.running import GROUP_ROWS, average_ranks
+from ratelab.operators.running import SLICE_ROWS, average_ranks
 from ratelab.session import settle
 
 
@@ -95,10 +95,11 @@ def _quantile(df: pd.Series) -> pd.Series:
     return out.astype(object).where(out.notna(), None)
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, limit: int = GROUP_ROWS) -> DataFrame:
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, limit: int = SLICE_ROWS) -> DataFrame:
     """Rank correlation and number of points per group.
 
-    A missing value anywhere in a group, or a constant side, leaves its correlation undefined (null).
+    A missing value anywhere in a group, or a constant side, leaves its correlation undefined (null). The
+    points are settled: ranks are joined back by value, and a mean computed twice can differ in its last digit.
     """
     ranked = average_ranks(settle(df.select(*keys, x, y)), keys, {x: "rank_x", y: "rank_y"}, limit)
     rho = F.try_divide(

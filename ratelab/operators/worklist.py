@@ -130,9 +130,8 @@ def latest_valid(results: DataFrame, keys: Sequence[str], sequence: Sequence[Col
     return best_per_key(results, keys, [valid.cast("int"), *sequence])
 
 
-def transcription_manifest(corpus: DataFrame, root: str | None = None,
-                           order: Sequence[str] = ("file_path",)) -> DataFrame:
-    """Scripted delivery rows, one per file, metadata only, under the canonical column names."""
+def transcription_manifest(corpus: DataFrame, order: Sequence[str], root: str | None = None) -> DataFrame:
+    """Scripted delivery rows, the first of each file in the stated order, metadata only, under the canonical column names."""
     for name, other in (("accent_nationality_origin", "accent"), ("name", "speaker_name")):
         if name not in corpus.columns and other in corpus.columns:
             corpus = corpus.withColumn(name, F.col(other))

@@ -12,19 +12,23 @@ from ratelab.functions.numeric import as_percent, number_or_null
 from ratelab.functions.text import normalize_tokens, remove_fillers
 from ratelab.functions.words import word_error_rate
 from ratelab.operators.groups import gap_to_reference, group_means, mean_and_error, with_keys
-from ratelab.operators.running import GROUP_ROWS, group_medians
+from ratelab.operators.running import SLICE_ROWS, group_medians
 from ratelab.session import settle
 
 
 def score_transcripts(transcripts: DataFrame, scripts: DataFrame, reference: str = "script",
                       on: str = "category") -> DataFrame:
-    """Clean transcript, counts, edit operations and rate per row; failed rows keep the failure word and -1."""
+    """Clean transcript, counts, edit operations and rate per row; failed rows keep the failure word and -1.
+
+    Rows whose category has no script stay, with counts of -1 and the status no_script.
+    """
     raw = F.col("raw_transcription")
     good = raw != C.FAILED
-    rows = transcripts.join(scripts.select(on, reference), on)
+    scripted = F.col("has_script").isNotNull()
+    rows = transcripts.join(scripts.select(on, reference, F.lit(True).alias("has_script")), on, "left")
     rows = rows.withColumn("clean_transcription", F.when(good, remove_fillers(raw)).otherwise(C.FAILED))
     rate = word_error_rate(normalize_tokens(F.col(reference)), normalize_tokens(F.col("clean_transcription")))
-    rows = rows.withColumn("rate", F.when(good, rate))
+    rows = rows.withColumn("rate", F.when(good & scripted, rate))
 
     def count(field: str):
         return F.coalesce(F.col("rate")[field], F.lit(C.FAILED_COUNT))
@@ -36,7 +40,7 @@ def score_transcripts(transcripts: DataFrame, scripts: DataFrame, reference: str
         count("hyp_words").alias("hyp_word_count"),
         count("edit_ops").alias("edit_ops"),
         F.round(F.col("rate")["wer"], 4).alias("wer"),
-        F.when(good, "ok").otherwise("failed").alias("status"),
+        F.when(~scripted, "no_script").when(good, "ok").otherwise("failed").alias("status"),
     )
 
 
@@ -46,12 +50,12 @@ def valid_rates(df: DataFrame, wer: str = "wer") -> DataFrame:
 
 
 def median_by_group(df: DataFrame, group: Sequence[str] = ("accent",), wer: str = "wer",
-                    limit: int = GROUP_ROWS) -> DataFrame:
+                    limit: int = SLICE_ROWS) -> DataFrame:
     return group_medians(valid_rates(with_keys(df, group), wer), group, wer, "median_wer", limit)
 
 
 def rate_table(df: DataFrame, groups: Sequence[str], outer: Sequence[str] = ("model",), group: str = "accent",
-               speaker: str = "speaker_id", wer: str = "wer", limit: int = GROUP_ROWS) -> DataFrame:
+               speaker: str = "speaker_id", wer: str = "wer", limit: int = SLICE_ROWS) -> DataFrame:
     """Median of speaker means in percent, one column per group and Overall, which weighs speakers, not groups."""
     parts = settle(
         with_keys(valid_rates(df, wer), [*outer, speaker])

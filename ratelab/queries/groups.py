@@ -190,7 +190,20 @@ def spearman_by_group(t: Tables) -> DataFrame:
     return rounded(stats.spearman(customer_points(t), ["model_label"], "x", "y"), "rho")
 
 
-@query("spearman_pvalue")
+# Student's t with a whole number of degrees is a finite sum of powers of the cosine of atan(t / sqrt(df)).
+STUDENT = """CASE WHEN {df} % 2 = 0 THEN sin({angle}) * list_sum(list_transform(range({df} // 2),
+      lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0) + 2 * k * ln(cos({angle}))))) / sqrt(pi())
+    ELSE 2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(1, ({df} + 1) // 2),
+      lambda k: exp(lgamma(k) - lgamma(k + 0.5) + (2 * k - 1) * ln(cos({angle}))))), 0) * sqrt(pi()) / 2) END"""
+
+
+@query("spearman_pvalue", f"""
+WITH pts AS (SELECT l_returnflag, round(avg(l_extendedprice), 9) AS x, round(avg(l_discount), 9) AS y FROM lineitem
+    GROUP BY l_suppkey, l_returnflag),
+{RANKS.format(keys='l_returnflag')},
+t AS (SELECT *, CASE WHEN n > 2 THEN atan(abs(rho) / sqrt(greatest(1 - rho * rho, 1e-300))) END AS angle, n - 2 AS df FROM rho)
+SELECT l_returnflag, round(rho, 6) AS rho, n, round(1 - ({STUDENT.format(df='df', angle='angle')}), 6) AS p_value FROM t
+""")
 def spearman_pvalue(t: Tables) -> DataFrame:
     prices = t("lineitem").groupBy("l_suppkey", "l_returnflag").agg(
         F.avg("l_extendedprice").alias("x"), F.avg("l_discount").alias("y")
@@ -210,16 +223,34 @@ def ols_line(t: Tables) -> DataFrame:
     return rounded(rounded(line, "slope", "intercept", "mean_x", "min_x", "max_x", "residual_sd"), "sxx", places=4)
 
 
-@query("confidence_band")
+@query("confidence_band", f"""
+WITH RECURSIVE {CUSTOMER_POINTS},
+line AS (SELECT model_label, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_sxx(y, x) AS sxx, avg(x) AS mean_x,
+    min(x) - 0.005 AS lo, max(x) + 0.005 AS hi, count(*) AS n,
+    sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2)) AS sd FROM pts GROUP BY model_label HAVING count(*) > 2),
+half AS (SELECT 0 AS i, model_label, n - 2 AS df, 0.0::DOUBLE AS a, pi() / 2 AS b FROM line
+    UNION ALL SELECT i + 1, model_label, df, CASE WHEN inside < 0.95 THEN m ELSE a END, CASE WHEN inside < 0.95 THEN b ELSE m END
+    FROM (SELECT *, {STUDENT.format(df='df', angle='m')} AS inside FROM (SELECT *, (a + b) / 2 AS m FROM half)) WHERE i < 60),
+t AS (SELECT model_label, tan(a) * sqrt(df) AS t FROM half WHERE i = 60),
+p AS (SELECT *, lo + point * (hi - lo) / 199 AS x FROM line JOIN t USING (model_label), (SELECT unnest(range(200))::INTEGER AS point)),
+f AS (SELECT *, slope * x + intercept AS fit, t * sd * sqrt(1.0 / n + (x - mean_x) ** 2 / sxx) AS reach FROM p)
+SELECT model_label, point, round(x, 6) AS x, round(fit, 6) AS fit, round(fit - reach, 6) AS low, round(fit + reach, 6) AS high FROM f
+""")
 def confidence_band(t: Tables) -> DataFrame:
     return rounded(stats.confidence_band(customer_points(t), ["model_label"], "x", "y"), "x", "fit", "low", "high")
 
 
 @query("centroids", f"""WITH {CUSTOMER_POINTS}
-SELECT model_label, accent, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n FROM pts GROUP BY model_label, accent
+SELECT model_label, accent, ((2 * sx + n * 1000) // (2 * n * 1000)) / 1e6 AS x, ((2 * sy + n * 1000) // (2 * n * 1000)) / 1e6 AS y, n
+FROM (SELECT model_label, accent, sum(round(x * 1e9)::BIGINT)::BIGINT AS sx, sum(round(y * 1e9)::BIGINT)::BIGINT AS sy, count(*) AS n
+    FROM pts GROUP BY model_label, accent)
 """)
 def centroids(t: Tables) -> DataFrame:
-    return rounded(stats.centroids(customer_points(t), ["model_label", "accent"], "x", "y"), "x", "y")
+    """Means of decimals, so that neither the order of summation nor a binary fraction decides the last digit."""
+    points = customer_points(t)
+    exact = points.withColumns({c: F.col(c).cast("decimal(18,9)") for c in ("x", "y")})
+    middle = rounded(stats.centroids(exact, ["model_label", "accent"], "x", "y"), "x", "y")
+    return middle.withColumns({c: F.col(c).cast("double") for c in ("x", "y")})
 
 
 @query("most_biased_domain", f"""WITH pts AS (SELECT c_mktsegment AS model_label, o_orderstatus AS domain, o_custkey,

@@ -235,7 +235,7 @@ def tolerant_scan(t: Tables) -> DataFrame:
     """Rows per listed file; an absent file is reported, not an error."""
     names = ["documents.parquet", "labels.parquet", "ratings.parquet"]
     found, missing = readers.existing_paths(t.spark, [f"{t.folder}/{n}" for n in names])
-    rows = readers.read_family_parquet(t.spark, f"{t.folder}/{{documents,labels}}.parquet", ["doc_id"], r"^(.*)$", ["file"])
+    rows = readers.read_family_parquet(t.spark, found, ["doc_id"], r"^(.*)$", ["file"])
     counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     listed = [(p.rsplit("/", 1)[1], True) for p in found] + [(p.rsplit("/", 1)[1], False) for p in missing]
     files = t.spark.createDataFrame(listed, "file string, found boolean")

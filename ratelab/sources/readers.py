@@ -126,11 +126,12 @@ def read_family(spark: SparkSession, paths: Sequence[str] | str, schema: T.Struc
     return read_result_table(spark, found, schema, line_breaks).withColumns(tags), missing
 
 
-def read_family_parquet(spark: SparkSession, glob: str, columns: Sequence[str], pattern: str,
+def read_family_parquet(spark: SparkSession, paths: Sequence[str] | str, columns: Sequence[str], pattern: str,
                         dimensions: Sequence[str]) -> DataFrame:
-    """The same over Parquet files that share the named columns."""
+    """The same over Parquet files that share the named columns; a glob may stand for the list."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
     name = F.col("_metadata.file_name")
-    return spark.read.option("mergeSchema", "false").parquet(glob).select(
+    return spark.read.option("mergeSchema", "false").parquet(*paths).select(
         *columns, *[F.regexp_extract(name, pattern, i + 1).alias(d) for i, d in enumerate(dimensions)]
     )
 

@@ -27,12 +27,16 @@ def overwrite_table(df: DataFrame, path: str, columns: Sequence[str]) -> None:
 
 
 def write_timestamps(df: DataFrame, path: str) -> None:
-    """Timestamps in one folder per speaker, in time order; a speaker with very many words gets several files."""
+    """Timestamps in one folder per speaker, in time order; a speaker with very many words gets several files.
+
+    The speakers of df replace what was there of them; others stay.
+    """
     (
         df.select("speaker_id", "word", "start", "end")
         .repartitionByRange("speaker_id", "start")
         .sortWithinPartitions("speaker_id", "start", "end")
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("speaker_id")
         .csv(path, header=True, sep="\t")
     )

@@ -1,3 +1,6 @@
+import statistics
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -16,17 +19,23 @@ def ratings(n=400, seed=0):
     })
 
 
-def row_level_gap(df, z_keys, keys, baseline=("American", "British")):
-    """The same question by row-level scores."""
-    by = df.groupby(list(z_keys)).rating
-    df = df.assign(z=(df.rating - by.transform("mean")) / by.transform("std"))
-    cells = df.groupby([*keys, "accent"]).z.mean().reset_index()
-    native = cells.accent.isin(baseline)
-    base = cells[native].groupby(list(keys)).z.mean()
-    out = {}
-    for key, part in cells[~native].groupby(list(keys)):
-        out[key] = (part.z - base.get(key, 0.0)).mean()
-    return out
+def plain_gap(rows, z_keys, keys, baseline=("American", "British")):
+    """The rule in words: standardise within z_keys, average per group, subtract the mean of the baseline groups, average the rest."""
+    pools, cells = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pools[tuple(r[k] for k in z_keys)].append(r["rating"])
+    for r in rows:
+        pool = pools[tuple(r[k] for k in z_keys)]
+        z = (r["rating"] - statistics.mean(pool)) / statistics.stdev(pool)
+        cells[tuple(r[k] for k in keys), r["accent"]].append(z)
+    level = {cell: statistics.mean(z) for cell, z in cells.items()}
+    gaps = {}
+    for key in {k for k, _ in level}:
+        native = [v for (k, accent), v in level.items() if k == key and accent in baseline]
+        others = [v for (k, accent), v in level.items() if k == key and accent not in baseline]
+        if others:
+            gaps[key] = statistics.mean(others) - (statistics.mean(native) if native else 0.0)
+    return gaps
 
 
 @pytest.mark.parametrize("z_keys", [
@@ -37,7 +46,7 @@ def test_gap_from_moments_equals_row_level_scores(spark, z_keys):
     pdf = pdf[~((pdf.model_label == "m3") & pdf.accent.isin(["American", "British"]))]  # m3 has no baseline rows
     cells = G.mean_zscores(spark.createDataFrame(pdf), z_keys, ["model_label", "prompt_type", "accent"])
     got = {(r.model_label, r.prompt_type): r.gap for r in G.baseline_gap(cells, ["model_label", "prompt_type"], "accent").collect()}
-    want = row_level_gap(pdf, z_keys, ["model_label", "prompt_type"])
+    want = plain_gap(pdf.to_dict("records"), z_keys, ["model_label", "prompt_type"])
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-9)

@@ -7,7 +7,7 @@ from ratelab import constants as C
 from ratelab.plans import distances as D
 from ratelab.plans import ratings as P
 from ratelab.plans import transcripts as TR
-from test_groups import row_level_gap
+from test_groups import plain_gap
 
 MODELS = ["model-a", "model-b"]
 
@@ -42,7 +42,7 @@ def clean(df, column="accent"):
 def test_human_hiring_gap(spark):
     df = replies(1, {"accent_nationality_origin": ACCENT, "prompt_type": C.PROMPT_ORDER, "script_type": ["content", "delivery"]})
     want = clean(df, "accent_nationality_origin").query("script_type == 'delivery'")
-    want = row_level_gap(want, ["model_label", "prompt_type", "script_type"], ["model_label", "prompt_type"])
+    want = plain_gap(want.to_dict("records"), ["model_label", "prompt_type", "script_type"], ["model_label", "prompt_type"])
     check(P.human_hiring_gap(spark.createDataFrame(df)), want)
 
 
@@ -51,7 +51,7 @@ def test_synthetic_gap_collapses_clips_before_the_delivery_filter(spark):
                      "voice_id": [f"v{i}" for i in range(9)], "category": ["c1", "c2"], "script_filename": ["s_disfluent", "s_fluent"]})
     rows = clean(df).sort_values(["script_filename", "model_output"])
     rows = rows.drop_duplicates(["model_label", "prompt_style", "script_type", "accent", "voice_id", "category"]).query("script_type == 'delivery'")
-    want = row_level_gap(rows, ["model_label", "prompt_style", "script_type"], ["model_label", "prompt_style"])
+    want = plain_gap(rows.to_dict("records"), ["model_label", "prompt_style", "script_type"], ["model_label", "prompt_style"])
     check(P.synthetic_hiring_gap(spark.createDataFrame(df)), want)
 
 
@@ -62,14 +62,14 @@ def test_presentation_gap_keeps_fluent_clips_of_each_setting(spark):
     rows = clean(df).query("script_type == 'delivery'")
     kind = rows.script_filename
     rows = rows[((rows.setting == "classroom") & (kind == "bio_conceptual_fluent")) | ((rows.setting == "conference") & (kind == "bio_presentation_fluent"))]
-    want = row_level_gap(rows, ["model_label", "prompt_style", "script_type"], ["model_label", "prompt_style"])
+    want = plain_gap(rows.to_dict("records"), ["model_label", "prompt_style", "script_type"], ["model_label", "prompt_style"])
     want = {(m, s.replace("_v2", "")): v for (m, s), v in want.items()}
     check(P.presentation_gap(spark.createDataFrame(df)), want)
 
 
 def test_language_test_gap_and_all_domains(spark):
     df = replies(4, {"accent": ACCENT, "prompt_style": ["critical", "native"], "script_type": ["content", "delivery", "fluency"]})
-    want = row_level_gap(clean(df).query("script_type == 'delivery'"), ["model_label", "prompt_style"], ["model_label", "prompt_style"])
+    want = plain_gap(clean(df).query("script_type == 'delivery'").to_dict("records"), ["model_label", "prompt_style"], ["model_label", "prompt_style"])
     gap = P.language_test_gap(spark.createDataFrame(df))
     check(gap, want)
     table = P.all_framing_gaps({"English Tests": gap}, [*MODELS, "model-c"]).collect()
@@ -115,6 +115,8 @@ def test_transcript_scoring_and_tables(spark):
         "f1": ("i graduated three years ago really", 6, 6, 0, 0.0, "ok"), "f2": ("i graduated tree years", 6, 4, 3, 0.5, "ok"),
         "f3": ("FAILED", -1, -1, -1, None, "failed"), "f4": ("", 6, 0, 6, 1.0, "ok"),
     }
+    lost = TR.score_transcripts(df.withColumn("category", F.lit("other")), scripts).collect()
+    assert len(lost) == 4 and {(r.status, r.ref_word_count, r.wer) for r in lost} == {("no_script", -1, None)}
     text = scored.withColumn("wer", F.coalesce(F.col("wer").cast("string"), F.lit("FAILED")))
     assert {tuple(r) for r in TR.median_by_group(text).collect()} == {("American", 0.25), ("Indian", 1.0)}
     table = TR.rate_table(text, ["American", "Indian", "British"]).first()

@@ -1,3 +1,5 @@
+import statistics
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,17 +7,24 @@ import pytest
 from ratelab.operators import quality
 
 
-def plain_quality(df, excluded=("ira", "roth")):
-    """The rule on one category in plain pandas."""
-    ref = df[df.accent == "American"]
-    n_ref = ref.groupby("word").n_ref.first()
-    df = df[df.word.isin(n_ref[n_ref >= 2].index)]
-    means = df.groupby(["word", "accent"]).distance.mean().unstack()
-    across = means.drop(columns="American").std(axis=1)
-    within = df[df.accent == "American"].groupby("word").distance.std()
-    snr = (across / within).replace([np.inf, -np.inf], np.nan)
-    dur = df.groupby("word").all_dur.first().reindex(snr.index).fillna(0)
-    return set(snr[(snr >= 1.0) & (dur >= 0.20)].index) - set(excluded)
+def mean(values):
+    return sum(values) / len(values)
+
+
+def plain_quality(rows, excluded=("ira", "roth")):
+    """Good words of one category, word by word: enough references, spread across groups against spread within the reference, length."""
+    good = set()
+    for word in sorted({r["word"] for r in rows} - set(excluded)):
+        mine = [r for r in rows if r["word"] == word]
+        groups = {a: [r["distance"] for r in mine if r["accent"] == a] for a in {r["accent"] for r in mine}}
+        reference = groups.pop("American", [])
+        if len(reference) < 2 or len(groups) < 2:
+            continue
+        within = statistics.stdev(reference)
+        across = statistics.stdev([mean(v) for v in groups.values()])
+        if within > 0 and across / within >= 1.0 and mine[0]["all_dur"] >= 0.20 and mine[0]["n_ref"] >= 2:
+            good.add(word)
+    return good
 
 
 def table(seed=0):
@@ -35,7 +44,7 @@ def table(seed=0):
 def test_quality_words_per_category(spark):
     pdf = table()
     got = quality.quality_words(spark.createDataFrame(pdf), ["category", "word"]).select("category", "word").collect()
-    want = {(c, w) for c, part in pdf.groupby("category") for w in plain_quality(part)}
+    want = {(c, w) for c, part in pdf.groupby("category") for w in plain_quality(part.to_dict("records"))}
     assert len(want) > 5 and {tuple(r) for r in got} == want
 
 
@@ -55,7 +64,7 @@ def test_kept_rows_hold_all_accents(spark):
     pdf = table(5)
     keys = ["category", "word"]
     kept = quality.keep_quality_words(spark.createDataFrame(pdf), keys).toPandas()
-    good = {(c, w) for c, part in pdf.groupby("category") for w in plain_quality(part)}
+    good = {(c, w) for c, part in pdf.groupby("category") for w in plain_quality(part.to_dict("records"))}
     want = pdf[[k in good for k in zip(pdf.category, pdf.word)]]
     assert len(kept) == len(want) and "American" in set(kept.accent)
 

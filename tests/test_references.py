@@ -57,6 +57,15 @@ def test_pool_sizes_without_pairs(spark):
     assert got == want
 
 
+def test_null_measures_leave_the_pool_mean_to_the_values_that_are_there(spark):
+    rows = [("w", "r1", "American", 1.0), ("w", "r2", "American", None), ("w", "r3", "American", 3.0), ("w", "t1", "Indian", 9.0), ("w", "t2", "Indian", None),
+            ("v", "r1", "American", None), ("v", "r2", "American", 4.0)]
+    df = spark.createDataFrame(rows, "word string, speaker_id string, accent string, dur double")
+    got = {(r.word, r.speaker_id): (r.n_ref, r.dur_ref) for r in references.reference_pool(df, ["word"], measures=["dur"]).collect()}
+    assert got == {("w", "r1"): (2, 3.0), ("w", "r2"): (2, 2.0), ("w", "r3"): (2, 1.0), ("w", "t1"): (3, 2.0), ("w", "t2"): (3, 2.0),
+                   ("v", "r1"): (1, 4.0), ("v", "r2"): (1, None)}
+
+
 def test_distance_table_durations_and_short_segments(spark):
     """First occurrence counts; a short reference segment leaves the pool but stays in the mean duration."""
     ts = [("w", "am0", 1.0, 1.5), ("w", "am0", 0.2, 0.3), ("w", "am1", 0.0, 0.4), ("w", "am2", 0.0, 0.02), ("w", "in0", 0.0, 0.6), ("w", "in0", 5.0, 5.1)]

@@ -40,10 +40,15 @@ def test_medians_with_and_without_slices(spark, limit):
     pd.testing.assert_series_equal(got.sort_index(), pdf.groupby("g").v.median().rename("m"))
 
 
+def sizes_of_slices(df, keys, order, limit):
+    bounds = running.slice_bounds(df, keys, order, limit)
+    return running.in_slices(df, keys, order, bounds).groupBy(*keys, "slice").count().toPandas()
+
+
 def test_slices_are_used_and_bounded(spark):
     df = spark.createDataFrame(skewed(4, 4000)).select("g", "v").distinct()
-    big = sizing.oversized_groups(df, ["g"], 100)
-    sizes = running._sliced(df, ["g"], "v", big, 100).groupBy("g", "slice").count().where("g = 'hot'").toPandas()
+    sizes = sizes_of_slices(df, ["g"], ["v"], 100)
+    sizes = sizes[sizes.g == "hot"]
     assert len(sizes) > 5 and sizes["count"].max() < 600
 
 
@@ -51,11 +56,47 @@ def test_many_slices_find_the_same_place_as_one_search(spark):
     df = spark.range(20000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 20011).cast("double").alias("v"))
     got = running.running_totals(df, ["g"], ["v"], {"upto": F.lit(1)}, 40).toPandas().sort_values("v")
     assert (got.upto.to_numpy() == np.arange(1, 20001)).all()
-    big = sizing.oversized_groups(df, ["g"], 40)
-    slices = running._sliced(df, ["g"], "v", big, 40).toPandas().sort_values("v").slice
+    slices = running.in_slices(df, ["g"], ["v"], running.slice_bounds(df, ["g"], ["v"], 40)).toPandas().sort_values("v").slice
     assert slices.is_monotonic_increasing and slices.nunique() > 200
 
 
+def test_few_order_values_and_nulls_are_sliced_by_the_whole_order(spark):
+    at = F.when(F.col("id") % 3 > 0, F.col("id") % 8)
+    df = spark.range(20000).select(F.when(F.col("id") % 2 == 0, "g").alias("g"), at.alias("at"), "id")
+    sizes = sizes_of_slices(df, ["g"], ["at", "id"], 500)
+    assert sizes["count"].max() < 2500 and len(sizes) > 20
+
+
+def odd_rows(spark):
+    rows = [(None if i % 5 == 0 else f"g{i % 2}", None if i % 7 == 0 else float(i * 37 % 8), i) for i in range(1500)]
+    return spark.createDataFrame(rows, "g string, v double, id int")
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+
+def test_null_keys_and_values_do_not_depend_on_the_limit(spark):
+    df = odd_rows(spark)
+    for limit in (40, 7):
+        totals = [rows_of(running.running_totals(df, ["g"], ["v", "id"], {"seen": F.lit(1)}, n), "id", "seen") for n in (10**9, limit)]
+        ranks = [rows_of(running.average_ranks(df, ["g"], {"v": "r"}, n), "id", "r") for n in (10**9, limit)]
+        medians = [rows_of(running.group_medians(df, ["g"], "v", "m", n, slack), "g", "m") for n, slack in ((10**9, 1 / 2000), (limit, 0.2))]
+        assert totals[0] == totals[1] and ranks[0] == ranks[1] and medians[0] == medians[1]
+        assert all(seen is not None for _, seen in totals[0]) and medians[0][0][1] is not None
+    pdf = df.toPandas()
+    want = pdf.groupby("g", dropna=False).v.rank()
+    assert [r for _, r in sorted(ranks[0])] == [None if pd.isna(x) else x for x in want]
+    assert dict(medians[0]) == {None if pd.isna(k) else k: v for k, v in pdf.groupby("g", dropna=False).v.median().items()}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 999, 1000, 20001])
+def test_median_of_any_count(spark, n):
+    values = [float(i * 7919 % 10007 // 3) for i in range(n)]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    assert running.group_medians(df, ["g"], "v", "m").first().m == float(np.median(values))
+
+
 def test_median_edges(spark):
     df = spark.createDataFrame([("e", 1.0), ("e", 2.0), ("o", 5.0), ("n", None), ("t", 1.0), ("t", 1.0), ("t", 9.0), ("t", None)], "g string, v double")
     got = {r.g: r.m for r in running.group_medians(df, ["g"], "v", "m").collect()}

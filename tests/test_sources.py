@@ -48,6 +48,9 @@ def test_timestamps_by_file_and_by_partition(spark, tmp_path):
     assert (tmp_path / "out" / "speaker_id=bo").is_dir()
     back = readers.read_partitioned_timestamps(spark, str(tmp_path / "out"))
     assert {(r.speaker_id, r.word, r.start, r.end) for r in back.collect()} == rows
+    writers.write_timestamps(df.where("speaker_id = 'bo'"), str(tmp_path / "out"))  # a second run replaces a speaker's words
+    again = readers.read_partitioned_timestamps(spark, str(tmp_path / "out")).collect()
+    assert len(again) == len(rows) and {(r.speaker_id, r.word, r.start, r.end) for r in again} == rows
 
 
 def test_manifest_shapes(spark, tmp_path):

@@ -97,11 +97,18 @@ def test_transcription_manifest(spark):
     rows = [("p1", "client-disagreement", "delivery", "Ann", "British"), ("p1", "client-disagreement", "delivery", "Ann", "British"),
             ("p2", "client-disagreement", "content", "Bo", "Indian"), ("p3", "disagreement-unscripted", "delivery", "Cy", "Indian")]
     df = spark.createDataFrame(rows, "file_path string, category string, script_type string, speaker_name string, accent string")
-    got = W.transcription_manifest(df.withColumn("audio", F.lit(b"x")), "root").collect()
+    got = W.transcription_manifest(df.withColumn("audio", F.lit(b"x")), ["file_path", "name"], "root").collect()
     assert len(got) == 1 and "audio" not in got[0]
     assert (got[0].name, got[0].accent_nationality_origin, got[0].full_path) == ("Ann", "British", "root/p1")
 
 
+def test_the_kept_manifest_row_does_not_depend_on_row_order(spark):
+    rows = [("p", "client-disagreement", "delivery", n) for n in ("Cy", "Ann", "Bo")]
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "file_path string, category string, script_type string, name string")
+        assert [r.name for r in W.transcription_manifest(df, ["name"]).collect()] == ["Ann"]
+
+
 def test_voice_script_pairs(spark):
     voices = spark.createDataFrame([("Keith",), ("Ziyu ",)], "name string")
     scripts = [{"filename": "a", "script": "x"}, {"filename": "b", "script": "y"}]
