@@ -69,7 +69,8 @@ def _canonical(kind: Column, mention: Column) -> Column:
     """One form for all spellings of an entity."""
     digits = F.regexp_replace(mention, r"[^0-9]", "")
     bare = F.regexp_replace(mention, _PERSON_HEAD, "")
-    return (F.when(kind == "email", F.lower(mention)).when(kind.isin("card", "ssn", "phone"), digits)
+    national = F.when((F.length(digits) == 11) & mention.startswith("+1"), F.substr(digits, F.lit(2), F.lit(10))).otherwise(digits)
+    return (F.when(kind == "email", F.lower(mention)).when(kind == "phone", national).when(kind.isin("card", "ssn"), digits)
             .when(kind == "iban", F.regexp_replace(mention, " ", "")).when(kind == "secret", F.regexp_replace(mention, _SECRET_HEAD, ""))
             .when(kind == "person", F.lower(F.regexp_replace(bare, r"[  ]+", " "))).otherwise(mention))
 
@@ -198,12 +199,14 @@ def assign(mentions: DataFrame, key: str = KEY) -> DataFrame:
 
 def _rendered(kind: Column, mention: Column, canonical: Column, surrogate: Column) -> Column:
     """The surrogate in the spelling of a mention: its separators, title, head and letter case."""
-    # the digits or letters of the surrogate flow into the places that the mention has for them
+    # the digits or letters of the surrogate flow into the last places that the mention has for them; a country code stays
     chars = F.split(mention, "(?<=.)(?=.)")
     slot = F.when(kind == "iban", "[A-Z0-9]").otherwise("[0-9]")
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
+    places = F.size(F.filter(chars, lambda c: F.regexp_like(c, slot)))
+    start = F.struct(F.lit("").alias("out"), (F.length(surrogate) - places + 1).alias("next"))
     flow = F.aggregate(chars, start, lambda s, c: F.when(
-        F.regexp_like(c, slot), F.struct(F.concat(s["out"], F.substr(surrogate, s["next"], F.lit(1))).alias("out"), (s["next"] + 1).alias("next"))
+        F.regexp_like(c, slot), F.struct(F.concat(s["out"], F.when(s["next"] < 1, c).otherwise(
+            F.substr(surrogate, s["next"], F.lit(1)))).alias("out"), (s["next"] + 1).alias("next"))
     ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["next"].alias("next"))))["out"]
     head = lambda pattern: F.regexp_extract(mention, pattern, 0)
     bare = F.regexp_replace(mention, _PERSON_HEAD, "")
