@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelab.functions.numeric import number_or_null
@@ -14,7 +14,6 @@ from ratelab.plans import distances as D
 from ratelab.plans import ratings as P
 from ratelab.queries.registry import Tables, query
 from ratelab.session import settle
-from ratelab.sources.readers import stack
 
 # The study's groups on the order tables: priority plays the accent, status the prompt style, market
 # segment the model, customer the speaker.
@@ -280,14 +279,16 @@ kept AS (SELECT * FROM quality WHERE n_ref >= 2 AND snr >= 1.0 AND all_dur >= 0.
 
 
 def line_distances(t: Tables) -> DataFrame:
-    items = t("lineitem")
-    durs = items.groupBy(F.col("l_partkey").alias("word")).agg((F.avg("l_quantity") / 100).alias("all_dur"))
-    dist = items.groupBy(
+    # One scan: the durations of a word come from the sums and counts of its speakers' rows.
+    dist = t("lineitem").groupBy(
         F.col("l_partkey").alias("word"), F.col("l_suppkey").alias("speaker_id"), F.col("l_linestatus").alias("category")
     ).agg(
-        F.avg("l_extendedprice").alias("distance"), F.sum("l_linenumber").alias("n_ref"), F.avg("l_discount").alias("norm_dist")
+        F.avg("l_extendedprice").alias("distance"), F.sum("l_linenumber").alias("n_ref"), F.avg("l_discount").alias("norm_dist"),
+        F.sum("l_quantity").alias("total"), F.count("l_quantity").alias("spoken"),
     )
-    return dist.join(durs, "word").withColumn("accent", F.concat(F.lit("a"), F.col("speaker_id") % 5))
+    word = Window.partitionBy("word")
+    all_dur = F.sum("total").over(word) / F.sum("spoken").over(word) / 100
+    return dist.withColumn("all_dur", all_dur).drop("total", "spoken").withColumn("accent", F.concat(F.lit("a"), F.col("speaker_id") % 5))
 
 
 LIMITS = {"excluded": (7, 77), "reference": "a0"}
@@ -321,11 +322,8 @@ def distance_vs_score(t: Tables) -> DataFrame:
     speakers = keep_quality_words(line_distances(t), ["category", "word"], **LIMITS).groupBy(
         F.col("speaker_id").alias("speaker_key"), "accent"
     ).agg(F.avg("norm_dist").alias("mean_norm_dist"))
-    scores = stack(
-        t("lineitem").where(F.col("l_returnflag") == flag).groupBy(F.col("l_suppkey").alias("speaker_key"))
-        .agg(F.avg("l_tax").alias("delivery")).withColumn("domain", F.lit(flag))
-        for flag in ("A", "N", "R")
-    )
+    scores = t("lineitem").groupBy(F.col("l_returnflag").alias("domain"), F.col("l_suppkey").alias("speaker_key")).agg(
+        F.avg("l_tax").alias("delivery"))
     # Means of equal values differ in the last bit with the order of summation; rounding keeps ties ties.
     points = settle(rounded(D.score_points(speakers, scores), "mean_norm_dist", "delivery", places=9))
     rho = D.score_correlations(points, ["domain"]).select("domain", "rho", "n")
