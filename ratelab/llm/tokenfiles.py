@@ -25,18 +25,27 @@ from ratelab.llm.frames import file_system, id_text, partitions, read_files, set
 
 END_ID = 0
 FILE_TOKENS = 1 << 22
-CACHE_WORDS = 150_000
+CACHE_WORDS = 200_000
 MAGIC = b"TOKHUF1\n"
 
 
-_BLANK_AFTER_SPACE = re.compile(r"\s ")
+_SPACES, _CUT, _BEFORE_BLANK = re.compile(r"\s\s"), "\x01", re.compile(r"(?<=\S)(?= )")
+_MARKS = frozenset(".,;:!?")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xAD)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Encode texts with the tokenizers library, remembering the ids of pieces between blanks.
 
-    No pre-token of a byte-level vocabulary runs across the place between a non-blank and a blank, so a text
-    may be cut there. Two generations of remembered pieces keep the memory bounded.
+    No pre-token of a byte-level vocabulary runs across the place between a non-blank and a blank, or on
+    either side of a line break between non-blanks, so a text may be cut there. Two generations of remembered
+    pieces keep the memory bounded.
     """
 
     def __init__(self, path: str, room: int = CACHE_WORDS):
@@ -45,30 +54,38 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letter_of = _byte_letters()
         self.room, self.new, self.old = room, {}, {}
 
     def pieces(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        out = parts[:1] + [" " + p for p in parts[1:]]
-        if _BLANK_AFTER_SPACE.search(text):
-            joined: list[str] = []
-            for p in out:  # a blank after white space belongs to the piece before
-                if joined and (not joined[-1] or joined[-1][-1].isspace()):
-                    joined[-1] += p
-                else:
-                    joined.append(p)
-            return joined
-        return out
+        if _CUT in text or _SPACES.search(text):
+            return _BEFORE_BLANK.split(text)
+        return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split(_CUT)
 
     def learn(self, pieces: set[str]) -> None:
-        missing = []
-        for p in pieces:
-            if p not in self.new:
-                if p in self.old:
-                    self.new[p] = self.old[p]
-                else:
-                    missing.append(p)
-        for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+        """Remember the ids of pieces: plain words by the model alone, words with a mark as word and mark, others as texts."""
+        missing, marked = [], []
+        for p in pieces - self.new.keys():
+            if p in self.old:
+                self.new[p] = self.old[p]
+            elif p[-1:] in _MARKS and p[-2:-1].isalpha():
+                marked.append(p)
+            else:
+                missing.append(p)
+        stems = {p[:-1] for p in marked} | {p[-1] for p in marked}
+        if stems:
+            self.learn(stems)
+        for p in marked:
+            self.new[p] = self.new[p[:-1]] + self.new[p[-1]]
+        others = []
+        tokenize, letter_of = self.tokenizer.model.tokenize, self.letter_of
+        for p in missing:
+            if p.lstrip(" ").isalpha() and p[1:2] != " ":
+                word = p.encode().decode("latin-1").translate(letter_of)
+                self.new[p] = np.array([t.id for t in tokenize(word)], "<u4").tobytes()
+            else:
+                others.append(p)
+        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             self.new[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -83,9 +100,9 @@ class Encoder:
             if len(self.new) > self.room:
                 self.old, self.new = self.new, {}
             self.learn(set().union(*group))
-            known = self.new
+            known = self.new.__getitem__
             for pieces in group:
-                yield np.frombuffer(b"".join([known[p] for p in pieces]), "<u4")
+                yield np.frombuffer(b"".join(map(known, pieces)), "<u4")
 
 
 def _packed(ids: np.ndarray) -> bytes:
