@@ -85,7 +85,9 @@ def train_dictionary(pages: DataFrame, id_col: str, html_col: str, rows: int = D
     """
     html = F.col(f"`{html_col}`").cast("string")
     few = pages.select(F.xxhash64(F.col(f"`{id_col}`")).alias("place"), html.alias("html")).where((F.octet_length("html") > 0) & (F.octet_length("html") <= page_bytes))
-    samples = [r.html.encode() for r in few.orderBy("place", "html").limit(rows).collect()]
+    last = few.select("place").distinct().orderBy("place").limit(rows).agg(F.max("place")).first()[0]
+    chosen = few.where(F.col("place") <= last).groupBy("place").agg(F.min("html").alias("html"))  # one page per hash
+    samples = [r.html.encode() for r in chosen.orderBy("place").collect()] if last is not None else []
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
