@@ -83,7 +83,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return id_text(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
 
-def train(sample: DataFrame, features: int = FEATURES, smoothing: float = 1.0, l2: float = 1e-3) -> Model:
+def train(sample: DataFrame, features: int = FEATURES, smoothing: float = 1.0, l1: float = 1e-3) -> Model:
     """Fit a model to (text, toxic). Without rows, or with one label only, every score is the label's share."""
     sample = settle(sample.repartition(8))
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -97,7 +97,7 @@ def train(sample: DataFrame, features: int = FEATURES, smoothing: float = 1.0, l
     model = Model(place, ratio, 0.0)
     rows = sample.mapInArrow(lambda batches: _bit_rows(batches, model), "bits binary, toxic int").collect()
     x = [np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), count=len(ratio))) for r in rows]
-    weight, bias = _fit(x, np.array([r.toxic for r in rows], float), ratio, l2)
+    weight, bias = _fit(x, np.array([r.toxic for r in rows], float), ratio, l1)
     return Model(place, weight * ratio, bias)
 
 
@@ -137,20 +137,31 @@ def _bit_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), batch.column(1)], names=["bits", "toxic"])
 
 
-def _fit(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on rows of scaled feature bits by accelerated gradient steps."""
+def _fit(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l1: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Sparse logistic regression on rows of scaled feature bits by accelerated proximal gradient steps.
+
+    Both labels weigh the same in the loss, however rare one is, and the penalty on absolute weights leaves few
+    n-grams in use, so that labels of a rare language are not drowned by chance features of a common one.
+    """
     row = np.repeat(np.arange(len(x)), [len(v) for v in x])
     col = np.concatenate(x) if x else np.zeros(0, int)
     scale = ratio[col]
-    reach = np.bincount(row, scale * scale, len(x)).max(initial=0) + 1
-    rate = 4 / (reach + 4 * l2)
-    w, b = np.zeros(len(ratio)), float(np.log(y.mean() / (1 - y.mean())))
+    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(x)
+    # the largest curvature of the loss, by power steps, bounds the step
+    way, reach = np.ones(len(ratio)), 0.0
+    for _ in range(30):
+        way = np.bincount(col, scale * np.bincount(row, scale * way[col], len(x))[row], len(ratio))
+        reach = float(np.linalg.norm(way))
+        way = way / (reach or 1.0)
+    rate = 1 / (1.1 * balance.max() * (reach + len(x)) / 4)
+    w, b = np.zeros(len(ratio)), 0.0
     ahead_w, ahead_b = w, b
     for i in range(rounds):
         z = np.bincount(row, scale * ahead_w[col], len(x)) + ahead_b
-        miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        new_w = ahead_w - rate * (np.bincount(col, scale * miss[row], len(ratio)) / len(x) * len(x) ** 0.5 + l2 * ahead_w)
-        new_b = ahead_b - rate * miss.sum() / len(x) ** 0.5
+        miss = balance * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+        new_w = ahead_w - rate * np.bincount(col, scale * miss[row], len(ratio))
+        new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * l1, 0)
+        new_b = ahead_b - rate * miss.sum()
         push = i / (i + 3)
         ahead_w, ahead_b = new_w + push * (new_w - w), new_b + push * (new_b - b)
         w, b = new_w, new_b
