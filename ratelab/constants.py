@@ -102,3 +102,9 @@ TRANSCRIPTION_COLUMNS = [
     "ref_word_count", "hyp_word_count", "edit_ops", "wer",
 ]
 # End of fixed values.
+
+# The texts that the analysis reader takes as missing.
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)

@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 from ratelab.session import settle
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left",
-           broadcast_rows: int = BROADCAST_ROWS, settled: bool = False) -> DataFrame:
+           broadcast_rows: int = BROADCAST_ROWS, settled: bool = False,
+           broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join a per-group table back onto its rows.
 
-    The table is computed once and counted. Up to broadcast_rows it is broadcast, so the rows are not
-    shuffled and a hot group stays spread over its scan tasks. A larger table takes part in an
-    ordinary join, whose skewed partitions adaptive execution splits.
+    The table is computed once and measured. Up to broadcast_rows and broadcast_bytes (of its rows as text)
+    it is broadcast, so the rows are not shuffled and a hot group stays spread over its scan tasks. A larger
+    table takes part in an ordinary join, whose skewed partitions adaptive execution splits.
     """
     table = table if settled else settle(table)
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns])))
+    count, size = table.select(width.alias("width")).agg(F.count(F.lit(1)), F.coalesce(F.sum("width"), F.lit(0))).first()
+    if count <= broadcast_rows and size <= broadcast_bytes:
         table = F.broadcast(table)
     return rows.join(table, list(keys), how)
 

@@ -15,19 +15,19 @@ from ratelab.operators.picks import best_per_key, first_per_key, keep_mapped
 from ratelab.operators.sizing import attach, fan_out
 
 
-PROMPT_ROWS = 10_000  # prompts are long texts
+SCRIPT_BLOCKS = 16
 
 
 def pair_with_prompts(clips: DataFrame, prompts: DataFrame, on: str = "category") -> DataFrame:
     """Every clip with every prompt of its category.
 
     Columns on both sides take the prompt's value; the clip's own are kept with the prefix clip_.
-    Prompts are counted and, while few, broadcast, so a category with most clips needs no shuffle.
+    Prompts are measured and, while small, broadcast, so a category with most clips needs no shuffle.
     """
     shared = [c for c in clips.columns if c in prompts.columns and c != on]
     for c in shared:
         clips = clips.withColumnRenamed(c, f"clip_{c}")
-    return attach(clips, prompts, [on], "inner", broadcast_rows=PROMPT_ROWS)
+    return attach(clips, prompts, [on], "inner")
 
 
 def without_prompts(clips: DataFrame, prompts: DataFrame, on: str = "category") -> DataFrame:
@@ -52,7 +52,7 @@ def corpus_work(recordings: DataFrame, prompts: DataFrame) -> DataFrame:
     """Recordings of the known categories with the prompts of the matching prompt category."""
     known = keep_mapped(recordings, "category", C.CORPUS_CATEGORIES, "prompt_category")
     prompts = prompts.withColumnRenamed("category", "prompt_category")
-    return attach(known, prompts, ["prompt_category"], "inner", broadcast_rows=PROMPT_ROWS).drop("prompt_category")
+    return attach(known, prompts, ["prompt_category"], "inner").drop("prompt_category")
 
 
 def corpus_metadata(recordings: DataFrame) -> DataFrame:
@@ -86,17 +86,21 @@ def progress(manifest: DataFrame, results: DataFrame, keys: Sequence[str], outpu
 
 def score_pending(work: DataFrame, score: Callable[[dict], str | None], columns: Sequence[str],
                   output: str = "model_output", keep_failed: bool = True, attempts: int = C.MAX_ATTEMPTS,
-                  error_prefix: str = C.ERROR_PREFIX, drop_returns: bool = True) -> DataFrame:
+                  error_prefix: str = C.ERROR_PREFIX, drop_returns: bool = True,
+                  leave: Sequence[str] = ()) -> DataFrame:
     """Call a scoring function for every row, on the executors, with retries.
 
-    The function gets the named columns of a row and returns text; an exception, an empty reply, a
+    The function gets the named columns of a row and returns text; columns in `leave`, such as audio samples,
+    are for the function alone and do not come back. Where rows are that large, bound what a batch holds by
+    spark.sql.execution.arrow.maxRecordsPerBatch; an exception, an empty reply, a
     rate-limit or an error reply is a failed attempt. After the last attempt the row is kept with the
     failure word, or dropped. Adds the output and a status. Waiting between attempts is left to the
     function. Pending rows are spread over all shuffle partitions first: they are few in bytes, and the
     calls are what takes time. The call is opaque to the optimizer, so finished work must be removed before, and the
     result should be written (append_results) or settled before it is read twice.
     """
-    schema = T.StructType(list(work.schema.fields) + [T.StructField("reply", T.StringType())])
+    kept = [f for f in work.schema.fields if f.name not in leave]
+    schema = T.StructType(kept + [T.StructField("reply", T.StringType())])
     markers = list(C.RATE_LIMIT_MARKERS)
 
     def attempt(row: dict) -> str | None:
@@ -114,7 +118,7 @@ def score_pending(work: DataFrame, score: Callable[[dict], str | None], columns:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = batch[list(columns)].to_dict("records")
-            yield batch.assign(reply=pd.Series([attempt(r) for r in rows], index=batch.index, dtype=object))
+            yield batch.drop(columns=list(leave)).assign(reply=pd.Series([attempt(r) for r in rows], index=batch.index, dtype=object))
 
     scored = fan_out(work).mapInPandas(run, schema)
     scored = scored.withColumn("reply", flatten_breaks(F.col("reply"), drop_returns))
@@ -142,15 +146,20 @@ def transcription_manifest(corpus: DataFrame, order: Sequence[str], root: str |
     return rows if root is None else rows.withColumn("full_path", F.concat_ws("/", F.lit(root), "file_path"))
 
 
-def voice_script_pairs(voices: DataFrame, scripts: Sequence[dict[str, str]]) -> DataFrame:
-    """Clip metadata for every voice and every script of a short list, without joining."""
-    names = list(scripts[0])
-    items = F.array(*[F.struct(*[F.lit(s[n]).alias(n) for n in names]) for s in scripts])
-    return voices.withColumn("one", F.explode(items)).select(*voices.columns, *[F.col("one")[n].alias(n) for n in names])
+def voice_script_pairs(voices: DataFrame, scripts: DataFrame, blocks: int = SCRIPT_BLOCKS) -> DataFrame:
+    """Clip metadata for every voice and every script, all pairs by definition.
+
+    Scripts are dealt into blocks by their hash and every voice meets every block, so that the pairs of one
+    voice or script are spread over tasks and no table passes through the driver; a small table of scripts is
+    broadcast by its size in bytes. Equal scripts stay apart; without scripts there are no pairs.
+    """
+    dealt = scripts.withColumn("_block", F.pmod(F.hash(*[F.col(f"`{c}`") for c in scripts.columns]), F.lit(blocks)))
+    every = voices.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return every.join(dealt, "_block").drop("_block")
 
 
 def read_short_list(df: DataFrame, most: int = 10_000) -> list[dict[str, str]]:
-    """Rows of a small dimension table; refuses a table that is not small."""
+    """Rows of a small dimension table, for a message; refuses a table that is not small."""
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows: not a dimension table")

@@ -31,7 +31,7 @@ def rate_corpus(recordings: DataFrame, prompts: DataFrame, results: DataFrame, s
     work = W.corpus_work(W.corpus_metadata(recordings), prompts)
     work = W.pending(work, results, ["file_path", "prompt_type", "script_type"])
     work, extra = _with_audio(work, audio, ["file_path"])
-    scored = W.score_pending(work, score, ["prompt", "file_path", *extra])
+    scored = W.score_pending(work, score, ["prompt", "file_path", *extra], leave=extra)
     return scored.select(
         *C.METADATA_COLUMNS, "prompt_type", "script_type", "prompt", F.lit(model).alias("model_version"), "model_output"
     )
@@ -44,8 +44,8 @@ def rate_synthetic(clips: DataFrame, prompts: DataFrame, results: DataFrame, sco
     keys = ["speaker_name", "script_filename"]
     work = W.pending(work, results, [*keys, "prompt_type", "prompt"])
     work, extra = _with_audio(work, audio, keys)
-    scored = W.score_pending(work, score, ["prompt", *keys, *extra], keep_failed=False)
-    return scored.drop("status", *extra).withColumn("model_version", F.lit(model))
+    scored = W.score_pending(work, score, ["prompt", *keys, *extra], keep_failed=False, leave=extra)
+    return scored.drop("status").withColumn("model_version", F.lit(model))
 
 
 def transcribe(manifest: DataFrame, scripts: DataFrame, results: DataFrame, score: Score, model: str,
@@ -58,6 +58,7 @@ def transcribe(manifest: DataFrame, scripts: DataFrame, results: DataFrame, scor
     work = W.pending(work, results, ["file_path", "model"], "raw_transcription", None)
     work, extra = _with_audio(work, audio, ["file_path"])
     scored = W.score_pending(
-        work, score, ["file_path", *extra], "raw_transcription", error_prefix=C.TRANSCRIPT_ERROR_PREFIX, drop_returns=False
+        work, score, ["file_path", *extra], "raw_transcription", error_prefix=C.TRANSCRIPT_ERROR_PREFIX, drop_returns=False,
+        leave=extra,
     )
-    return score_transcripts(scored.drop("status", *extra), scripts).select(*C.TRANSCRIPTION_COLUMNS, "status")
+    return score_transcripts(scored.drop("status"), scripts).select(*C.TRANSCRIPTION_COLUMNS, "status")

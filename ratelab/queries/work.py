@@ -73,8 +73,7 @@ def clips_without_prompts(t: Tables) -> DataFrame:
 SELECT c_custkey, c_name, r_name || '.wav' AS script_filename, r_regionkey FROM customer, region
 """)
 def voice_script_cross(t: Tables) -> DataFrame:
-    scripts = W.read_short_list(t("region").select("r_name", "r_regionkey"), most=1000)
-    pairs = W.voice_script_pairs(t("customer").select("c_custkey", "c_name"), scripts)
+    pairs = W.voice_script_pairs(t("customer").select("c_custkey", "c_name"), t("region").select("r_name", "r_regionkey"))
     return pairs.select("c_custkey", "c_name", F.concat("r_name", F.lit(".wav")).alias("script_filename"), "r_regionkey")
 
 

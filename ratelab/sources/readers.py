@@ -9,21 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ratelab import constants as C
 from ratelab import schemas
 from ratelab.operators.worklist import read_short_list
 
 
 def read_table(spark: SparkSession, path: str | list[str], schema: T.StructType, sep: str = ",",
-               line_breaks: bool = True) -> DataFrame:
+               line_breaks: bool = True, missing: Sequence[str] | None = C.MISSING_WORDS) -> DataFrame:
     """A header CSV. Quotes are doubled and fields may hold line breaks; columns go by position.
 
-    The text NA, which the analysis takes as missing, becomes null along with empty fields. A file
-    whose fields may hold line breaks is read by one task; say line_breaks=False for large files
+    A field that is empty or one of the words of `missing`, as the analysis takes them, becomes null, and
+    so does a number that is none. With missing=None texts stay as they stand, empty ones too. A file whose fields may hold line breaks is read by one task; say line_breaks=False for large files
     without them, which are then split. Result tables that grow are kept as Parquet.
     """
     df = spark.read.csv(path, schema=schema, header=True, sep=sep, multiLine=line_breaks, quote='"', escape='"')
-    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({n: F.nullif(F.col(f"`{n}`"), F.lit("NA")) for n in texts}) if texts else df
+    changed = {}
+    for field in schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType):
+            changed[field.name] = F.coalesce(column, F.lit("")) if missing is None else F.when(~column.isin(*missing), column)
+        elif isinstance(field.dataType, (T.DoubleType, T.FloatType)) and missing is not None:
+            changed[field.name] = F.when(~F.isnan(column), column)
+    return df.withColumns(changed) if changed else df
 
 
 def read_result_table(spark: SparkSession, path: str | list[str], schema: T.StructType,
@@ -41,7 +48,7 @@ def stack(frames: Iterable[DataFrame]) -> DataFrame:
 def read_prompts(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
     """Prompt files stacked, each tagged with its key as prompt_type."""
     return stack(
-        read_table(spark, path, schemas.PROMPTS).withColumn("prompt_type", F.lit(key)) for key, path in files.items()
+        read_table(spark, path, schemas.PROMPTS, missing=None).withColumn("prompt_type", F.lit(key)) for key, path in files.items()
     )
 
 

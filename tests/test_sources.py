@@ -15,7 +15,7 @@ def test_prompts_with_quotes_and_line_breaks(spark, tmp_path):
     got = readers.read_prompts(spark, {"critical": str(tmp_path / "critical.csv"), "ideal": str(tmp_path / "ideal.csv")}).collect()
     assert [tuple(r) for r in got] == [
         ("Personal-Introduction", "content", 'Say "Rating: X", where\nX is a digit, please', "critical"),
-        ("A", "delivery", None, "critical"), ("B", "content", "short", "ideal"),
+        ("A", "delivery", "NA", "critical"), ("B", "content", "short", "ideal"),
     ]
 
 
@@ -118,3 +118,12 @@ def test_stack_fills_absent_columns(spark):
     a, b = spark.createDataFrame([(1, "x")], "i int, s string"), spark.createDataFrame([(2,)], "i int")
     assert [tuple(r) for r in readers.stack([a, b]).orderBy("i").collect()] == [(1, "x"), (2, None)]
     assert readers.stack([a, b]).where(F.col("s").isNull()).count() == 1
+
+
+def test_two_modes_for_missing_values(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("a,b\nNULL,NaN\nNone,1.5\n,n/a\nNope,\n")
+    schema = spark.createDataFrame([], "a string, b double").schema
+    assert [tuple(r) for r in readers.read_table(spark, str(path), schema).collect()] == [(None, None), (None, 1.5), (None, None), ("Nope", None)]
+    plain = readers.read_table(spark, str(path), schema, missing=None).collect()
+    assert [r.a for r in plain] == ["NULL", "None", "", "Nope"]

@@ -111,9 +111,11 @@ def test_the_kept_manifest_row_does_not_depend_on_row_order(spark):
 
 def test_voice_script_pairs(spark):
     voices = spark.createDataFrame([("Keith",), ("Ziyu ",)], "name string")
-    scripts = [{"filename": "a", "script": "x"}, {"filename": "b", "script": "y"}]
+    scripts = spark.createDataFrame([("a", "x"), ("b", "y")], "filename string, script string")
     got = sorted(tuple(r) for r in W.voice_script_pairs(voices, scripts).collect())
     assert got == [("Keith", "a", "x"), ("Keith", "b", "y"), ("Ziyu ", "a", "x"), ("Ziyu ", "b", "y")]
+    twice = W.voice_script_pairs(voices, scripts.union(scripts).union(spark.createDataFrame([(None, None)], scripts.schema)))
+    assert twice.count() == 10 and W.voice_script_pairs(voices, scripts.limit(0)).count() == 0
 
 
 def test_short_list_refuses_a_long_table(spark):
@@ -122,3 +124,9 @@ def test_short_list_refuses_a_long_table(spark):
     assert len(W.read_short_list(spark.range(3))) == 3
     with pytest.raises(ValueError):
         W.read_short_list(spark.range(4), most=3)
+
+
+def test_columns_for_the_function_alone_do_not_come_back(spark):
+    work = spark.createDataFrame([(1, [0.5]), (2, [1.0, 2.0])], "id int, samples array<double>")
+    scored = W.score_pending(work, lambda r: str(len(r["samples"])), ["id", "samples"], leave=["samples"])
+    assert scored.columns == ["id", "status", "model_output"] and sorted((r.id, r.model_output) for r in scored.collect()) == [(1, "1"), (2, "2")]
