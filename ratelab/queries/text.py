@@ -158,7 +158,8 @@ def transcript_scores(t: Tables) -> DataFrame:
     raw = F.when(F.col("role") == "system", "FAILED").otherwise(F.col("text"))
     replies = t("conversations").select((key - 1).alias("category"), raw.alias("raw_transcription"))
     scored = P.score_transcripts(fan_out(replies, "category"), fan_out(scripts, "category"))
-    return scored.withColumn("failed", F.col("status") == "failed").drop("raw_transcription", "status")
+    scripted = scored.where("status <> 'no_script'")
+    return scripted.withColumn("failed", F.col("status") == "failed").drop("raw_transcription", "status")
 
 
 @query("median_wer_by_group", RATES + """
