@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelab.llm import bpe, decontaminate, hilbert, html, simhash, surrogates, tokenfiles, topk, toxicity, warc
+from ratelab.llm import bpe, decontaminate, hilbert, html, simhash, surrogates, tokenfiles, topk, toxicity, warc, whitening
 from ratelab.llm.frames import shared_folder
 from ratelab.llm.sql import SQL
 
@@ -100,3 +100,8 @@ def op7_token_files(table):
 @query
 def op10_html_extraction(table):
     return html.extract(table("pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_embedding_whitening(table):
+    return whitening.whiten(table("embeddings"))
