@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelab.llm import bpe, decontaminate, hilbert, html, simhash, surrogates, tokenfiles, topk, toxicity, warc, whitening
+from ratelab.llm import bpe, decontaminate, hilbert, html, resampling, simhash, surrogates, tokenfiles, topk, toxicity, warc, whitening
 from ratelab.llm.frames import shared_folder
 from ratelab.llm.sql import SQL
 
@@ -105,3 +105,8 @@ def op10_html_extraction(table):
 @query
 def op11_embedding_whitening(table):
     return whitening.whiten(table("embeddings"))
+
+
+@query
+def op13_importance_resampling(table):
+    return resampling.resample(table("documents"), table("benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
