@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratelab.llm import spans
 from ratelab.llm.crc import crc32_of_spans
 from ratelab.llm.frames import shared_folder
 
@@ -24,7 +24,6 @@ SEED = 42
 LEAST_WORDS = 20
 PERCENT = 5
 RUN_WORDS = 1 << 18
-GROUP_BYTES = 1 << 23
 BINS = 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -33,36 +32,13 @@ _IN_WORD = np.zeros(256, bool)
 _IN_WORD[ord("0"):ord("9") + 1] = _IN_WORD[ord("A"):ord("Z") + 1] = _IN_WORD[ord("a"):ord("z") + 1] = _IN_WORD[0x80:] = True
 
 
-def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word in the bytes of several texts one after the other, and its text's number."""
-    inside = _IN_WORD[data]
-    before, after = np.empty_like(inside), np.empty_like(inside)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    edges = offsets[(offsets > offsets[0]) & (offsets < offsets[-1])]
-    before[0] = after[-1] = False
-    before[edges], after[edges - 1] = False, False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
-
-
-def _firsts(codes: np.ndarray) -> np.ndarray:
-    """Where each code occurs first; codes are numbered in the order of their first occurrence."""
-    return np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
-
-
-def _codes(values: pa.Array) -> np.ndarray:
-    return values.dictionary_encode().indices.to_numpy().astype(np.int64)
-
-
 def text_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int, grams: int = GRAMS, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(number of words, buckets of all features) of texts given as bytes and offsets; features one text after the other.
 
     A text holds its features by length, then by place. Words are taken in runs, however long a text is.
     """
     texts = len(offsets) - 1
-    if not len(data):
-        return np.zeros(texts, np.int64), np.zeros(0, np.uint16)
-    starts, ends, text = _spans(data, offsets)
+    starts, ends, text = spans.words(data, offsets, _IN_WORD)
     words = np.bincount(text, minlength=texts)
     features = sum(np.maximum(words - n, 0) for n in range(grams))
     first_word, first_feature = np.cumsum(words) - words, np.cumsum(features) - features
@@ -70,21 +46,18 @@ def text_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int, grams: int
     for at in range(0, len(starts), run_words):
         to = min(len(starts), at + run_words + grams - 1)
         run, number = min(run_words, len(starts) - at), text[at:to]
-        lengths = (ends - starts)[at:to]
-        begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-        source = np.repeat(starts[at:to] - begins[:-1], lengths + 1) + np.arange(begins[-1])
-        joined = _LOWER[data[np.minimum(source, len(data) - 1)]]
-        joined[begins[1:] - 1] = 0x20
-        codes = own = _codes(pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(joined)]))
+        joined, begins = spans.joined(data, starts[at:to], ends[at:to])
+        joined = _LOWER[joined]
+        codes = own = spans.word_codes(joined, begins)
         for n in range(grams):
             if n:  # a longer feature is a shorter one and the word after it
-                codes = _codes(pa.array(codes[:-1] * (own.max() + 1) + own[n:]))
+                codes = spans.codes(codes[:-1] * (own.max() + 1) + own[n:])
             count = min(run, len(codes))
             whole = np.flatnonzero(number[:count] == number[n:n + count])  # features that end in the text they begin in
             if not len(whole):
                 continue
-            held = _codes(pa.array(codes[whole]))
-            one = whole[_firsts(held)]
+            held = spans.codes(codes[whole])
+            one = whole[spans.firsts(held)]
             crc = crc32_of_spans(joined, begins[one], begins[one + n + 1] - 1 - begins[one])
             owner = number[whole]
             place = first_feature[owner] + sum(np.maximum(words[owner] - k, 0) for k in range(n)) + at + whole - first_word[owner]
@@ -92,18 +65,6 @@ def text_buckets(data: np.ndarray, offsets: np.ndarray, buckets: int, grams: int
     return words, out
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Groups of a column's texts: from, to, their bytes, and their offsets in them."""
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP_BYTES, "right")) - 1)
-        yield at, to, data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
-        at = to
-
-
 def hashed(docs: DataFrame, id_col: str | None, text_col: str, buckets: int, grams: int) -> DataFrame:
     """(doc_id, n_words, buckets): of every text the buckets of all its features, packed as 16-bit integers; null texts have none."""
     if buckets > 1 << 16:
@@ -113,7 +74,7 @@ def hashed(docs: DataFrame, id_col: str | None, text_col: str, buckets: int, gra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, data, offsets in _texts(batch.column("text")):
+            for at, to, data, offsets in spans.texts(batch.column("text")):
                 words, found = text_buckets(data, offsets, buckets, grams)
                 cuts = np.concatenate([[0], np.cumsum(sum(np.maximum(words - n, 0) for n in range(grams)))]) * 2
                 packed = found.astype("<u2").tobytes()

@@ -8,7 +8,7 @@ import oracle
 import pyarrow as pa
 import pytest
 
-from ratelab.llm import crc, queries, resampling
+from ratelab.llm import crc, queries, resampling, spans
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -53,7 +53,7 @@ def test_crc_of_spans_of_all_lengths():
 @pytest.mark.parametrize("run_words", [1, 4, resampling.RUN_WORDS])
 def test_buckets_of_odd_texts(run_words):
     texts = ["", "A b C d", "x", None, "Élan vital! ää-ÄÄ 12", "  \x00", "q w", "w" * 5000 + " e " + "é" * 700, "a a a a a a", "　中文 字,字"]
-    for at, to, data, offsets in resampling._texts(pa.array(texts)):
+    for at, to, data, offsets in spans.texts(pa.array(texts)):
         words, found = resampling.text_buckets(data, offsets, 10_000, 3, run_words)
         want = [features(t) for t in texts[at:to]]
         assert words.tolist() == [n for n, _ in want]
