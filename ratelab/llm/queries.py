@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelab.llm import bpe, decontaminate, hilbert, html, resampling, simhash, surrogates, tokenfiles, topk, toxicity, warc, whitening
+from ratelab.llm import bpe, decontaminate, fertility, hilbert, html, resampling, simhash, surrogates, tokenfiles, topk, toxicity, warc, whitening
 from ratelab.llm.frames import shared_folder
 from ratelab.llm.sql import SQL
 
@@ -110,3 +110,14 @@ def op11_embedding_whitening(table):
 @query
 def op13_importance_resampling(table):
     return resampling.resample(table("documents"), table("benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def fertility_vocabularies() -> fertility.Vocabularies:
+    return fertility.Vocabularies(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_tokeniser_fertility(table):
+    return fertility.judge(table("documents"), fertility_vocabularies()).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "language", "chars_per_token", "chars_per_piece", "byte_share", "entropy")
