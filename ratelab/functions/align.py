@@ -58,32 +58,79 @@ def dtw_distance(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), bind(cosine_costs(a, b), walk))
 
 
+def _unit_frames(items: list[np.ndarray]) -> list[np.ndarray]:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return [m / np.sqrt((m * m).sum(axis=1, keepdims=True)) for m in (np.asarray(i, np.float64) for i in items)]
+
+
 def _padded(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Unit frames of several sequences in one zero-padded array, and the sequence lengths."""
+    """Several sequences in one zero-padded array, and their lengths."""
     lengths = np.array([len(m) for m in items])
     out = np.zeros((len(items), lengths.max(), items[0].shape[1]))
     for k, m in enumerate(items):
-        m = m.astype(np.float64)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out[k, : len(m)] = m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+        out[k, : len(m)] = m
     return out, lengths
 
 
+def _similar(items: list[np.ndarray]) -> list[np.ndarray]:
+    """Numbers of the sequences, in buckets whose longest is at most a quarter longer than the shortest and whose frames stay bounded."""
+    order = sorted(range(len(items)), key=lambda k: -len(items[k]))
+    buckets: list[list[int]] = []
+    for k in order:
+        longest = len(items[buckets[-1][0]]) if buckets else 0
+        full = buckets and (len(buckets[-1]) + 1) * longest * items[k].shape[1] > MAX_BLOCK_CELLS
+        if not buckets or full or 4 * longest > 5 * len(items[k]) + 4:
+            buckets.append([])
+        buckets[-1].append(k)
+    return [np.array(b) for b in buckets]
+
+
+def _rolling(outer: list[np.ndarray], inner: list[np.ndarray]) -> np.ndarray:
+    """Alignment cost of each outer sequence (longest first) with each inner one, holding one row of the cost table per pair.
+
+    Within a row the way along it is a running minimum: a cell is the row's cost so far plus the least, over the cells up
+    to it, of what it took to enter there less the row's cost up to there.
+    """
+    left, left_len = _padded(outer)
+    right, right_len = _padded(inner)
+    frames = right.reshape(-1, right.shape[2]).T
+    out = np.empty((len(outer), len(inner)))
+    row = np.full((len(outer), len(inner), right.shape[1] + 1), np.inf)
+    row[:, :, 0] = 0.0
+    last = right_len - 1
+    for i in range(left.shape[1]):
+        going = int(np.searchsorted(-left_len, -i, "left"))  # longer than i
+        row = row[:going]
+        cost = 1.0 - (left[:going, i] @ frames).reshape(going, len(inner), -1)
+        entered = cost + np.minimum(row[:, :, 1:], row[:, :, :-1])
+        upto = np.cumsum(cost, axis=2)
+        entered -= upto
+        np.minimum.accumulate(entered, axis=2, out=entered)
+        np.add(entered, upto, out=row[:, :, 1:])
+        row[:, :, 0] = np.inf
+        for k in np.flatnonzero(left_len[:going] == i + 1):
+            out[k] = row[k, np.arange(len(inner)), last + 1]
+    return out
+
+
 def dtw_block(targets: list[np.ndarray], references: list[np.ndarray]) -> np.ndarray:
-    """Alignment cost of every target with every reference; NaN where a frame is all zero."""
-    ref, ref_len = _padded(references)
+    """Alignment cost of every target with every reference; NaN where a frame is all zero.
+
+    Sequences of similar length are aligned together. The loop goes over the frames of the shorter side, the rows of
+    the cost table along the longer one; memory follows the frames of one bucket, not the product of two lengths.
+    """
+    targets, references = _unit_frames(targets), _unit_frames(references)
     out = np.empty((len(targets), len(references)))
-    longest = max(len(t) for t in targets)
-    step = max(1, MAX_BLOCK_CELLS // (len(references) * longest * ref.shape[1]))
-    for at in range(0, len(targets), step):
-        tgt, tgt_len = _padded(targets[at : at + step])
-        cost = 1.0 - np.einsum("tid,rjd->ijtr", tgt, ref, optimize=True)
-        total = np.full((cost.shape[0] + 1, cost.shape[1] + 1) + cost.shape[2:], np.inf)
-        total[0, 0] = 0.0
-        for i in range(1, total.shape[0]):
-            for j in range(1, total.shape[1]):
-                best = np.minimum(np.minimum(total[i - 1, j], total[i, j - 1]), total[i - 1, j - 1])
-                total[i, j] = cost[i - 1, j - 1] + best
-        t, r = np.meshgrid(np.arange(tgt.shape[0]), np.arange(ref.shape[0]), indexing="ij")
-        out[at : at + step] = total[tgt_len[t], ref_len[r], t, r]
+    for t in _similar(targets):
+        for r in _similar(references):
+            swap = len(targets[t[0]]) > len(references[r[0]])
+            outer, own, inner, other = (references, r, targets, t) if swap else (targets, t, references, r)
+            step = max(1, MAX_BLOCK_CELLS // (4 * len(other) * len(inner[other[0]])))
+            for at in range(0, len(own), step):
+                part = own[at:at + step]
+                found = _rolling([outer[k] for k in part], [inner[k] for k in other])
+                if swap:
+                    out[np.ix_(other, part)] = found.T
+                else:
+                    out[np.ix_(part, other)] = found
     return out

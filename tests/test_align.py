@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ratelab.functions.align import cosine_costs, dtw_block, dtw_distance
@@ -52,3 +55,31 @@ def test_block_marks_zero_frames():
     targets[0][1] = 0
     out = dtw_block(targets, refs)
     assert np.isnan(out[0, 0]) and np.isfinite(out[1, 0])
+
+
+def test_block_of_very_unlike_lengths():
+    targets, refs = sequences(7, [1, 40, 2, 3, 17, 90, 2]), sequences(8, [60, 1, 5, 33, 34, 4])
+    want = [[plain_dtw(a, b) for b in refs] for a in targets]
+    np.testing.assert_allclose(dtw_block(targets, refs), want, atol=1e-9)
+
+
+def test_zero_frames_spoil_their_own_pairs_only():
+    targets, refs = sequences(9, [4, 4, 6, 9]), sequences(10, [5, 4, 2])
+    targets[1][3], refs[2][0] = 0, 0
+    out = dtw_block(targets, refs)
+    assert np.isnan(out[1]).all() and np.isnan(out[:, 2]).all() and np.isfinite(np.delete(out, 1, 0)[:, :2]).all()
+
+
+@pytest.mark.parametrize("long_side", ["target", "reference"])
+def test_one_very_long_token_among_short_ones_stays_small(long_side):
+    rng = np.random.default_rng(11)
+    short = [rng.normal(size=(int(n), 64)).astype(np.float32) for n in rng.integers(10, 40, 128)]
+    long = rng.normal(size=(10_000, 64)).astype(np.float32)
+    tracemalloc.start()
+    mixed = short + [long]
+    out = dtw_block(mixed, short) if long_side == "target" else dtw_block(short, mixed).T
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+    np.testing.assert_allclose(out[3, 5], plain_dtw(mixed[3], short[5]), atol=1e-9)
+    np.testing.assert_allclose(out[128, 7], plain_dtw(long, short[7]), atol=1e-7)
