@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,10 +89,18 @@ def _speakers(raw: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, category: str) -> DataFrame:
-    """Recordings of one category; the filter reaches the scan."""
+    """Recordings of one category; the filter reaches the scan, or picks the folder of a corpus laid out by category."""
     return spark.read.parquet(path).where(F.col("category") == category)
 
 
+def read_categories(spark: SparkSession, path: str, wanted: DataFrame, key: str = "category") -> DataFrame:
+    """Recordings of the categories that a table names, known only when the query runs.
+
+    In a corpus laid out by category (write_corpus) the folders of other categories are left out at run time.
+    """
+    return spark.read.parquet(path).join(F.broadcast(wanted.select(key).distinct()), key, "left_semi")
+
+
 def read_clip_metadata(spark: SparkSession, path: str, category: str, script_type: str) -> DataFrame:
     """Clip metadata of one category and script type; an empty selection is an error that lists the choices."""
     clips = read_table(spark, path, schemas.CLIP_METADATA)
@@ -113,13 +121,58 @@ def existing_paths(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str]
     return found, missing
 
 
+def located(paths: DataFrame, on: str) -> DataFrame:
+    """Add `found`: whether the file or folder named by a column exists.
+
+    The folders the paths lie in are listed, by tasks where they are many, and the listing is joined; no path is asked
+    for by itself. Names are taken as they stand, without wildcards.
+    """
+    spark = paths.sparkSession
+    split = paths.withColumns({"_folder": F.regexp_extract(on, r"^(.*?)/*[^/]+/*$", 1), "_name": F.regexp_extract(on, r"([^/]+)/*$", 1)})
+    folders = [r["_folder"] for r in split.select("_folder").distinct().collect()]
+    hadoop, there = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for folder in folders:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder or "/")
+        system = target.getFileSystem(hadoop)
+        if system.exists(target):
+            there.append((folder, system.makeQualified(target).toString().rstrip("/")))
+    if not there:
+        return split.withColumn("found", F.lit(False)).drop("_folder", "_name")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([q for _, q in there]).select("path")
+    known = spark.createDataFrame(there, "_folder string, _qualified string")
+    # a folder may lie in another one, so every folder above a file is looked up; depth is bounded by the file system
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.struct(
+        F.array_join(F.slice(steps, 1, i - 1), "/").alias("_qualified"), F.element_at(steps, i).alias("_name")))
+    entries = files.select(F.explode(above).alias("e")).select("e.*").distinct()
+    entries = entries.join(F.broadcast(known), "_qualified").select("_folder", "_name", F.lit(True).alias("found"))
+    return split.join(entries, ["_folder", "_name"], "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("_folder", "_name")
+
+
+def _tags(name: Column, pattern: str, dimensions: Sequence[str]) -> dict[str, Column]:
+    return {d: F.regexp_extract(name, pattern, i + 1) for i, d in enumerate(dimensions)}
+
+
+def _chosen(spark: SparkSession, paths: Sequence[str] | str, pattern: str, dimensions: Sequence[str], where: Column) -> list[str]:
+    """The files, of a list or a glob, whose names carry the wanted dimensions; no file is opened."""
+    if isinstance(paths, str):
+        listed = spark.read.format("binaryFile").load(paths).select(F.url_decode("path").alias("path"))
+    else:
+        listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    name = F.regexp_extract("path", r"([^/]+)/*$", 1)
+    return [r["path"] for r in listed.withColumns(_tags(name, pattern, dimensions)).where(where).select("path").collect()]
+
+
 def read_family(spark: SparkSession, paths: Sequence[str] | str, schema: T.StructType, pattern: str,
-                dimensions: Sequence[str], line_breaks: bool = True) -> tuple[DataFrame, list[str]]:
+                dimensions: Sequence[str], line_breaks: bool = True, where: Column | None = None) -> tuple[DataFrame, list[str]]:
     """Result files whose names encode dimensions, stacked with those dimensions as columns.
 
     The pattern has one group per dimension and is matched against the file name. All files are read
-    in one scan. Absent files are skipped and returned by name. A glob may stand for the list.
+    in one scan. Absent files are skipped and returned by name. A glob may stand for the list. A condition on the
+    dimensions is applied to the names before the scan, so other files are not opened.
     """
+    if where is not None:
+        paths = _chosen(spark, paths, pattern, dimensions, where)
     if isinstance(paths, str):
         found, missing = [paths], []
     else:
@@ -129,18 +182,17 @@ def read_family(spark: SparkSession, paths: Sequence[str] | str, schema: T.Struc
             [f for f in schema.fields if not f.name.endswith("_1")]
             + [T.StructField(d, T.StringType()) for d in dimensions])), missing
     name = F.url_decode(F.col("_metadata.file_name"))
-    tags = {d: F.regexp_extract(name, pattern, i + 1) for i, d in enumerate(dimensions)}
-    return read_result_table(spark, found, schema, line_breaks).withColumns(tags), missing
+    return read_result_table(spark, found, schema, line_breaks).withColumns(_tags(name, pattern, dimensions)), missing
 
 
 def read_family_parquet(spark: SparkSession, paths: Sequence[str] | str, columns: Sequence[str], pattern: str,
-                        dimensions: Sequence[str]) -> DataFrame:
-    """The same over Parquet files that share the named columns; a glob may stand for the list."""
+                        dimensions: Sequence[str], where: Column | None = None) -> DataFrame:
+    """The same over Parquet files that share the named columns; a glob may stand for the list. At least one file must be left."""
+    if where is not None:
+        paths = _chosen(spark, paths, pattern, dimensions, where)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    name = F.col("_metadata.file_name")
-    return spark.read.option("mergeSchema", "false").parquet(*paths).select(
-        *columns, *[F.regexp_extract(name, pattern, i + 1).alias(d) for i, d in enumerate(dimensions)]
-    )
+    tags = _tags(F.col("_metadata.file_name"), pattern, dimensions)
+    return spark.read.option("mergeSchema", "false").parquet(*paths).select(*columns, *[c.alias(d) for d, c in tags.items()])
 
 
 def file_listing(spark: SparkSession, glob: str) -> DataFrame:

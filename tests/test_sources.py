@@ -127,3 +127,85 @@ def test_two_modes_for_missing_values(spark, tmp_path):
     assert [tuple(r) for r in readers.read_table(spark, str(path), schema).collect()] == [(None, None), (None, 1.5), (None, None), ("Nope", None)]
     plain = readers.read_table(spark, str(path), schema, missing=None).collect()
     assert [r.a for r in plain] == ["NULL", "None", "", "Nope"]
+
+
+RUN_SCHEMA = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
+
+
+def test_an_append_may_be_repeated_and_broken_off(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "r")
+    df = spark.createDataFrame([("a", 1), ("b", 2)], RUN_SCHEMA)
+    read = lambda: sorted(tuple(r) for r in writers.read_results(spark, path, RUN_SCHEMA).collect())
+    writers.append_results(df, path, RUN_SCHEMA.names, run="one")
+    writers.append_results(df.where("v = 2"), path, RUN_SCHEMA.names, run="two/with:odd name")
+    writers.append_results(df, path, RUN_SCHEMA.names, run="one")
+    assert read() == [("a", 1), ("b", 2), ("b", 2)]
+    with monkeypatch.context() as broken:  # the rows are staged, the record is never written
+        broken.setattr(writers, "existing_paths", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            writers.append_results(df, path, RUN_SCHEMA.names, run="three")
+    assert read() == [("a", 1), ("b", 2), ("b", 2)]
+    plan = writers.read_results(spark, path, RUN_SCHEMA)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [attempt" in plan
+    writers.append_results(df.where("v = 1"), path, RUN_SCHEMA.names, fresh=True, run="one")
+    assert read() == [("a", 1)]
+    writers.append_results(df.where("v = 2"), path, RUN_SCHEMA.names)
+    assert read() == [("a", 1), ("b", 2)]
+
+
+def test_new_clips_appended_twice_stay_single(spark, tmp_path):
+    path = str(tmp_path / "clips")
+    clips = spark.createDataFrame([("a", "s1"), ("a", "s2")], "speaker_name string, script_filename string")
+    for _ in range(3):
+        writers.append_new_clips(clips, clips.limit(0), path, ["speaker_name", "script_filename"])
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_a_condition_on_names_keeps_files_closed(spark, tmp_path):
+    for name, value in (("x_ideal", 1), ("x_critical", 2), ("y_ideal", 3)):
+        (tmp_path / f"{name}.csv").write_text(f"v\n{value}\n")
+    schema = T.StructType([T.StructField("v", T.IntegerType())])
+    wanted = (F.col("model") == "x") & (F.col("style") == "ideal")
+    files = [str(tmp_path / f"{n}.csv") for n in ("x_ideal", "x_critical", "y_ideal")]
+    for paths in (str(tmp_path / "*.csv"), files):
+        df, missing = readers.read_family(spark, paths, schema, r"^(\w+?)_(\w+)\.csv$", ["model", "style"], where=wanted)
+        assert [tuple(r) for r in df.collect()] == [(1, "x", "ideal")] and missing == []
+        assert len(df.inputFiles()) == 1 and df.inputFiles()[0].endswith("x_ideal.csv")
+    none, _ = readers.read_family(spark, files, schema, r"^(\w+?)_(\w+)\.csv$", ["model", "style"], where=F.col("model") == "z")
+    assert none.count() == 0 and none.columns == ["v", "model", "style"]
+
+
+def test_many_paths_are_located_by_their_folders(spark, tmp_path):
+    (tmp_path / "a b" / "deep" / "er").mkdir(parents=True)
+    for name in ("x.wav", "deep/y.wav", "deep/er/z.wav"):
+        (tmp_path / "a b" / name).write_text("s")
+    there = ["a b/x.wav", "a b/deep", "a b/deep/y.wav", "a b/deep/er", "a b/deep/er/z.wav", "a b/deep/er/"]
+    gone = ["a b/w.wav", "a b/deep/x.wav", "none/x.wav", "a b/x.wav.bak"]
+    made = spark.range(100_000).select(F.concat(F.lit(f"{tmp_path}/a b/deep/c"), "id").alias("path"))
+    named = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in there + gone], "path string")
+    got = readers.located(named.unionByName(made), "path").where("found").collect()
+    assert sorted(r.path for r in got) == sorted(f"{tmp_path}/{n}" for n in there)
+    assert readers.located(named.where("path LIKE '%none%'"), "path").collect()[0].found is False
+    assert readers.located(named.limit(0), "path").count() == 0
+
+
+def test_categories_known_at_run_time_prune_folders(spark, tmp_path):
+    rows = spark.range(2000).select(F.col("id").alias("file_path"), F.concat(F.lit("c"), F.col("id") % 5).alias("category"))
+    writers.write_corpus(rows, str(tmp_path / "c"))
+    wanted = rows.where("file_path = 3 OR file_path = 8").select("category")
+    got = readers.read_categories(spark, str(tmp_path / "c"), wanted)
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 400 and got.select("category").distinct().collect()[0][0] == "c3"
+    one = readers.read_corpus(spark, str(tmp_path / "c"), "c1")
+    assert "PartitionFilters: [isnotnull(category" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 400
+
+
+def test_recordings_stay_in_their_buckets(spark, tmp_path):
+    audio = spark.range(500).select(F.concat(F.lit("f"), "id").alias("file_path"), F.array(F.col("id").cast("float")).alias("samples"))
+    table = writers.write_recordings(audio, "recordings_in_buckets", ["file_path"], 8, str(tmp_path / "b"))
+    work = spark.range(0, 500, 7).select(F.concat(F.lit("f"), "id").alias("file_path"), F.lit("p").alias("prompt"))
+    joined = work.hint("merge").join(table, "file_path")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount: 8 out of 8" in plan
+    assert joined.count() == 72
+    spark.sql("DROP TABLE recordings_in_buckets")
