@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -27,6 +28,7 @@ REPEAT_WORDS = 8
 REPEAT_PERCENT = 30
 WINDOW = 128
 WORD_CHARS = 1000
+KNOWN_BYTES = 96 << 20
 SPREADS = 6
 #: Narrowest half width of each band: in thousandths of the median, and in ten-thousandths.
 LEAST_CHARS, LEAST_ENTROPY, LEAST_BYTES = 150, 350, 500
@@ -37,7 +39,7 @@ _IN_LINE = np.ones(256, bool)
 _IN_LINE[0x0A] = False
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_STARTS_CHAR = (np.arange(256) & 0xC0) != 0x80
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Vocabularies(NamedTuple):
@@ -61,6 +63,8 @@ class _Encoders:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.bytes = tiktoken.Encoding("ranks", pat_str=paths.pattern, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=paths.pieces)
+        self.known: dict[bytes, tuple[int, bytes]] = {}
+        self.held = 0
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
 
     @classmethod
@@ -69,34 +73,35 @@ class _Encoders:
             cls.loaded[paths] = cls(paths)
         return cls.loaded[paths]
 
-    def words(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _cut(self, word: str) -> tuple[int, bytes]:
+        """Tokens and pieces of a word that is cut every WORD_CHARS characters, which bounds the encoders' memory."""
+        parts = [word[at:at + WORD_CHARS] for at in range(0, len(word), WORD_CHARS)]
+        tokens = sum(len(self.bytes.encode_ordinary(" " * (i == 0) + p)) for i, p in enumerate(parts))
+        return tokens, b"".join(array("I", ids).tobytes() for ids in self.pieces.encode(parts))
+
+    def words(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per word the number of byte-level tokens and of pieces, and all pieces one word after the other.
 
-        A word stands behind a blank. One of more than WORD_CHARS characters is cut there, which bounds the encoders' memory.
+        A word stands behind a blank. Words are remembered up to KNOWN_BYTES.
         """
-        counts = np.array([len(self.bytes.encode_ordinary(" " + w[:WORD_CHARS])) for w in distinct], np.int64)
-        pieces = self.pieces.encode([w[:WORD_CHARS] for w in distinct], num_threads=1)
-        for i, word in enumerate(distinct):
-            for at in range(WORD_CHARS, len(word), WORD_CHARS):
-                part = word[at:at + WORD_CHARS]
-                counts[i] += len(self.bytes.encode_ordinary(part))
-                pieces[i] += self.pieces.encode(part)
-        lengths = np.array([len(p) for p in pieces], np.int64)
-        flat = np.fromiter((t for p in pieces for t in p), np.int64, int(lengths.sum()))
-        return counts, lengths, flat
-
-
-def _per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How often a mask over bytes holds in each text."""
-    upto = np.concatenate([[0], np.cumsum(mask)])
-    return upto[offsets[1:]] - upto[offsets[:-1]]
-
-
-def _repeated_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if self.held > KNOWN_BYTES:
+            self.known, self.held = {}, 0
+        texts = {w: w.decode("utf-8", "replace") for w in distinct if w not in self.known}
+        short = [w for w, t in texts.items() if len(t) <= WORD_CHARS]
+        long = {w: self._cut(t) for w, t in texts.items() if len(t) > WORD_CHARS}
+        one = self.bytes.encode_ordinary
+        for w, ids in zip(short, self.pieces.encode([texts[w] for w in short], num_threads=1)):
+            self.known[w] = found = len(one(" " + texts[w])), array("I", ids).tobytes()
+            self.held += 200 + len(w) + len(found[1])
+        own = [self.known.get(w) or long[w] for w in distinct]
+        flat = np.frombuffer(b"".join([pieces for _, pieces in own]), np.uint32).astype(np.int64)
+        return np.array([n for n, _ in own], np.int64), np.array([len(pieces) // 4 for _, pieces in own], np.int64), flat
+
+
+def _repeated_lines(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray) -> np.ndarray:
     """Lines with a word that equal an earlier line of their text."""
     starts, ends, text = spans.words(data, offsets, _IN_LINE)
-    filled = np.concatenate([[0], np.cumsum(~_SPACE[data])])
-    worded = filled[ends] > filled[starts]
+    worded = np.searchsorted(word_starts, ends) > np.searchsorted(word_starts, starts)
     starts, ends, text = starts[worded], ends[worded], text[worded]
     if not len(starts):
         return np.zeros(len(offsets) - 1, np.int64)
@@ -107,17 +112,26 @@ def _repeated_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _repeated_words(word: np.ndarray, text: np.ndarray, texts: int, size: int) -> np.ndarray:
-    """Words inside a window of `size` words that is found twice or more in its text. Windows get numbers by doubling."""
-    code, have = word, 1
-    while have < size:
-        step = min(have, size - have)
-        if len(code) <= step:
-            return np.zeros(texts, np.int64)
-        code = spans.codes(code[:-step] * (code.max() + 1) + code[step:])
-        have += step
-    whole = np.flatnonzero(text[:len(code)] == text[size - 1:])
-    pair = spans.codes(text[whole] * (code.max(initial=0) + 1) + code[whole])
-    often = whole[np.bincount(pair)[pair] > 1] if len(pair) else pair
+    """Words inside a window of `size` words that is found twice or more in its text.
+
+    Windows whose hash is found once are unlike all others; the few that are left are compared word by word.
+    """
+    windows = len(word) - size + 1
+    if windows < 1:
+        return np.zeros(texts, np.int64)
+    whole = np.flatnonzero(text[:windows] == text[size - 1:])
+    hashes = text[whole].astype(np.uint64)
+    for k in range(size):
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * _FACTOR + word[whole + k].astype(np.uint64)
+    ordered = np.sort(hashes)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return np.zeros(texts, np.int64)
+    left = whole[twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes]
+    same, distinct = spans.codes(text[left]), int(word.max()) + 1
+    for k in range(size):
+        same = spans.codes(same * distinct + word[left + k])
+    often = left[np.bincount(same)[same] > 1]
     edges = np.zeros(len(word) + 1, np.int64)
     np.add.at(edges, often, 1)
     np.add.at(edges, often + size, -1)
@@ -135,10 +149,12 @@ def _entropy(pieces: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
     text = np.repeat(np.arange(texts), counts)
     place = np.arange(len(pieces)) - np.repeat(np.cumsum(counts) - counts, counts)
     own = first[text] + place * windows[text] // counts[text]
-    pair = spans.codes(own * (pieces.max(initial=0) + 1) + pieces)
-    often, at = np.bincount(pair).astype(float), spans.firsts(pair)
+    kinds = pieces.max(initial=0) + 1
+    pair = np.sort(own * kinds + pieces)
+    at = np.flatnonzero(np.diff(pair, prepend=-1))
+    often = np.diff(at, append=len(pair)).astype(float)
     total = int(windows.sum())
-    spent = np.bincount(own[at], often * np.log2(often), minlength=total)
+    spent = np.bincount(pair[at] // kinds, often * np.log2(often), minlength=total)
     size = np.bincount(own, minlength=total).astype(float)
     share = 1 - spent / np.maximum(1, size * np.log2(np.maximum(size, 2)))
     share[size < 2] = 0.0
@@ -151,8 +167,9 @@ def measured(data: np.ndarray, offsets: np.ndarray, encoders: _Encoders, window:
     texts = len(offsets) - 1
     starts, ends, text = spans.words(data, offsets, ~_SPACE)
     out = {
-        "n_words": np.bincount(text, minlength=texts), "word_chars": _per_text(_STARTS_CHAR[data] & ~_SPACE[data], offsets),
-        "n_symbols": _per_text(_SYMBOL[data], offsets), "n_dup_lines": _repeated_lines(data, offsets),
+        "n_words": np.bincount(text, minlength=texts),
+        "word_chars": np.bincount(text, ends - starts, minlength=texts).astype(np.int64) - spans.per_text(np.flatnonzero((data & 0xC0) == 0x80), offsets),
+        "n_symbols": spans.per_text(np.flatnonzero(_SYMBOL[data]), offsets), "n_dup_lines": _repeated_lines(data, offsets, starts),
         **{name: np.zeros(texts, np.int64) for name in ("n_repeat_words", "n_tokens", "n_pieces", "chars_per_token", "chars_per_piece", "byte_share", "entropy")},
     }
     if not len(starts):
@@ -161,7 +178,7 @@ def measured(data: np.ndarray, offsets: np.ndarray, encoders: _Encoders, window:
     word = spans.word_codes(found, begins)
     out["n_repeat_words"] = _repeated_words(word, text, texts, REPEAT_WORDS)
     whole = found.tobytes()
-    tokens, lengths, flat = encoders.words([whole[begins[i]:begins[i + 1] - 1].decode("utf-8", "replace") for i in spans.firsts(word)])
+    tokens, lengths, flat = encoders.words([whole[begins[i]:begins[i + 1] - 1] for i in spans.firsts(word)])
     out["n_tokens"] = np.bincount(text, tokens[word], minlength=texts).astype(np.int64)
     out["n_pieces"] = counts = np.bincount(text, lengths[word], minlength=texts).astype(np.int64)
     per_word = lengths[word]

@@ -34,7 +34,12 @@ def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[n
     before[0] = after[-1] = False
     before[edges], after[edges - 1] = False, False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), per_text(starts, offsets))
+
+
+def per_text(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of the sorted places lie in each text."""
+    return np.diff(np.searchsorted(places, offsets))
 
 
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -66,9 +66,10 @@ def texts_of(folder, spark):
     return [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect()]
 
 
-@pytest.mark.parametrize("group", [1 << 23, 4000])
-def test_counts_and_measures_against_plain_python(spark, libraries, monkeypatch, group):
+@pytest.mark.parametrize("group, room", [(1 << 23, fertility.KNOWN_BYTES), (4000, 10_000)])
+def test_counts_and_measures_against_plain_python(spark, libraries, monkeypatch, group, room):
     monkeypatch.setattr(spans, "GROUP_BYTES", group)
+    monkeypatch.setattr(fertility, "KNOWN_BYTES", room)
     texts = ODD + texts_of("/root/testdata/sf0.001", spark)
     encoders = fertility._Encoders.of(queries.fertility_vocabularies())
     for at, to, data, offsets in spans.texts(pa.array(texts)):
