@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,9 +18,13 @@ from ratelab import constants as C
 from ratelab.functions.text import corpus_path, flatten_breaks, is_valid_output, reply_status
 from ratelab.operators.picks import best_per_key, first_per_key, keep_mapped
 from ratelab.operators.sizing import attach, fan_out
+from ratelab.session import existing_paths
 
 
 SCRIPT_BLOCKS = 16
+BATCH_ROWS, BATCH_BYTES = 64, 32 << 20
+KEY, KNOWN = "_progress_key", "_progress_reply"
+PROGRESS = T.StructType([T.StructField("key", T.StringType()), T.StructField("reply", T.StringType())])
 
 
 def pair_with_prompts(clips: DataFrame, prompts: DataFrame, on: str = "category") -> DataFrame:
@@ -84,24 +93,79 @@ def progress(manifest: DataFrame, results: DataFrame, keys: Sequence[str], outpu
     )
 
 
+def _text_key(columns: Sequence[str]) -> Column:
+    return F.to_json(F.array(*[F.col(f"`{c}`").cast("string") for c in columns]))
+
+
+def resumed(work: DataFrame, progress: str, keys: Sequence[str]) -> DataFrame:
+    """Add the replies that earlier, broken-off runs left in a progress folder, for score_pending to pass on without a call."""
+    spark = work.sparkSession
+    work = work.withColumn(KEY, _text_key(keys))
+    if not existing_paths(spark, [progress])[0]:
+        return work.withColumn(KNOWN, F.lit(None).cast("string"))
+    found = spark.read.schema(PROGRESS).option("recursiveFileLookup", "true").parquet(progress)
+    return work.join(found.groupBy("key").agg(F.min("reply").alias(KNOWN)), work[KEY] == found["key"], "left").drop("key")
+
+
+class _Progress:
+    """Replies of one partition of one run, in files that a later attempt of the same task reads."""
+
+    def __init__(self, folder: str):
+        uri = re.sub(r"^file:/(?!/)", "file:///", folder)
+        self.files, root = pa_fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+        self.folder = f"{root}/part-{TaskContext.get().partitionId()}"
+        self.files.create_dir(self.folder)
+        self.known: dict[str, str] = {}
+        for info in self.files.get_file_info(pa_fs.FileSelector(self.folder)):
+            if info.path.endswith(".parquet"):
+                table = pq.read_table(info.path, filesystem=self.files)
+                self.known.update(zip(table["key"].to_pylist(), table["reply"].to_pylist()))
+
+    def keep(self, replies: dict[str, str]) -> None:
+        if replies:
+            path = f"{self.folder}/{uuid.uuid4().hex}"
+            table = pa.table([pa.array(replies.keys(), pa.string()), pa.array(replies.values(), pa.string())], ["key", "reply"])
+            pq.write_table(table, f"{path}.open", filesystem=self.files)
+            self.files.move(f"{path}.open", f"{path}.parquet")
+
+
+def _value(scalar: pa.Scalar) -> object:
+    """A value as Python sees it; lists of numbers as an array."""
+    if pa.types.is_list(scalar.type) and scalar.is_valid and pa.types.is_primitive(scalar.type.value_type) and not scalar.values.null_count:
+        return scalar.values.to_numpy(zero_copy_only=False)
+    return scalar.as_py()
+
+
 def score_pending(work: DataFrame, score: Callable[[dict], str | None], columns: Sequence[str],
                   output: str = "model_output", keep_failed: bool = True, attempts: int = C.MAX_ATTEMPTS,
                   error_prefix: str = C.ERROR_PREFIX, drop_returns: bool = True,
-                  leave: Sequence[str] = ()) -> DataFrame:
+                  leave: Sequence[str] = (), spread: bool = True, progress: str | None = None,
+                  batch_rows: int = BATCH_ROWS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Call a scoring function for every row, on the executors, with retries.
 
     The function gets the named columns of a row and returns text; columns in `leave`, such as audio samples,
-    are for the function alone and do not come back. Where rows are that large, bound what a batch holds by
-    spark.sql.execution.arrow.maxRecordsPerBatch; an exception, an empty reply, a
-    rate-limit or an error reply is a failed attempt. After the last attempt the row is kept with the
+    are for the function alone and do not come back. Rows reach Python in Arrow batches that Spark bounds by bytes, one
+    row at a time becomes Python values, and replies go back after batch_rows rows or batch_bytes of input. An exception,
+    an empty reply, a rate-limit or an error reply is a failed attempt. After the last attempt the row is kept with the
     failure word, or dropped. Adds the output and a status. Waiting between attempts is left to the
-    function. Pending rows are spread over all shuffle partitions first: they are few in bytes, and the
-    calls are what takes time. The call is opaque to the optimizer, so finished work must be removed before, and the
+    function. With `spread`, pending rows are first spread over all shuffle partitions: they are few in bytes, and the
+    calls are what takes time; rows that hold recordings are better left where they are.
+
+    A progress folder that all executors share keeps the good replies of every finished batch. A task that is run again
+    calls only for its open batch, and a new run over resumed() work only for what no run has had a reply for.
+    The call is opaque to the optimizer, so finished work must be removed before, and the
     result should be written (append_results) or settled before it is read twice.
     """
-    kept = [f for f in work.schema.fields if f.name not in leave]
+    if progress is not None and KEY not in work.columns:
+        raise ValueError("work with a progress folder comes from resumed()")
+    kept = [f for f in work.schema.fields if f.name not in (*leave, KEY, KNOWN)]
     schema = T.StructType(kept + [T.StructField("reply", T.StringType())])
-    markers = list(C.RATE_LIMIT_MARKERS)
+    names, markers = [f.name for f in kept], list(C.RATE_LIMIT_MARKERS)
+    folder = None if progress is None else f"{progress}/run-{uuid.uuid4().hex}"
+
+    def good(reply: str | None) -> bool:
+        text = (reply or "").strip()
+        return bool(text) and not text.startswith(error_prefix) and not any(m in text.lower() for m in markers)
 
     def attempt(row: dict) -> str | None:
         reply = None
@@ -110,17 +174,29 @@ def score_pending(work: DataFrame, score: Callable[[dict], str | None], columns:
                 reply = score(row)
             except Exception as problem:
                 reply = f"{error_prefix} {problem}"
-            text = (reply or "").strip()
-            if text and not text.startswith(error_prefix) and not any(m in text.lower() for m in markers):
+            if good(reply):
                 break
         return reply
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log = None if folder is None else _Progress(folder)
         for batch in batches:
-            rows = batch[list(columns)].to_dict("records")
-            yield batch.drop(columns=list(leave)).assign(reply=pd.Series([attempt(r) for r in rows], index=batch.index, dtype=object))
-
-    scored = fan_out(work).mapInPandas(run, schema)
+            rows = max(1, min(batch_rows, batch_bytes * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, rows):
+                part, replies, new = batch.slice(at, rows), [], {}
+                for i in range(part.num_rows):
+                    key = part.column(KEY)[i].as_py() if log else None
+                    reply = (part.column(KNOWN)[i].as_py() or log.known.get(key)) if log else None
+                    if reply is None:
+                        reply = attempt({c: _value(part.column(c)[i]) for c in columns})
+                        if log and good(reply):
+                            new[key] = reply
+                    replies.append(reply)
+                if log:
+                    log.keep(new)
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(replies, pa.string())], [*names, "reply"])
+
+    scored = (fan_out(work) if spread else work).mapInArrow(run, schema)
     scored = scored.withColumn("reply", flatten_breaks(F.col("reply"), drop_returns))
     scored = scored.withColumn("status", reply_status(F.col("reply"), error_prefix))
     ok = F.col("status") == "ok"

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ratelab import constants as C
 from ratelab import schemas
 from ratelab.operators.worklist import read_short_list
+from ratelab.session import existing_paths
 
 
 def read_table(spark: SparkSession, path: str | list[str], schema: T.StructType, sep: str = ",",
@@ -111,16 +112,6 @@ def read_clip_metadata(spark: SparkSession, path: str, category: str, script_typ
     return chosen
 
 
-def existing_paths(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Split a list of paths into those that exist and those that do not."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    found, missing = [], []
-    for path in paths:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        (found if target.getFileSystem(hadoop).exists(target) else missing).append(path)
-    return found, missing
-
-
 def located(paths: DataFrame, on: str) -> DataFrame:
     """Add `found`: whether the file or folder named by a column exists.
 

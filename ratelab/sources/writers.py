@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratelab.sources.readers import existing_paths
+from ratelab.session import existing_paths
 
 
 RUNS = T.StructType([T.StructField("run", T.StringType()), T.StructField("attempt", T.StringType()), T.StructField("replaces", T.ArrayType(T.StringType()))])

@@ -1,3 +1,8 @@
+import os
+import resource
+import uuid
+
+import pytest
 from pyspark.sql import functions as F
 
 from ratelab import constants as C
@@ -62,3 +67,91 @@ def test_transcription_run(spark):
     assert rows.columns == [*C.TRANSCRIPTION_COLUMNS, "status"]
     got = {r.file_path: (r.speaker_id, r.clean_transcription, r.edit_ops, r.wer, r.status) for r in rows.collect()}
     assert got == {"f1": ("Ann", "one two three", 0, 0.0, "ok"), "f2": ("Bo", "FAILED", -1, None, "failed")}
+
+
+def logged(log, answer):
+    """A scoring function that notes each call in a file of its own."""
+
+    def score(row):
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as file:
+            file.write(str(row["k"]))
+        return answer(row)
+
+    return score
+
+
+def calls(log):
+    return sorted(int((log / n).read_text()) for n in os.listdir(log))
+
+
+def test_a_broken_task_calls_only_for_its_open_batch_again(spark, tmp_path):
+    progress = str(tmp_path / "progress")
+    first, second, third = (tmp_path / n for n in ("first", "second", "third"))
+    for log in (first, second, third):
+        log.mkdir()
+    work = spark.range(40).select(F.col("id").alias("k")).coalesce(1)
+
+    def dies(row):
+        if row["k"] == 25:
+            os._exit(1)
+        return f"reply {row['k']}"
+
+    def run(score):
+        resumed = W.resumed(work, progress, ["k"])
+        return W.score_pending(resumed, score, ["k"], spread=False, progress=progress, batch_rows=10).collect()
+
+    with pytest.raises(Exception):
+        run(logged(first, dies))
+    assert calls(first) == list(range(26))
+    rows = run(logged(second, lambda row: "" if row["k"] == 39 else f"later {row['k']}"))
+    assert set(calls(second)) == set(range(20, 40))
+    assert {r.k: r.model_output for r in rows} == {k: C.FAILED if k == 39 else f"{'reply' if k < 20 else 'later'} {k}" for k in range(40)}
+    run(logged(third, lambda row: "last"))
+    assert calls(third) == [39]  # only what never had a good reply
+
+
+def test_an_attempt_finds_the_replies_of_the_one_before_it(tmp_path, monkeypatch):
+    class Context:
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(W.TaskContext, "get", staticmethod(lambda: Context))
+    W._Progress(str(tmp_path)).keep({"a": "1", "b": "2"})
+    (tmp_path / "part-3" / "x.open").write_text("half")
+    again = W._Progress(f"file:{tmp_path}")
+    assert again.known == {"a": "1", "b": "2"}
+    Context.partitionId = staticmethod(lambda: 4)
+    assert W._Progress(str(tmp_path)).known == {}
+
+
+def test_rows_of_five_megabytes_pass_one_by_one(spark):
+    work = spark.range(60, numPartitions=1).select("id", F.repeat(F.lit("x"), 5 << 20).alias("audio"))
+
+    def peak(row):
+        assert len(row["audio"]) == 5 << 20
+        return str(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+
+    rows = W.score_pending(work, peak, ["id", "audio"], leave=["audio"], spread=False).select("id", "model_output").collect()
+    sizes = [int(r.model_output) for r in sorted(rows)]
+    assert len(sizes) == 60 and sizes[-1] - sizes[0] < 200
+
+
+def test_recordings_in_buckets_are_not_shuffled(spark, tmp_path):
+    paths = [f"client-disagreement/cd - S{i}.wav" for i in range(30)]
+    audio = spark.createDataFrame([(p, [float(i)]) for i, p in enumerate(paths)], "file_path string, samples array<float>")
+    table = writers.write_recordings(audio, "scored_recordings", ["file_path"], 8, str(tmp_path / "b"))
+    recordings = spark.createDataFrame([("client-disagreement", f"S{i}") for i in range(30)], "category string, speaker_name_from_file string")
+    none = spark.createDataFrame([], schemas.RATINGS_HUMAN)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = scoring.rate_corpus(recordings, spark.createDataFrame(PROMPTS, PROMPT_SCHEMA), none, lambda r: f"Rating: {r['samples'][0]:.0f}", "m", table)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        # the branch below the join that reads the recordings: sorted where they lie, or not even that
+        branch = plan[:plan.index("scored_recordings")].rsplit("SortMergeJoin", 1)[1].splitlines()
+        depth = max(i for i, line in enumerate(branch) if line.lstrip(" :").startswith("+- "))
+        assert not any("Exchange" in line for line in branch[depth:])
+        assert "SelectedBucketsCount: 8 out of 8" in plan
+        got = {(r.speaker_name_from_file, r.model_output) for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE scored_recordings")
+    assert got == {(f"S{i}", f"Rating: {i}") for i in range(30)}
