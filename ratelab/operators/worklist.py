@@ -22,7 +22,7 @@ from ratelab.session import existing_paths
 
 
 SCRIPT_BLOCKS = 16
-BATCH_ROWS, BATCH_BYTES = 64, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 KEY, KNOWN = "_progress_key", "_progress_reply"
 PROGRESS = T.StructType([T.StructField("key", T.StringType()), T.StructField("reply", T.StringType())])
 
@@ -129,11 +129,11 @@ class _Progress:
             self.files.move(f"{path}.open", f"{path}.parquet")
 
 
-def _value(scalar: pa.Scalar) -> object:
-    """A value as Python sees it; lists of numbers as an array."""
-    if pa.types.is_list(scalar.type) and scalar.is_valid and pa.types.is_primitive(scalar.type.value_type) and not scalar.values.null_count:
-        return scalar.values.to_numpy(zero_copy_only=False)
-    return scalar.as_py()
+def _values(column: pa.Array) -> list:
+    """Values as Python sees them; lists of numbers as arrays."""
+    if pa.types.is_list(column.type) and pa.types.is_primitive(column.type.value_type) and not column.flatten().null_count:
+        return [s.values.to_numpy(zero_copy_only=False) if s.is_valid else None for s in column]
+    return column.to_pylist()
 
 
 def score_pending(work: DataFrame, score: Callable[[dict], str | None], columns: Sequence[str],
@@ -144,8 +144,8 @@ def score_pending(work: DataFrame, score: Callable[[dict], str | None], columns:
     """Call a scoring function for every row, on the executors, with retries.
 
     The function gets the named columns of a row and returns text; columns in `leave`, such as audio samples,
-    are for the function alone and do not come back. Rows reach Python in Arrow batches that Spark bounds by bytes, one
-    row at a time becomes Python values, and replies go back after batch_rows rows or batch_bytes of input. An exception,
+    are for the function alone and do not come back. Rows reach Python in Arrow batches that Spark bounds by bytes and
+    become Python values in batches of batch_rows rows or batch_bytes. An exception,
     an empty reply, a rate-limit or an error reply is a failed attempt. After the last attempt the row is kept with the
     failure word, or dropped. Adds the output and a status. Waiting between attempts is left to the
     function. With `spread`, pending rows are first spread over all shuffle partitions: they are few in bytes, and the
@@ -184,11 +184,12 @@ def score_pending(work: DataFrame, score: Callable[[dict], str | None], columns:
             rows = max(1, min(batch_rows, batch_bytes * batch.num_rows // max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, rows):
                 part, replies, new = batch.slice(at, rows), [], {}
-                for i in range(part.num_rows):
-                    key = part.column(KEY)[i].as_py() if log else None
-                    reply = (part.column(KNOWN)[i].as_py() or log.known.get(key)) if log else None
+                keys = part.column(KEY).to_pylist() if log else [None] * part.num_rows
+                known = part.column(KNOWN).to_pylist() if log else keys
+                for key, reply, *row in zip(keys, known, *[_values(part.column(c)) for c in columns]):
+                    reply = log.known.get(key) if log and reply is None else reply
                     if reply is None:
-                        reply = attempt({c: _value(part.column(c)[i]) for c in columns})
+                        reply = attempt(dict(zip(columns, row)))
                         if log and good(reply):
                             new[key] = reply
                     replies.append(reply)

@@ -62,19 +62,15 @@ def rate_table(df: DataFrame, groups: Sequence[str], outer: Sequence[str] = ("mo
         .groupBy(*outer, group, speaker)
         .agg(F.sum(wer).alias("total"), F.count(wer).alias("n"))
     )
-    mean = F.col("total") / F.col("n")
-    cells = group_medians(with_keys(parts, [group]).withColumn(wer, mean), [*outer, group], wer, "median", limit)
-    whole = parts.groupBy(*outer, speaker).agg((F.sum("total") / F.sum("n")).alias(wer))
-    overall = group_medians(whole, outer, wer, "Overall", limit)
-    wide = (
-        cells.where(F.col(group).isin(list(groups)))
-        .groupBy(*outer)
-        .pivot(group, list(groups))
-        .agg(F.first(as_percent(F.col("median"))))
-    )
-    return overall.withColumn("Overall", as_percent(F.col("Overall"))).join(wide, list(outer), "left").select(
-        *outer, *groups, "Overall"
-    )
+    mean = (F.col("total") / F.col("n")).alias(wer)
+    cells = with_keys(parts, [group]).select(*outer, group, mean)
+    # the speakers of all groups together are one more group, the one without a name
+    whole = parts.groupBy(*outer, speaker).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    whole = whole.select(*outer, F.lit(None).cast(parts.schema[group].dataType).alias(group), mean)
+    medians = group_medians(cells.unionByName(whole), [*outer, group], wer, "median", limit)
+    median = as_percent(F.col("median"))
+    return medians.groupBy(*outer).agg(
+        *[F.max(F.when(F.col(group) == g, median)).alias(g) for g in groups], F.max(F.when(F.col(group).isNull(), median)).alias("Overall"))
 
 
 def rate_statistics(df: DataFrame, outer: Sequence[str], group: str = "accent", speaker: str = "speaker_id",

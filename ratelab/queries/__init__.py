@@ -1,6 +1,6 @@
 """The query registry."""
 
-from ratelab.queries import files, groups, speech, text, work  # noqa: F401  (importing registers)
+from ratelab.queries import files, groups, jobs, speech, text, work  # noqa: F401  (importing registers)
 from ratelab.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
