@@ -1,7 +1,7 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. First, each block is decided by its container, its share of
-linked text, its length and its density of stop words; then blocks left open take the label of the nearest
+linked text, its length and its density of stop words (a container's name counts only while the page has its text elsewhere); then blocks left open take the label of the nearest
 decided neighbour.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -51,7 +52,7 @@ SHORT = 70
 LINKED = 1 / 3
 STOP_DENSITY = 0.1
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -59,9 +60,12 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass
 class Block:
+    """named: the containers around the block whose names are those of page furniture."""
+
     tag: str
     section: int
     furniture: bool
+    named: tuple[int, ...] = ()
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -74,13 +78,16 @@ class _Open:
     furniture: bool
     section: int
     skipped: bool
+    named: tuple[int, ...] = ()
 
 
-def _is_furniture(tag: str, rest: str, inside_main: bool) -> bool:
+def _is_furniture(tag: str, rest: str, inside_main: bool) -> bool | None:
+    """True by its tag, role or style; None where only its names say so."""
     if tag in FURNITURE_TAGS or tag == "header" and not inside_main:
         return True
     if not rest.strip("/ \n\t"):
         return False
+    named = False
     for name, a, b, c in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), (a or b or c)
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in FURNITURE_ROLES:
@@ -90,9 +97,8 @@ def _is_furniture(tag: str, rest: str, inside_main: bool) -> bool:
         if name in ("class", "id") and tag not in ("body", "html"):
             words = {w.lower() for w in _NAME.findall(value)}
             found = words & FURNITURE_NAMES
-            if found - {"header", "byline", "tags"} or found and not inside_main:
-                return True
-    return False
+            named = named or bool(found - {"header", "byline", "tags"} or found and not inside_main)
+    return None if named else False
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -100,7 +106,8 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[_Open] = [_Open("", False, 0, False)]
-    state = {"sections": 0, "links": 0}
+    state = {"sections": 0, "named": 0, "link": 0}  # link: how deep the element around the open link lies, and 1
+    depth: Counter[str] = Counter()
     now = Block("", 0, False)
 
     def close() -> None:
@@ -108,13 +115,20 @@ def blocks(page: str | None) -> list[Block]:
         now.text = " ".join("".join(now.pieces).split())
         if now.text:
             out.append(now)
-        now = Block(stack[-1].tag, stack[-1].section, stack[-1].furniture)
+        now = Block(stack[-1].tag, stack[-1].section, stack[-1].furniture, stack[-1].named)
+
+    def leave() -> str:
+        tag = stack.pop().tag
+        depth[tag] -= 1
+        if len(stack) < state["link"]:
+            state["link"] = 0
+        return tag
 
     def say(raw: str, decode: bool = True) -> None:
         if raw and not stack[-1].skipped:
             said = html.unescape(raw) if decode and "&" in raw else raw
             now.pieces.append(said)
-            if state["links"]:
+            if state["link"]:
                 now.linked += len("".join(said.split()))
 
     at = 0
@@ -131,14 +145,14 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if found["end"]:
             if tag == "a":
-                state["links"] = 0
-            if any(o.tag == tag for o in stack[1:]):
+                state["link"] = 0
+            if depth[tag] > 0:
                 if tag in BLOCK_TAGS:
                     close()
-                while stack.pop().tag != tag:
+                while leave() != tag:
                     pass
                 if tag in BLOCK_TAGS:
-                    now = Block(stack[-1].tag, stack[-1].section, stack[-1].furniture)
+                    now = Block(stack[-1].tag, stack[-1].section, stack[-1].furniture, stack[-1].named)
             elif tag in BLOCK_TAGS:
                 close()
             continue
@@ -148,9 +162,9 @@ def blocks(page: str | None) -> list[Block]:
         if tag in BLOCK_TAGS:
             close()
             if stack[-1].tag == "p" and tag == "p":
-                stack.pop()
-        if tag == "a":
-            state["links"] = 1
+                leave()
+        if tag == "a" and ("href" in (names := [a[0].lower() for a in _ATTRIBUTE.findall(found["rest"])]) or not names):
+            state["link"] = len(stack)  # an anchor that has a name but no target is no link
         if tag in RAW_TAGS:
             end = re.compile(rf"</{tag}(?=[\s/>])|\Z", re.I).search(page, at)
             at = end.start()
@@ -163,16 +177,41 @@ def blocks(page: str | None) -> list[Block]:
             state["sections"] += 1
             section = state["sections"]
         if tag in BLOCK_TAGS or tag in SKIPPED_TAGS or tag in FURNITURE_TAGS or tag == "span":
-            furniture = top.furniture or _is_furniture(tag, found["rest"], section > 0)
-            stack.append(_Open(tag, furniture, section, top.skipped or tag in SKIPPED_TAGS))
-            if tag in BLOCK_TAGS or furniture != top.furniture:
+            told = _is_furniture(tag, found["rest"], section > 0)
+            furniture, named = top.furniture or told is True, top.named
+            if told is None:
+                state["named"] += 1
+                named = (*named, state["named"])
+            stack.append(_Open(tag, furniture, section, top.skipped or tag in SKIPPED_TAGS, named))
+            depth[tag] += 1
+            if tag in BLOCK_TAGS or furniture != top.furniture or named != top.named:
                 if tag not in BLOCK_TAGS:
                     close()
-                now = Block(tag, section, furniture)
+                now = Block(tag, section, furniture, named)
     close()
     return out
 
 
+def _weigh_names(found: list[Block]) -> None:
+    """Make furniture of what lies in a container named like furniture, unless that container holds the page's text.
+
+    It does where most stop words of the page are inside it and no article or main section has text outside it: then
+    the name speaks of the layout (`content has-sidebar`), not of its content.
+    """
+    inside: Counter[int] = Counter()
+    total, articles = 0, []
+    for b in found:
+        if not b.furniture and b.linked <= LINKED * len("".join(b.text.split())):
+            stops = sum(w in STOP_WORDS for w in _WORD.findall(b.text.lower()))
+            total += stops
+            inside.update(dict.fromkeys(b.named, stops))
+            if b.section:
+                articles.append(b.named)
+    most = {c for c, stops in inside.items() if 2 * stops > total and all(c in named for named in articles)}
+    for b in found:
+        b.furniture = b.furniture or any(c not in most for c in b.named)
+
+
 def decide(block: Block) -> bool | None:
     """First pass: True for main text, False for furniture, None for what only its neighbours can tell."""
     length = len("".join(block.text.split()))
@@ -192,6 +231,7 @@ def label(found: list[Block]) -> None:
     main section the nearest of that section that is no furniture, elsewhere the nearest of the page; between
     two equally near ones main text wins. Where there is none to ask, a block is main text.
     """
+    _weigh_names(found)
     first = [decide(b) for b in found]
     before, after = _decided(found, first, range(len(found))), _decided(found, first, range(len(found) - 1, -1, -1))
     for i, b in enumerate(found):

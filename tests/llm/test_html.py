@@ -27,6 +27,27 @@ def test_pages(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='content has-sidebar'><p>{}</p></div>", "<div class='page no-header'><p>{}</p></div>", "<div class='elementor-widget text'>{}</div>",
+    "<article class='post tag-social'><p>{}</p></article>", "<a name=top><p>{}</p>", "<a name='x'>{}</a>", "<p title=it's>{}</p><p class=b>that's</p>".replace("<p class=b>that's</p>", ""),
+    "<div class='page no-header'><div class='sidebar'><p>Of the menu and the rest of it</p></div><p>{}</p></div>",
+    "<div id=wrapper-widget><nav><a href=/>Home</a></nav><div class=share>and so on</div><p>{}</p><footer>f</footer></div>", "<p><a href=x>Home</p><p>{}</p>",
+])
+def test_names_and_anchors_do_not_lose_the_page(page):
+    assert html.main_text(page.format(LONG)) == LONG
+
+
+def test_comments_stay_out_however_long():
+    comments = f"<div class=comments><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+    assert html.main_text(f"<article><p>{LONG}</p></article>{comments}") == LONG
+    assert html.main_text(f"<article><p>{LONG}</p>{comments}</article>") == LONG
+
+
+def test_depth_costs_no_more_than_length():
+    page = "<div>" * 20_000 + f"<p>{LONG}</p>" + "</div>" * 20_000 + "</span>" * 20_000
+    assert html.main_text(page) == LONG
+
+
 def test_blocks_know_links_and_furniture():
     found = html.blocks("<ul><li><a href=x>Home page</a></li></ul><p>Text <a>in</a></p><footer>f</footer>")
     assert [(b.text, b.linked, b.furniture) for b in found] == [("Home page", 8, False), ("Text in", 2, False), ("f", 0, True)]
