@@ -1,8 +1,8 @@
 """Sharding along a Hilbert curve: cells of several quantised dimensions in curve order, cut into equal runs.
 
 Only DataFrame functions. Cells are few (a bounded number of bits), so their counts and offsets fit one small
-table; rows get their global number from the offset of their cell part and their place inside it. A cell that
-holds more rows than one window should sort is split into parts.
+table; rows get their global number from the offset of their cell and their place inside it. A cell that
+holds more rows than one window should sort is cut into ranges of its order.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelab.llm.frames import settle
+from ratelab.operators.running import running_totals
 
 SHARDS = 16
 BITS = 4
-PART_ROWS = 1_000_000
+SLICE_ROWS = 1_000_000
 
 
 def hilbert_index(coordinates: Sequence[Column], bits: int) -> Column:
@@ -55,23 +56,32 @@ def _digit(value: Column, shift: Column) -> Column:
     return F.floor(value / F.pow(F.lit(2.0), shift)).cast("int") % 2
 
 
-def order_code(column: Column, kind: str) -> Column:
-    """A number that sorts as the column does: numbers as they are, texts by their first six bytes."""
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        return column.cast("double")
-    head = F.rpad(F.substr(F.hex(F.encode(column.cast("string"), "UTF-8")), F.lit(1), F.lit(12)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], bits: int, accuracy: int = 10_000) -> dict[str, list[float]]:
-    """At most 2^bits - 1 distinct bounds per column that cut its values into about equally frequent ranges."""
+def _text_bounds(df: DataFrame, column: str, steps: Sequence[float]) -> list[str]:
+    """The values at which the rows, in the order of the whole texts, pass each share: from counts of the distinct values."""
+    ties = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0))
+    upto = settle(running_totals(ties, ["all"], [column], {"upto": F.col("n")}))
+    total = upto.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    row = upto.agg(*[F.min(F.when(F.col("upto") > s * total, F.col(column))).alias(f"b{i}") for i, s in enumerate(steps)]).first()
+    return [b for b in row if b is not None]
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], bits: int, accuracy: int = 10_000) -> dict[str, list]:
+    """At most 2^bits - 1 distinct bounds per column that cut its values into about equally frequent ranges.
+
+    Numbers by an approximate percentile, texts exactly, however long a beginning they share.
+    """
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    row = df.agg(*[F.percentile_approx(c, steps, accuracy).alias(c) for c in columns]).first()
-    return {c: sorted(set(row[c] or [])) for c in columns}
+    kinds = dict(df.dtypes)
+    numbers = [c for c in columns if kinds[c].startswith(_NUMBERS)]
+    row = df.agg(F.lit(0), *[F.percentile_approx(c, steps, accuracy).alias(c) for c in numbers]).first()
+    return {c: sorted(set((row[c] or []) if c in numbers else _text_bounds(df, c, steps))) for c in columns}
 
 
 def curve_order(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> DataFrame:
-    """df with a column curve: the Hilbert index of the quantised dimensions (name -> numeric column).
+    """df with a column curve: the Hilbert index of the quantised dimensions (name -> column of numbers or texts).
 
     Values on or above i bounds are in range i; null has range 0 like the smallest values.
     """
@@ -87,27 +97,21 @@ def curve_order(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS)
     return ranged.join(F.broadcast(cells), coordinates).drop(*coordinates)
 
 
-def equal_runs(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", part_rows: int = PART_ROWS) -> DataFrame:
+def equal_runs(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", slice_rows: int = SLICE_ROWS, order: Sequence[str] | None = None) -> DataFrame:
     """df (with column curve) and columns shard, slot: runs of the curve order with row counts at most one apart.
 
-    Inside a curve cell rows go by part, then key, then the order of their other columns; repeated rows take
-    consecutive slots. Cells larger than part_rows are split by a hash of the place in the scan, so repeated rows part too.
+    Inside a curve cell rows go by `order`, else by key and then their other columns, whatever the size of the cell and
+    however the table is filed; equal rows take consecutive slots. Cells of more rows than a task should sort are cut
+    into ranges of that order.
     """
-    cells = settle(df.groupBy("curve").agg(F.count("*").alias("n")))
-    cells = cells.withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int")).drop("n")
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")).cast("int")
-    parted = settle(df.join(F.broadcast(cells), "curve").withColumn("part", spread).drop("parts"))
-    sizes = parted.groupBy("curve", "part").agg(F.count("*").alias("n"))
-    inside = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = settle(sizes.withColumn("in_cell", F.coalesce(F.sum("n").over(inside), F.lit(0))))
-    totals = sizes.groupBy("curve").agg(F.sum("n").alias("cell_n"))
-    before = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)  # one small row per cell
-    totals = totals.withColumn("base", F.coalesce(F.sum("cell_n").over(before), F.lit(0)))
-    offsets = sizes.join(totals, "curve").select("curve", "part", (F.col("base") + F.col("in_cell")).alias("offset"))
+    rows = settle(df.withColumn("tie", F.monotonically_increasing_id()))  # parts equal rows, which may be many
+    order = list(order or [key, *[c for c in df.columns if c not in ("curve", key)]])
+    placed = running_totals(rows, ["curve"], [*order, "tie"], {"place": F.lit(1)}, slice_rows).drop("tie")
+    sizes = settle(rows.groupBy("curve").agg(F.count(F.lit(1)).alias("n")))  # one small row per cell
+    before = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("curve", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rest = [c for c in df.columns if c not in ("curve", key)]
-    place = F.row_number().over(Window.partitionBy("curve", "part").orderBy(key, *rest)) - 1
-    numbered = parted.withColumn("place", place).join(offsets, ["curve", "part"]).withColumn("number", F.col("offset") + F.col("place"))
+    numbered = placed.join(F.broadcast(offsets), "curve").withColumn("number", F.col("offset") + F.col("place") - 1)
     small, longer = divmod(total, shards)
     edge = longer * (small + 1)
     number = F.col("number")
@@ -118,22 +122,22 @@ def equal_runs(df: DataFrame, shards: int = SHARDS, key: str = "doc_id", part_ro
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: Sequence[str] = ("lang", "source"),
-                    shards: int = SHARDS, bits: int = BITS, part_rows: int = PART_ROWS) -> DataFrame:
+                    shards: int = SHARDS, bits: int = BITS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): all rows along the Hilbert curve of `by` and the text size.
 
     size is the UTF-8 bytes of the text plus 1, a null text having none and the crc of the empty text. Null ids,
-    languages and the like sort first; repeated rows each have a slot; fewer rows than shards leave shards
+    languages and the like sort first; equal texts of a cell stand side by side; repeated rows each have a slot; fewer rows than shards leave shards
     empty; an empty table gives an empty table. Only ids, sizes, check sums and curve places are shuffled.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     kinds = dict(docs.dtypes)
-    codes = [order_code(F.col(f"`{c}`"), kinds[c]).alias(f"by_{i}") for i, c in enumerate(by)]
+    codes = [F.col(f"`{c}`").cast("double" if kinds[c].startswith(_NUMBERS) else "string").alias(f"by_{i}") for i, c in enumerate(by)]
     rows = settle(docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), *codes))
     dimensions = {f"by_{i}": F.col(f"by_{i}") for i in range(len(by))} | {"length": F.col("size").cast("double")}
     placed = curve_order(rows, dimensions, bits)
-    return equal_runs(placed, shards, "doc_id", part_rows).drop("curve")
+    return equal_runs(placed, shards, "doc_id", slice_rows, ["text_crc32", "size", "doc_id"]).drop("curve")
 
 
 def shard_bounds(sharded: DataFrame, columns: Sequence[str]) -> DataFrame:
