@@ -6,12 +6,15 @@ document id and hold the code, the documents and the coded blocks, so that each
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,13 @@ from ratelab.llm.frames import file_system, id_text, partitions, read_files, set
 
 END_ID = 0
 FILE_TOKENS = 1 << 22
-CACHE_WORDS = 200_000
+CACHE_BYTES = 80 << 20  # of one of two generations of remembered pieces
+ROWS_AT_ONCE = 1000
 MAGIC = b"TOKHUF1\n"
 
 
 _SPACES, _CUT, _BEFORE_BLANK = re.compile(r"\s\s"), "\x01", re.compile(r"(?<=\S)(?= )")
-_MARKS = frozenset(".,;:!?")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -43,50 +47,58 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Encode texts with the tokenizers library, remembering the ids of pieces between blanks.
 
-    No pre-token of a byte-level vocabulary runs across the place between a non-blank and a blank, or on
-    either side of a line break between non-blanks, so a text may be cut there. Two generations of remembered
-    pieces keep the memory bounded.
+    No pre-token of the usual byte-level pattern runs across the place between a non-blank and a blank, or on
+    either side of a line break between non-blanks, so a text may be cut there; nor from a letter or digit into marks
+    behind it. A vocabulary with another way of cutting gets whole texts. Two generations of remembered pieces keep
+    the memory bounded.
     """
 
-    def __init__(self, path: str, room: int = CACHE_WORDS):
+    def __init__(self, path: str, room: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.letter_of = _byte_letters()
-        self.room, self.new, self.old = room, {}, {}
+        self.room, self.held, self.new, self.old = room, 0, {}, {}
+        told = json.loads(self.tokenizer.to_str())
+        cut, model = told["pre_tokenizer"] or {}, told["model"]
+        self.cuts = (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space"), told["normalizer"], model["type"], model.get("ignore_merges", False),
+                     model.get("dropout")) == ("ByteLevel", True, False, None, "BPE", False, None)
 
     def pieces(self, text: str) -> list[str]:
+        if not self.cuts:
+            return [text]
         if _CUT in text or _SPACES.search(text):
             return _BEFORE_BLANK.split(text)
         return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split(_CUT)
 
+    def _keep(self, piece: str, ids: bytes) -> None:
+        self.new[piece] = ids
+        self.held += 180 + len(piece) + len(ids)
+
     def learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces: plain words by the model alone, words with a mark as word and mark, others as texts."""
-        missing, marked = [], []
-        for p in pieces - self.new.keys():
-            if p in self.old:
-                self.new[p] = self.old[p]
-            elif p[-1:] in _MARKS and p[-2:-1].isalpha():
-                marked.append(p)
+        """Remember the ids of pieces: plain words by the model alone, words with marks behind them as word and marks, others as texts."""
+        missing, marked, old = [], [], self.old
+        for p in pieces.difference(self.new):
+            if p in old:
+                self._keep(p, old[p])
+            elif self.cuts and p[-1:] in _MARKS and (stem := p.rstrip(_MARKS))[-1:].isalnum():
+                marked.append((p, stem, p[len(stem):]))
             else:
                 missing.append(p)
-        stems = {p[:-1] for p in marked} | {p[-1] for p in marked}
-        if stems:
-            self.learn(stems)
-        for p in marked:
-            self.new[p] = self.new[p[:-1]] + self.new[p[-1]]
-        others = []
-        tokenize, letter_of = self.tokenizer.model.tokenize, self.letter_of
+        if marked:
+            self.learn({m[1] for m in marked} | {m[2] for m in marked})
+        for p, stem, marks in marked:
+            self._keep(p, self.new[stem] + self.new[marks])
+        plain, others = [], []
         for p in missing:
-            if p.lstrip(" ").isalpha() and p[1:2] != " ":
-                word = p.encode().decode("latin-1").translate(letter_of)
-                self.new[p] = np.array([t.id for t in tokenize(word)], "<u4").tobytes()
-            else:
-                others.append(p)
+            (plain if self.cuts and p.lstrip(" ").isalpha() and p[1:2] != " " else others).append(p)
+        tokenize = self.tokenizer.model.tokenize
+        for p, word in zip(plain, "\n".join(plain).encode().decode("latin-1").translate(self.letter_of | {10: "\n"}).split("\n")):
+            self._keep(p, array("I", [t.id for t in tokenize(word)]).tobytes())
         for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            self.new[p] = np.array(e.ids, "<u4").tobytes()
+            self._keep(p, array("I", e.ids).tobytes())
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -97,39 +109,67 @@ class Encoder:
                 group.append(self.pieces(texts[at]))
                 chars += len(texts[at])
                 at += 1
-            if len(self.new) > self.room:
-                self.old, self.new = self.new, {}
-            self.learn(set().union(*group))
-            known = self.new.__getitem__
-            for pieces in group:
-                yield np.frombuffer(b"".join(map(known, pieces)), "<u4")
+            if self.held > self.room:
+                self.old, self.new, self.held = self.new, {}, 0
+            gc.disable()  # nothing here refers to itself, and looking for what does takes a third of the time
+            try:
+                self.learn(set(chain.from_iterable(group)))
+                known = self.new.__getitem__
+                joined = [b"".join(map(known, pieces)) for pieces in group]
+            finally:
+                gc.enable()
+            yield from (np.frombuffer(ids, "<u4") for ids in joined)
+
+
+_SQUEEZE, _OPEN = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
+def _counts_packed(counts: np.ndarray) -> bytes:
+    return _SQUEEZE.compress(counts.astype("<i8").tobytes())
+
+
+def _counts_unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(_OPEN.decompress(data), "<i8")
 
 
 def _packed(ids: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return _SQUEEZE.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.frombuffer(_OPEN.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id long, n_tokens, packed): the ids of every whole text and end_id, packed; null texts are empty."""
+    """(doc_id long, n_tokens, packed, counts): the ids of every whole text and end_id, packed; null texts are empty.
+
+    Each task adds a row of its own with how often it met each id (`counts`, null for documents).
+    """
     rows = id_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = ["doc_id", "n_tokens", "packed", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:  # kept by the worker from task to task
             _ENCODERS[path] = Encoder(path)
+        total, end = np.zeros(end_id + 1, np.int64), np.array([end_id], np.uint32)
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            ids = [np.append(i, np.uint32(end_id)) for i in _ENCODERS[path].encode(texts)]
-            columns = [batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([_packed(i) for i in ids], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "packed"])
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                ids = [np.concatenate([i, end]) for i in _ENCODERS[path].encode([t or "" for t in part.column(1).to_pylist()])]
+                found = np.bincount(np.concatenate(ids), minlength=len(total))
+                found[: len(total)] += total
+                total = found
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([_packed(i) for i in ids], pa.binary()),
+                     pa.nulls(len(ids), pa.binary())], names)
+        if total.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([_counts_packed(total)], pa.binary())], names)
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, packed binary")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, packed binary, counts binary")
 
 
 def count_ids(tokens: DataFrame) -> np.ndarray:
@@ -138,14 +178,17 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for packed in batch.column(0):
-                found = np.bincount(_unpacked(packed.as_py()), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            for counts in batch.column(0):
+                found = _counts_unpacked(counts.as_py())
+                wide = np.zeros(max(len(total), len(found)), np.int64)
+                wide[: len(total)] += total
+                wide[: len(found)] += found
+                total = wide
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    rows = tokens.select("packed").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    told = tokens.where("counts IS NOT NULL").select("counts")
+    rows = told.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in rows), default=-1) + 1, np.int64)
     counts[[r.id for r in rows]] = [r.n for r in rows]
     return counts
@@ -198,7 +241,7 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
     counts = count_ids(tokens)
     lengths = huffman.code_lengths(counts, limit)
     code = huffman.codes(lengths)
-    spread = tokens.withColumn("place", F.monotonically_increasing_id())
+    spread = tokens.where("counts IS NULL").withColumn("place", F.monotonically_increasing_id())
     spread = spread.repartitionByRange(partitions(docs.sparkSession), "doc_id", "place").sortWithinPartitions("doc_id", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

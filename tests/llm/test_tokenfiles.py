@@ -88,3 +88,33 @@ def test_query_against_the_library(spark, tokenizer):
         want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(map(tuple, queries.QUERIES["op7_token_files"](spark, folder).collect())) == want
+
+
+SMALL = tokenfiles.Encoder(PATH, room=2000)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.text(alphabet="abZé9½ '\"#.,!&\n-_ª²Ⅷ中", max_size=25), max_size=4))
+def test_marks_behind_words_keep_the_ids(texts):
+    got = [i.tolist() for i in SMALL.encode(texts)]
+    assert got == [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_another_way_of_cutting_gets_whole_texts(tmp_path):
+    """A vocabulary whose pre-tokens run across blanks is not cut there."""
+    from tokenizers import pre_tokenizers
+
+    other = Tokenizer.from_file(PATH)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)
+    other.save(str(tmp_path / "other.json"))
+    texts = ["the the the", "and  of#", "a\nb"]
+    got = [i.tolist() for i in tokenfiles.Encoder(str(tmp_path / "other.json")).encode(texts)]
+    assert got == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_are_counted_while_they_are_made(spark, tokenizer):
+    docs = spark.createDataFrame([(i, f"word{i % 3} the ## {i}") for i in range(40)] + [(50, None)], "doc_id long, text string").repartition(3)
+    counts = tokenfiles.count_ids(tokenfiles.tokenize(docs, PATH))
+    want = np.bincount([i for r in docs.collect() for i in [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]])
+    assert counts.tolist() == want.tolist()
+    assert tokenfiles.count_ids(tokenfiles.tokenize(docs.limit(0), PATH)).tolist() == []
