@@ -16,13 +16,17 @@ from ratelab.session import settle
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    """Continued fraction of the incomplete beta function (modified Lentz), until it stands still.
+
+    The number of rounds needed goes with the root of the larger parameter; a fraction that still moves far beyond that fails.
+    """
     tiny = 1e-300
     c = np.ones_like(x)
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, 500):
+    most = 500 + 20 * int(np.sqrt(max(a.max(initial=0.0), b.max(initial=0.0))))
+    for m in range(1, most):
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -32,9 +36,9 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1.0 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-        if np.all(np.abs(d * c - 1.0) < 1e-15):
-            break
-    return h
+        if np.all((np.abs(d * c - 1.0) < 1e-15) | ~np.isfinite(d * c)):
+            return h
+    raise ArithmeticError(f"the tail of Student's t has not converged after {most} rounds")
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:

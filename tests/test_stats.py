@@ -67,3 +67,15 @@ def test_line_through_too_few_points(spark):
     got = {r.g: r for r in stats.ols_line(df, ["g"], "x", "y").collect()}
     assert got["two"].slope == 2 and got["two"].residual_sd is None and got["flat"].slope is None
     assert stats.confidence_band(df, ["g"], "x", "y").count() == 0
+
+
+def test_tail_of_very_many_degrees_and_of_a_fraction_that_does_not_settle(monkeypatch):
+    from ratelab.operators import stats
+
+    import numpy as np
+    import pytest
+
+    # beyond a million degrees the distribution is normal to six places
+    assert abs(stats.student_tail(np.array([1.959963984540054]), np.array([5e6]))[0] - 0.05) < 1e-6
+    with pytest.raises(ArithmeticError):
+        stats._beta_fraction(np.array([1e12]), np.array([1e12]), np.array([0.5 + 1e-9]))
