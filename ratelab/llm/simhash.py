@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelab.llm.components import components
@@ -220,5 +220,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     if many.isEmpty():
         return kept
     again = rows.join(many, here)
-    first = F.row_number().over(Window.partitionBy("keep_id", "keep_hash").orderBy(F.xxhash64("row")))
-    return kept.unionByName(again.withColumn("nth", first).where("nth = 1").select("row.*"))
+    first = F.min_by("row", F.xxhash64("row")).alias("row")
+    return kept.unionByName(again.groupBy("keep_id", "keep_hash").agg(first).select("row.*"))

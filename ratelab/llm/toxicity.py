@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Counting, ratios and the choice of features are Spark aggregations over a bounded, documented sample of the
-labelled rows; the weights are fitted to that sample's rows of feature bits; every text is scored whole.
+A feature's value is the logarithm of how often its n-gram stands in a text beyond what clean text of that length
+shows. Counting and the choice of candidates are Spark aggregations over a bounded, documented sample of the labelled
+rows; ratios and weights are fitted to that sample's rows of candidate values; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ratelab.llm.frames import id_text, settle
 SIZES = (3, 4, 5, 6)
 SLOTS = 1 << 20
 FEATURES = 8192
+CANDIDATES = 32_768
+USUAL_SPREADS = 3  # an n-gram counts beyond so many root counts above the usual
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
 MIN_DOCS = 3
@@ -49,22 +52,28 @@ def slots(text: str | None) -> Iterator[np.ndarray]:
 
 @dataclass
 class Model:
-    """place: the feature of each hash slot or -1; value: weight times log-count ratio of each feature."""
+    """place: the feature of each hash slot or -1; usual: how often per character clean text has it; value: weight times log-count ratio."""
 
     place: np.ndarray
+    usual: np.ndarray
     value: np.ndarray
     bias: float
 
-    def bits(self, text: str | None) -> np.ndarray:
-        """The features that a text has."""
-        seen = np.zeros(len(self.value), bool)
+    def values(self, text: str | None) -> np.ndarray:
+        """The value of every feature: the logarithm of its count beyond the usual for that length."""
+        counts = np.zeros(len(self.usual), np.int64)
+        length = 0
         for block in slots(text):
             at = self.place[block]
-            seen[at[at >= 0]] = True
-        return seen
+            counts += np.bincount(at[at >= 0], minlength=len(counts))
+            length += len(block)
+        out, used = np.zeros(len(counts)), np.flatnonzero(counts)
+        expected = self.usual[used] * (length / len(SIZES))
+        out[used] = np.log1p(np.maximum(0, counts[used] - expected - USUAL_SPREADS * np.sqrt(expected)))
+        return out
 
     def score(self, text: str | None) -> float:
-        z = float(self.value[self.bits(text)].sum()) + self.bias
+        z = float(self.value @ self.values(text)) + self.bias if len(self.value) else self.bias
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -83,83 +92,116 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return id_text(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
 
-def train(sample: DataFrame, features: int = FEATURES, smoothing: float = 1.0, l1: float = 1e-3) -> Model:
-    """Fit a model to (text, toxic). Without rows, or with one label only, every score is the label's share."""
+def train(sample: DataFrame, features: int = FEATURES, smoothing: float = 1.0, l1: float = 1e-3, rows: int = 2 * SAMPLE_ROWS) -> Model:
+    """Fit a model to (text, toxic). Without rows, or with one label only, every score is the label's share.
+
+    Where repeated ids make the sample larger than `rows`, about that many of its rows are taken.
+    """
     sample = settle(sample.repartition(8))
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if n > rows:
+        drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 32)) < int(rows / n * (1 << 32))
+        sample = settle(sample.where(drawn))
+        n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     place = np.full(SLOTS, -1, np.int32)
     if not toxic or toxic == n:
         share = (toxic + 0.5) / (n + 1)
-        return Model(place, np.zeros(0), float(np.log(share / (1 - share))))
-    chosen = _ratios(_counts(sample), n, toxic, features, smoothing)
-    place[[r.slot for r in chosen]] = np.arange(len(chosen))
-    ratio = np.array([r.ratio for r in chosen])
-    model = Model(place, ratio, 0.0)
-    rows = sample.mapInArrow(lambda batches: _bit_rows(batches, model), "bits binary, toxic int").collect()
-    x = [np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), count=len(ratio))) for r in rows]
-    weight, bias = _fit(x, np.array([r.toxic for r in rows], float), ratio, l1)
-    return Model(place, weight * ratio, bias)
+        return Model(place, np.zeros(0), np.zeros(0), float(np.log(share / (1 - share))))
+    counts = _counts(sample)
+    length = counts.where("slot < 0").agg(F.sum("seen")).first()[0] or 1
+    candidates = _candidates(counts.where("slot >= 0"), n, toxic, max(features, CANDIDATES))
+    slot, usual = np.array([r.slot for r in candidates], np.int64), np.array([r.seen / length for r in candidates])
+    place[slot] = np.arange(len(slot))
+    valued = Model(place, usual, np.zeros(0), 0.0)
+    found = sample.mapInArrow(lambda batches: _value_rows(batches, valued), "at binary, value binary, toxic int").collect()
+    col, value = (np.concatenate([np.frombuffer(r[f], kind) for r in found]) for f, kind in (("at", "<i4"), ("value", "<f4")))
+    row, y = np.repeat(np.arange(n), [len(r["at"]) // 4 for r in found]), np.array([r.toxic for r in found], float)
+    ratio, gain = _ratios(col, value, y[row] == 1, len(slot), smoothing)
+    chosen = np.sort(np.argsort(-gain, kind="stable")[:features])
+    new = np.full(len(slot), -1, np.int64)
+    new[chosen] = np.arange(len(chosen))
+    kept = new[col] >= 0
+    weight, bias = _fit(row[kept], new[col[kept]], value[kept] * ratio[col[kept]], y, len(chosen), l1)
+    place[:] = -1
+    place[slot[chosen]] = np.arange(len(chosen))
+    return Model(place, usual[chosen], weight * ratio[chosen], bias)
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """(slot, toxic_docs, clean_docs): in how many sampled documents of either label each slot occurs."""
+    """(slot, p, q, seen): in how many toxic and clean documents each slot occurs, and how often in clean ones; slot -1 has the clean length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, SLOTS), np.int32)
+        docs, seen, length = np.zeros((2, SLOTS), np.int64), np.zeros(SLOTS, np.int64), 0
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = np.unique(np.concatenate([np.zeros(0, np.uint32), *map(np.unique, slots(text))]))
-                counts[toxic, seen] += 1
-        used = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array(counts[1][used]), pa.array(counts[0][used])], names=["slot", "p", "q"])
-
-    part = sample.mapInArrow(run, "slot int, p int, q int")
-    return settle(part.groupBy("slot").agg(F.sum("p").alias("p"), F.sum("q").alias("q")))
-
-
-def _ratios(counts: DataFrame, n: int, toxic: int, features: int, smoothing: float) -> list:
-    """The slots whose presence tells most about the label, with their log-count ratios."""
-    all_p, all_q = counts.agg(F.sum("p"), F.sum("q")).first()
-    rate = lambda c, total: (F.col(c) + smoothing) / (total + smoothing * SLOTS)
-    ratio = F.log(rate("p", all_p) / rate("q", all_q))
-    # how far the counts lie from independence, as a likelihood ratio
+                parts = []
+                for block in slots(text):
+                    at, times = np.unique(block, return_counts=True)
+                    parts.append(at)
+                    if not toxic:
+                        seen[at] += times
+                        length += len(block)
+                docs[toxic, np.unique(np.concatenate([np.zeros(0, np.uint32), *parts]))] += 1
+        used = np.flatnonzero(docs.any(axis=0))
+        columns = [np.append(used, -1), np.append(docs[1][used], 0), np.append(docs[0][used], 0), np.append(seen[used], length // len(SIZES))]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])], names=["slot", "p", "q", "seen"])
+
+    part = sample.mapInArrow(run, "slot int, p long, q long, seen long")
+    return settle(part.groupBy("slot").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum("seen").alias("seen")))
+
+
+def _candidates(counts: DataFrame, n: int, toxic: int, most: int) -> list:
+    """The slots whose presence tells most about the label: how far the counts lie from independence, as a likelihood ratio."""
     expected = lambda share: (F.col("p") + F.col("q")) * share
     part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / expected(share))).otherwise(0.0)
     gain = part("p", toxic / n) + part("q", 1 - toxic / n)
-    told = counts.where(F.col("p") + F.col("q") >= MIN_DOCS).select("slot", ratio.alias("ratio"), gain.alias("gain"))
-    return told.orderBy(F.desc("gain"), "slot").limit(features).collect()
+    told = counts.where(F.col("p") + F.col("q") >= MIN_DOCS).select("slot", "seen", gain.alias("gain"))
+    return told.orderBy(F.desc("gain"), "slot").limit(most).collect()
+
 
+def _ratios(col: np.ndarray, value: np.ndarray, toxic: np.ndarray, candidates: int, smoothing: float) -> tuple[np.ndarray, np.ndarray]:
+    """The log-count ratio of every candidate, and how far its sums lie from independence; below MIN_DOCS documents it does not count."""
+    p, q = np.bincount(col[toxic], value[toxic], candidates), np.bincount(col[~toxic], value[~toxic], candidates)
+    rate = lambda c: (c + smoothing) / (c.sum() + smoothing * SLOTS)
+    share = p.sum() / max(p.sum() + q.sum(), 1e-300)
+    gain = np.zeros(candidates)
+    for c, part in ((p, share), (q, 1 - share)):
+        used = c > 0
+        gain[used] += c[used] * np.log(c[used] / ((p + q)[used] * part))
+    gain[np.bincount(col, minlength=candidates) < MIN_DOCS] = -1
+    return np.log(rate(p) / rate(q)), gain
 
-def _bit_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+
+def _value_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bits = [np.packbits(model.bits(t)).tobytes() for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), batch.column(1)], names=["bits", "toxic"])
+        found = [model.values(t) for t in batch.column(0).to_pylist()]
+        used = [np.flatnonzero(v) for v in found]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([u.astype("<i4").tobytes() for u in used], pa.binary()),
+             pa.array([v[u].astype("<f4").tobytes() for v, u in zip(found, used)], pa.binary()), batch.column(1)], names=["at", "value", "toxic"])
 
 
-def _fit(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l1: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Sparse logistic regression on rows of scaled feature bits by accelerated proximal gradient steps.
+def _fit(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, features: int, l1: float, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Sparse logistic regression on scaled feature values (row, column, value) by accelerated proximal gradient steps.
 
     Both labels weigh the same in the loss, however rare one is, and the penalty on absolute weights leaves few
     n-grams in use, so that labels of a rare language are not drowned by chance features of a common one.
     """
-    row = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    col = np.concatenate(x) if x else np.zeros(0, int)
-    scale = ratio[col]
-    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(x)
+    n = len(y)
+    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
     # the largest curvature of the loss, by power steps, bounds the step
-    way, reach = np.ones(len(ratio)), 0.0
+    way, reach = np.ones(features), 0.0
     for _ in range(30):
-        way = np.bincount(col, scale * np.bincount(row, scale * way[col], len(x))[row], len(ratio))
+        way = np.bincount(col, scale * np.bincount(row, scale * way[col], n)[row], features)
         reach = float(np.linalg.norm(way))
         way = way / (reach or 1.0)
-    rate = 1 / (1.1 * balance.max() * (reach + len(x)) / 4)
-    w, b = np.zeros(len(ratio)), 0.0
+    rate = 1 / (1.1 * balance.max() * (reach + n) / 4)
+    w, b = np.zeros(features), 0.0
     ahead_w, ahead_b = w, b
     for i in range(rounds):
-        z = np.bincount(row, scale * ahead_w[col], len(x)) + ahead_b
+        z = np.bincount(row, scale * ahead_w[col], n) + ahead_b
         miss = balance * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        new_w = ahead_w - rate * np.bincount(col, scale * miss[row], len(ratio))
+        new_w = ahead_w - rate * np.bincount(col, scale * miss[row], features)
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * l1, 0)
         new_b = ahead_b - rate * miss.sum()
         push = i / (i + 3)

@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from ratelab.llm import queries, toxicity
@@ -43,6 +46,49 @@ def test_sample_leaves_the_held_out_third_and_odd_labels_out(spark):
     assert toxicity.labelled_sample(docs, labels, 7).count() == 7
 
 
+def test_values_ratios_and_weights_against_plain_python():
+    texts = ["ab ab abc", "abcabc", "", None, "x" * 40]
+    usual = np.array([0.0, 0.02, 0.3])
+    place = np.full(toxicity.SLOTS, -1, np.int32)
+    grams = [" ab", "abc", "xxx"]
+    for i, g in enumerate(grams):
+        threes = next(iter(toxicity.slots(g)))  # the n-grams of three of the text with a blank on either side
+        place[threes[f" {g.strip()} ".index(g)]] = i
+    model = toxicity.Model(place, usual, np.ones(3), 0.0)
+    for text in texts:
+        folded = " " + " ".join((text or "").lower().split()) + " "
+        grams_in = sum(max(0, len(folded) - n + 1) for n in toxicity.SIZES) / len(toxicity.SIZES)
+        want = []
+        for g, u in zip(grams, usual):
+            count = sum(folded.startswith(g, i) for i in range(len(folded)))
+            e = u * grams_in
+            want.append(math.log1p(max(0, count - e - 3 * math.sqrt(e))) if count else 0.0)
+        np.testing.assert_allclose(model.values(text), want, atol=1e-12)
+    rng = np.random.default_rng(4)
+    col, value, toxic = rng.integers(0, 5, 60), rng.random(60), rng.random(60) < 0.4
+    ratio, gain = toxicity._ratios(col, value, toxic, 6, 1.0)
+    p = [sum(v for c, v, t in zip(col, value, toxic) if c == k and t) for k in range(6)]
+    q = [sum(v for c, v, t in zip(col, value, toxic) if c == k and not t) for k in range(6)]
+    for k in range(6):
+        assert math.isclose(ratio[k], math.log((p[k] + 1) / (sum(p) + toxicity.SLOTS) / ((q[k] + 1) / (sum(q) + toxicity.SLOTS))), rel_tol=1e-9)
+        share = sum(p) / (sum(p) + sum(q))
+        want = sum(c * math.log(c / ((p[k] + q[k]) * s)) for c, s in ((p[k], share), (q[k], 1 - share)) if c) if k < 5 else -1
+        assert math.isclose(gain[k], want, abs_tol=1e-9)
+    # without a penalty the weights are where the balanced loss has no slope
+    y = (rng.random(40) < 0.3).astype(float)
+    row, col, x = np.repeat(np.arange(40), 2), np.tile([0, 1], 40), rng.normal(size=80)
+    w, b = toxicity._fit(row, col, x, y, 2, 0.0, rounds=20_000)
+    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / 40
+    miss = balance * (1 / (1 + np.exp(-(x.reshape(40, 2) @ w + b))) - y)
+    assert abs(miss.sum()) < 1e-4 and np.abs(x.reshape(40, 2).T @ miss).max() < 1e-4
+
+
+def test_repeated_ids_do_not_make_the_sample_unbounded(spark):
+    rows = sample(spark).select("text", "toxic")
+    many = rows.unionByName(rows).unionByName(rows)
+    assert len(toxicity.train(many, rows=200).value) > 0
+
+
 def test_query_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     scored = queries.QUERIES["op5_toxicity"](spark, folder)
