@@ -8,12 +8,17 @@ again, so different entities stay different and mentions of one entity stay one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelab.llm.frames import settle
 
-KEY = "surrogate-key"
+KEY_SETTING = "spark.ratelab.surrogateKey"
+PUBLIC_KEY = "surrogate-key"
+#: From this attempt on a draw gets a keyed tail that grows with the attempts, so that every short form finds room.
+TAIL_FROM = 3
 
 # Name lists by script and gender, and forms of address.
 FEMALE = "Alice Amelia Anna Bianca Carla Clara Diana Elena Emma Eva Fiona Gloria Hanna Ines Iris Julia Laura Lea Lucia Maria Nora Olivia Paula Rosa Sara Sofia Sonia Teresa Vera Victoria Yvonne Zoe".split()
@@ -82,9 +87,18 @@ def _gender(mention: Column) -> Column:
             .when(titled(MALE_TITLES) | given.isin(MALE + CYRILLIC_MALE), "m"))
 
 
-def _stream(*parts: Column) -> Column:
-    """Hexadecimal digits that depend on the parts and nothing else."""
-    return F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 512)
+def secret_key(spark: SparkSession) -> str:
+    """The key that the session keeps in KEY_SETTING; without one a public key, good for trials only, and a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"replacements can be recomputed by anyone: set {KEY_SETTING} to a key of your own", stacklevel=2)
+    return key or PUBLIC_KEY
+
+
+def _stream(key: str, *parts: Column) -> Column:
+    """Hexadecimal digits that depend on the key and the parts and nothing else, hashed twice with the key in front."""
+    inner = F.sha2(F.concat_ws("\x1f", F.lit(key), *parts).cast("binary"), 512)
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), inner).cast("binary"), 512)
 
 
 def _number(stream: Column, at: int, below: int) -> Column:
@@ -144,13 +158,17 @@ def _name(canonical: Column, gender: Column, stream: Column, attempt: Column) ->
 def _surrogate(key: str) -> Column:
     """The replacement of a canonical form (columns kind, canonical, gender, attempt)."""
     kind, canonical, attempt = F.col("kind"), F.col("canonical"), F.col("attempt")
-    stream = _stream(F.lit(key), kind, canonical, attempt.cast("string"))
+    stream = _stream(key, kind, canonical, attempt.cast("string"))
     like = _like(canonical, stream)
     user, domain = F.split_part(canonical, F.lit("@"), F.lit(1)), F.split_part(canonical, F.lit("@"), F.lit(2))
-    host = _stream(F.lit(key), F.lit("host"), domain)
+    host = _stream(key, F.lit("host"), domain)
     top = F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _number(host, 0, 3) + 1)
-    mail = F.concat(_like(user, stream), F.lit("@"), F.lit("mail"), F.substr(host, F.lit(9), F.lit(6)), F.lit(".example."), top)
+    # a short form can run out of room, or all of its room can be taken by real forms: later draws are longer
+    digits = F.translate(F.substr(stream, F.lit(65), F.least(attempt, F.lit(60))), "abcdef", "012345")
+    tail = F.when(attempt >= TAIL_FROM, digits).otherwise("")
+    mail = F.concat(_like(user, stream), tail, F.lit("@"), F.lit("mail"), F.substr(host, F.lit(9), F.lit(6)), F.lit(".example."), top)
     octets = F.concat_ws(".", F.lit("10"), *[_number(stream, i * 8, 256).cast("string") for i in range(3)])
+    octets = F.concat(octets, F.when(attempt >= TAIL_FROM, F.concat(F.lit(":"), digits)).otherwise(""))
     first = F.substr(canonical, F.lit(1), F.lit(1))
     card = _luhn(F.concat(first, F.substr(like, F.lit(2), F.length(like))))
     # numbers start like no service number, and calls keep the digits of the country
@@ -160,10 +178,9 @@ def _surrogate(key: str) -> Column:
     ssn = F.concat(F.lit("9"), F.substr(like, F.lit(2), F.length(like)))
     access = F.concat(F.substr(canonical, F.lit(1), F.lit(4)), F.substr(like, F.lit(5), F.length(like)))
     iban = _iban(F.substr(canonical, F.lit(1), F.lit(2)), F.substr(like, F.lit(5), F.length(like)))
-    # a short form can run out of room: later draws are longer
     longer = F.concat(like, F.when(attempt > 2, F.substr(stream, F.lit(1), F.least(attempt, F.lit(40)) * 2)).otherwise(""))
-    return (F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "card", card).when(kind == "phone", phone)
-            .when(kind == "ssn", ssn).when(kind == "access_key", access).when(kind == "iban", iban)
+    return (F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "card", F.concat(card, tail)).when(kind == "phone", F.concat(phone, tail))
+            .when(kind == "ssn", F.concat(ssn, tail)).when(kind == "access_key", access).when(kind == "iban", iban)
             .when(kind == "person", _name(canonical, F.col("gender"), stream, attempt)).otherwise(longer))
 
 
@@ -175,11 +192,12 @@ def _entities(mentions: DataFrame) -> DataFrame:
     return counted.select("kind", "canonical", gender.alias("gender"))
 
 
-def assign(mentions: DataFrame, key: str = KEY) -> DataFrame:
+def assign(mentions: DataFrame, key: str = PUBLIC_KEY) -> DataFrame:
     """(kind, canonical, surrogate) for distinct mentions (kind, canonical, gender): no two entities share one.
 
     A draw fails when it equals the draw of an entity with a smaller canonical form, an accepted surrogate or
-    any entity's own form; failed entities draw again with the next attempt number.
+    any entity's own form; failed entities draw again with the next attempt number. Later draws are longer, ten times
+    the room with every attempt, so the rounds end however short the forms are and however many of them are taken.
     """
     entities = settle(_entities(mentions).withColumn("attempt", F.lit(0)))
     folded = lambda c: F.lower(F.col(c))
@@ -199,7 +217,10 @@ def assign(mentions: DataFrame, key: str = KEY) -> DataFrame:
 
 def _rendered(kind: Column, mention: Column, canonical: Column, surrogate: Column) -> Column:
     """The surrogate in the spelling of a mention: its separators, title, head and letter case."""
-    # the digits or letters of the surrogate flow into the last places that the mention has for them; a country code stays
+    # the digits or letters of the surrogate flow into the last places that the mention has for them; a country code stays,
+    # and what the surrogate has beyond the length of its entity stands behind
+    tail = F.when(kind.isin("card", "ssn", "phone"), F.substr(surrogate, F.length(canonical) + 1, F.length(surrogate))).otherwise("")
+    surrogate = F.when(kind.isin("card", "ssn", "phone"), F.substr(surrogate, F.lit(1), F.length(canonical))).otherwise(surrogate)
     chars = F.split(mention, "(?<=.)(?=.)")
     slot = F.when(kind == "iban", "[A-Z0-9]").otherwise("[0-9]")
     places = F.size(F.filter(chars, lambda c: F.regexp_like(c, slot)))
@@ -212,11 +233,11 @@ def _rendered(kind: Column, mention: Column, canonical: Column, surrogate: Colum
     bare = F.regexp_replace(mention, _PERSON_HEAD, "")
     person = F.concat(head(_PERSON_HEAD), F.when(bare == F.upper(bare), F.upper(surrogate)).otherwise(surrogate))
     email = F.when(mention == F.upper(mention), F.upper(surrogate)).otherwise(surrogate)
-    return (F.when(kind.isin("card", "ssn", "phone", "iban"), flow).when(kind == "secret", F.concat(head(_SECRET_HEAD), surrogate))
+    return (F.when(kind.isin("card", "ssn", "phone", "iban"), F.concat(flow, tail)).when(kind == "secret", F.concat(head(_SECRET_HEAD), surrogate))
             .when(kind == "person", person).when(kind == "email", email).otherwise(surrogate))
 
 
-def replacements(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def replacements(docs: DataFrame, text_col: str = "text", key: str = PUBLIC_KEY) -> DataFrame:
     """(mention, kind, replacement) of every distinct mention in the table."""
     found = F.explode(F.array_distinct(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(PATTERN), F.lit(0))))
     mentions = docs.where(has_mention(F.col(f"`{text_col}`"))).select(found.alias("mention")).groupBy("mention").agg(F.count("*").alias("n"))
@@ -230,14 +251,15 @@ def replacements(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     return joined.select("mention", "kind", text.alias("replacement"))
 
 
-def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY, details: str | None = None) -> DataFrame:
+def pseudonymize(docs: DataFrame, text_col: str = "text", key: str | None = None, details: str | None = None) -> DataFrame:
     """docs with every mention of personal data in text_col replaced; all other columns as they are.
 
+    The key is an argument or the session's secret_key(); who does not have it cannot recompute a replacement.
     details names a further column array<struct<kind, replacement>> with the replacements in order of place.
     Null and empty texts stay; rows with null ids, repeated rows and any other columns are kept as they are. Texts
     without mentions are not shuffled; the others are joined to the replacements of their text by its hash.
     """
-    table = settle(replacements(docs, text_col, key))
+    table = settle(replacements(docs, text_col, secret_key(docs.sparkSession) if key is None else key))
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     inner = inner.withColumn("text", F.col("row").getField(text_col).cast("string"))
     has = has_mention(F.col("text"))

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from ratelab.llm import surrogates
@@ -59,6 +60,34 @@ def test_short_secrets_run_out_of_room_and_stay_distinct(spark):
     assert len({r.surrogate for r in got}) == 1000 and not {r.surrogate for r in got} & {r.canonical for r in got}
 
 
+def test_numbers_whose_whole_room_is_taken_still_end(spark):
+    """All five-digit numbers are real forms, so no replacement of that length can be accepted."""
+    mentions = spark.range(100_000).select(F.lit("phone").alias("kind"), F.lpad(F.col("id").cast("string"), 5, "0").alias("canonical"), F.lit(None).cast("string").alias("gender"))
+    got = surrogates.assign(mentions).collect()
+    assert len({r.surrogate for r in got}) == 100_000 and not {r.surrogate for r in got} & {r.canonical for r in got}
+    assert max(len(r.surrogate) for r in got) <= 12
+
+
+def test_longer_replacements_keep_the_spelling(spark):
+    rows = [("phone", "+1 (456) 555-2186", "4565552186", "9876543210" + "777"), ("ssn", "123-45-6789", "123456789", "987654321" + "00"),
+            ("phone", "(456) 555-2186", "4565552186", "9876543210")]
+    df = spark.createDataFrame(rows, "kind string, mention string, canonical string, surrogate string")
+    got = [r[0] for r in df.select(surrogates._rendered(*[F.col(c) for c in ("kind", "mention", "canonical", "surrogate")])).collect()]
+    assert got == ["+1 (987) 654-3210777", "987-65-432100", "(987) 654-3210"]
+
+
+def test_the_session_holds_the_key(spark):
+    df = spark.createDataFrame([(1, TEXTS[2])], "doc_id long, text string")
+    with pytest.warns(UserWarning, match=surrogates.KEY_SETTING):
+        public = surrogates.pseudonymize(df).first().text
+    spark.conf.set(surrogates.KEY_SETTING, "a key of our own")
+    try:
+        own = surrogates.pseudonymize(df).first().text
+    finally:
+        spark.conf.unset(surrogates.KEY_SETTING)
+    assert own != public and own == surrogates.pseudonymize(df, key="a key of our own").first().text
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", "b"), (None, "x a.b@c.org", "c"), (None, "x a.b@c.org", "c"), (3, "plain text 12", "d"),
             (4, "word " * 200_000 + "a.b@c.org", "e"), (5, "a.b@c.org", "f")]
