@@ -174,11 +174,13 @@ def _ratios(col: np.ndarray, value: np.ndarray, toxic: np.ndarray, candidates: i
 
 def _value_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [model.values(t) for t in batch.column(0).to_pylist()]
-        used = [np.flatnonzero(v) for v in found]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([u.astype("<i4").tobytes() for u in used], pa.binary()),
-             pa.array([v[u].astype("<f4").tobytes() for v, u in zip(found, used)], pa.binary()), batch.column(1)], names=["at", "value", "toxic"])
+        at, value = [], []
+        for text in batch.column(0).to_pylist():
+            dense = model.values(text)
+            used = np.flatnonzero(dense)
+            at.append(used.astype("<i4").tobytes())
+            value.append(dense[used].astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(value, pa.binary()), batch.column(1)], names=["at", "value", "toxic"])
 
 
 def _fit(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, features: int, l1: float, rounds: int = 400) -> tuple[np.ndarray, float]:
