@@ -63,9 +63,10 @@ def student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
         _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b)
         + a * np.log(np.where(x > 0, x, 1.0)) + b * np.log(np.where(x < 1, 1.0 - x, 1.0))
     )
-    direct = front * _beta_fraction(a, b, x) / a
-    mirrored = 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
-    out = np.where(x < (a + 1.0) / (a + b + 2.0), direct, mirrored)
+    near = x < (a + 1.0) / (a + b + 2.0)  # either fraction is asked only where it converges
+    direct = front * _beta_fraction(a, b, np.where(near, x, 0.0)) / a
+    mirrored = 1.0 - front * _beta_fraction(b, a, np.where(near, 0.0, 1.0 - x)) / b
+    out = np.where(near, direct, mirrored)
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
 
 

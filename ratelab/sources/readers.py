@@ -97,9 +97,10 @@ def read_corpus(spark: SparkSession, path: str, category: str) -> DataFrame:
 def read_categories(spark: SparkSession, path: str, wanted: DataFrame, key: str = "category") -> DataFrame:
     """Recordings of the categories that a table names, known only when the query runs.
 
-    In a corpus laid out by category (write_corpus) the folders of other categories are left out at run time.
+    In a corpus laid out by category (write_corpus) the folders of other categories are left out at run time, where
+    the table is small enough for Spark to broadcast it.
     """
-    return spark.read.parquet(path).join(F.broadcast(wanted.select(key).distinct()), key, "left_semi")
+    return spark.read.parquet(path).join(wanted.select(key).distinct(), key, "left_semi")
 
 
 def read_clip_metadata(spark: SparkSession, path: str, category: str, script_type: str) -> DataFrame:
