@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,25 +133,19 @@ def wide_table(df: DataFrame, rows: Sequence[str], columns: str, value: str, lis
 def dense_grid(df: DataFrame, keys: Sequence[str], axes: Mapping[str, Sequence[str]]) -> DataFrame:
     """Every combination of the keys present and the listed axis values, null where df has no row.
 
-    Expects one row per cell, so a key gathers at most as many cells as the lists combine to.
+    Expects one row per cell; of a repeated cell the least row is taken, so a key keeps no more than the lists combine to.
     """
     values = [c for c in df.columns if c not in keys and c not in axes]
-    listed = F.lit(True)
-    for name, members in axes.items():
-        listed = listed & F.col(name).isin(list(members))
-    cell = F.struct(*axes, *values)
-    grid = df.groupBy(*keys).agg(F.collect_list(F.when(listed, cell)).alias("cells"))
-    for name, members in axes.items():
-        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(m) for m in members])))
-
-    def here(c: Column) -> Column:
-        same = F.lit(True)
-        for name in axes:
-            same = same & (c[name] == F.col(name))
-        return same
-
-    found = grid.withColumn("cell", F.get(F.filter("cells", here), F.lit(0)))
-    return found.select(*keys, *axes, *[F.col("cell")[v].alias(v) for v in values])
+    row = F.struct(F.lit(0).alias("_"), *values)
+    cells, best = [], []
+    for i, members in enumerate(product(*axes.values())):
+        here = F.lit(True)
+        for name, member in zip(axes, members):
+            here = here & (F.col(name) == member)
+        best.append(F.min(F.when(here, row)).alias(f"_cell{i}"))
+        cells.append(F.struct(*[F.lit(m).alias(n) for n, m in zip(axes, members)], F.col(f"_cell{i}").alias("_row")))
+    grid = df.groupBy(*keys).agg(*best).select(*keys, F.explode(F.array(*cells)).alias("_cell"))
+    return grid.select(*keys, *[F.col("_cell")[n].alias(n) for n in axes], *[F.col("_cell")["_row"][v].alias(v) for v in values])
 
 
 def value_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
