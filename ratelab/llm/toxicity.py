@@ -20,7 +20,7 @@ from ratelab.llm.frames import id_text, settle
 SIZES = (3, 4, 5, 6)
 SLOTS = 1 << 20
 FEATURES = 8192
-CANDIDATES = 32_768
+CANDIDATES = 16_384
 USUAL_SPREADS = 3  # an n-gram counts beyond so many root counts above the usual
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
@@ -103,6 +103,8 @@ def train(sample: DataFrame, features: int = FEATURES, smoothing: float = 1.0, l
         drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 32)) < int(rows / n * (1 << 32))
         sample = settle(sample.where(drawn))
         n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if max(features, CANDIDATES) > 1 << 16:
+        raise ValueError("candidates are numbered in 16 bits")
     place = np.full(SLOTS, -1, np.int32)
     if not toxic or toxic == n:
         share = (toxic + 0.5) / (n + 1)
@@ -114,8 +116,9 @@ def train(sample: DataFrame, features: int = FEATURES, smoothing: float = 1.0, l
     place[slot] = np.arange(len(slot))
     valued = Model(place, usual, np.zeros(0), 0.0)
     found = sample.mapInArrow(lambda batches: _value_rows(batches, valued), "at binary, value binary, toxic int").collect()
-    col, value = (np.concatenate([np.frombuffer(r[f], kind) for r in found]) for f, kind in (("at", "<i4"), ("value", "<f4")))
-    row, y = np.repeat(np.arange(n), [len(r["at"]) // 4 for r in found]), np.array([r.toxic for r in found], float)
+    col, value = (np.concatenate([np.frombuffer(r[f], kind) for r in found]) for f, kind in (("at", "<u2"), ("value", "<f2")))
+    value = value.astype(float)
+    row, y = np.repeat(np.arange(n), [len(r["at"]) // 2 for r in found]), np.array([r.toxic for r in found], float)
     ratio, gain = _ratios(col, value, y[row] == 1, len(slot), smoothing)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:features])
     new = np.full(len(slot), -1, np.int64)
@@ -178,8 +181,8 @@ def _value_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.
         for text in batch.column(0).to_pylist():
             dense = model.values(text)
             used = np.flatnonzero(dense)
-            at.append(used.astype("<i4").tobytes())
-            value.append(dense[used].astype("<f4").tobytes())
+            at.append(used.astype("<u2").tobytes())
+            value.append(dense[used].astype("<f2").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(value, pa.binary()), batch.column(1)], names=["at", "value", "toxic"])
 
 
