@@ -1,4 +1,4 @@
-import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ratelab.functions import signal
@@ -12,21 +12,29 @@ def test_mixdown_and_first_channel(values):
 
 
 def test_quantize_clips_and_truncates(values):
-    clip = [0.0, 0.5, 1.0, 1.5, -1.0, -2.0, 0.99999]
-    want = (np.array(clip, np.float32) * np.float32(32767)).clip(-32768, 32767).astype(np.int16).tolist()
-    assert values("array<float>", [clip], signal.quantize) == [want]
+    # a half is 16383.5 steps, 0.99999 is 32766.67; both ends of the range hold
+    clip = {0.0: 0, 0.5: 16383, 1.0: 32767, 1.5: 32767, -1.0: -32767, -2.0: -32768, 0.99999: 32766}
+    assert values("array<float>", [list(clip)], signal.quantize) == [list(clip.values())]
+
+
+def test_resample_by_hand(spark):
+    cases = [
+        ([0.0, 10.0, 20.0], 8000, [0.0, 6.0, 12.0, 18.0, 20.0, 20.0]),  # six places, 0.6 samples apart, held at the end
+        ([0.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0], 22050, [0.0, 3.5, 12.0, 40.0, 64.0]),  # five places, 1.75 apart
+        ([3.0, 1.0, 4.0, 7.0], 32000, [3.0, 7.0]), ([1.5], 8000, [1.5, 1.5]), ([9.0, 8.0], 44100, []),
+        ([5.0, 1.0, 5.0], 16000, [5.0, 1.0, 5.0]),  # already at the target rate
+    ]
+    df = spark.createDataFrame([(i, x, r) for i, (x, r, _) in enumerate(cases)], "i int, x array<double>, r int")
+    rows = df.orderBy("i").select(signal.resample(F.col("x"), F.col("r")).alias("y")).collect()
+    for (_, _, want), row in zip(cases, rows):
+        assert row.y == pytest.approx(want, abs=1e-12)
 
 
-def test_resample_equals_interpolation(spark):
-    rng = np.random.default_rng(1)
-    cases = [(rng.normal(size=n).tolist(), rate) for n, rate in [(441, 44100), (50, 8000), (7, 22050), (1, 8000), (5, 16000), (2, 44100)]]
-    df = spark.createDataFrame([(i, x, r) for i, (x, r) in enumerate(cases)], "i int, x array<double>, r int")
-    rows = df.orderBy("i").select(signal.resample(F.col("x"), F.col("r")).alias("y")).collect()
-    for (x, rate), row in zip(cases, rows):
-        n = int(len(x) * 16000 / rate)
-        want = x if rate == 16000 else np.interp(np.linspace(0, len(x), n), np.arange(len(x)), x)
-        assert len(row.y) == len(want)
-        np.testing.assert_allclose(row.y, want, atol=1e-12)
+def test_resample_of_a_ramp_tells_the_places(spark):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(440)), lambda k: k.cast("double")).alias("x"))
+    got = df.select(signal.resample(F.col("x"), F.lit(44100))).first()[0]
+    assert len(got) == 160  # 441 samples of 44,100 a second last as long as 160 of 16,000
+    assert got == pytest.approx([min(440.0, 441 * i / 159) for i in range(160)], abs=1e-9)
 
 
 def test_crop_past_the_end(spark):
