@@ -34,3 +34,36 @@ def test_stages_against_their_operators(spark):
         if name != "byte_level_bpe":
             assert now.columns == columns
     assert bpe.OUT_TOKENS and sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, kept["byte_level_bpe"].collect()))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, row int, text_hash long"
+
+
+def test_odd_rows_pass_every_stage(spark):
+    """Nulls, empty texts, repeated rows and clashing columns; what each stage keeps is stated in its docstring."""
+    folder = "/root/testdata/sf0.001"
+    long_text = "und die Zeit " * 30_000
+    rows = [(900_001, None, "en", "s", 0), (900_002, "", None, None, None), (None, "mail me at a.b@c.org today", "en", "s", 1), (None, "mail me at a.b@c.org today", "en", "s", 1),
+            (900_003, long_text, "de", "s", 2), (900_004, "one two three four five six", "en", "s", 3), (900_004, "one two three four five six", "en", "s", 3)]
+    now = spark.createDataFrame([(*r, 0.5, "f", 1, 7) for r in rows], SCHEMA)
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, folder).cache()
+        counts.append(now.count())
+        if name != "byte_level_bpe":
+            assert now.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+        if name == "near_duplicates":
+            # of the texts without words the smallest id stays, of equal rows one
+            assert sorted(map(str, (r.doc_id for r in now.collect()))) == ["900001", "900003", "900004", "None"]
+        if name == "personal_data":
+            texts = {r.doc_id: r.text for r in now.collect()}
+            assert texts[900_001] is None and texts[900_003] == long_text and "a.b@c.org" not in texts[None]
+    assert counts == [7, 4, 4, 4, 4]
+    assert {r.doc_id: r.n_tokens for r in now.collect()}[900_001] == 0
+
+
+def test_empty_table_passes_every_stage(spark):
+    now = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, "/root/testdata/sf0.001")
+        assert now.count() == 0
