@@ -21,7 +21,6 @@ from ratelab.operators.sizing import attach, fan_out
 from ratelab.session import existing_paths
 
 
-SCRIPT_BLOCKS = 16
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 KEY, KNOWN = "_progress_key", "_progress_reply"
 PROGRESS = T.StructType([T.StructField("key", T.StringType()), T.StructField("reply", T.StringType())])
@@ -223,13 +222,14 @@ def transcription_manifest(corpus: DataFrame, order: Sequence[str], root: str |
     return rows if root is None else rows.withColumn("full_path", F.concat_ws("/", F.lit(root), "file_path"))
 
 
-def voice_script_pairs(voices: DataFrame, scripts: DataFrame, blocks: int = SCRIPT_BLOCKS) -> DataFrame:
+def voice_script_pairs(voices: DataFrame, scripts: DataFrame, blocks: int | None = None) -> DataFrame:
     """Clip metadata for every voice and every script, all pairs by definition.
 
-    Scripts are dealt into blocks by their hash and every voice meets every block, so that the pairs of one
-    voice or script are spread over tasks and no table passes through the driver; a small table of scripts is
+    Scripts are dealt into blocks by their hash, as many as there are shuffle partitions unless stated, and every voice
+    meets every block, so that the pairs of one voice or script are spread over all tasks and no table passes through the driver; a small table of scripts is
     broadcast by its size in bytes. Equal scripts stay apart; without scripts there are no pairs.
     """
+    blocks = blocks or int(scripts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = scripts.withColumn("_block", F.pmod(F.hash(*[F.col(f"`{c}`") for c in scripts.columns]), F.lit(blocks)))
     every = voices.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return every.join(dealt, "_block").drop("_block")
