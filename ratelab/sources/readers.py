@@ -145,46 +145,69 @@ def _tags(name: Column, pattern: str, dimensions: Sequence[str]) -> dict[str, Co
     return {d: F.regexp_extract(name, pattern, i + 1) for i, d in enumerate(dimensions)}
 
 
-def _chosen(spark: SparkSession, paths: Sequence[str] | str, pattern: str, dimensions: Sequence[str], where: Column) -> list[str]:
-    """The files, of a list or a glob, whose names carry the wanted dimensions; no file is opened."""
-    if isinstance(paths, str):
-        listed = spark.read.format("binaryFile").load(paths).select(F.url_decode("path").alias("path"))
-    else:
-        listed = spark.createDataFrame([(p,) for p in paths], "path string")
+def _matched(spark: SparkSession, glob: str) -> list[str]:
+    """The files and folders that a glob names; a table kept as a folder is one of them, what lies in it is not."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    statuses = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    found = [s.getPath() for s in statuses]
+    found = [p.toString() for p in found if not p.getName().startswith(("_", "."))]
+    if not found:
+        raise FileNotFoundError(f"nothing matches {glob}")
+    return found
+
+
+def _chosen(spark: SparkSession, paths: Sequence[str], pattern: str, dimensions: Sequence[str], where: Column) -> list[str]:
+    """The files or folders of a list whose names carry the wanted dimensions; none is opened."""
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
     name = F.regexp_extract("path", r"([^/]+)/*$", 1)
     return [r["path"] for r in listed.withColumns(_tags(name, pattern, dimensions)).where(where).select("path").collect()]
 
 
+def _by_depth(spark: SparkSession, paths: Sequence[str]) -> list[tuple[Column, list[str]]]:
+    """Paths that lie equally deep, and for rows read from them the name of the path (file or folder) they come from."""
+    hadoop, deep = spark.sparkContext._jsc.hadoopConfiguration(), {}
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        full = target.getFileSystem(hadoop).makeQualified(target).toUri().getPath()
+        deep.setdefault(full.count("/") + 1, []).append(path)
+    place = F.split(F.regexp_replace("_metadata.file_path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")
+    return [(F.url_decode(F.replace(F.element_at(place, k), F.lit("+"), F.lit("%2B"))), mine) for k, mine in sorted(deep.items())]
+
+
 def read_family(spark: SparkSession, paths: Sequence[str] | str, schema: T.StructType, pattern: str,
                 dimensions: Sequence[str], line_breaks: bool = True, where: Column | None = None) -> tuple[DataFrame, list[str]]:
     """Result files whose names encode dimensions, stacked with those dimensions as columns.
 
-    The pattern has one group per dimension and is matched against the file name. All files are read
-    in one scan. Absent files are skipped and returned by name. A glob may stand for the list. A condition on the
-    dimensions is applied to the names before the scan, so other files are not opened.
+    The pattern has one group per dimension and is matched against the file name, or the folder's for a file kept as a
+    folder of parts. All files that lie equally deep are read in one scan. Absent files are skipped and returned by name.
+    A glob may stand for the list. A condition on the dimensions is applied to the names before the scan, so other files
+    are not opened.
     """
+    paths = _matched(spark, paths) if isinstance(paths, str) else paths
     if where is not None:
         paths = _chosen(spark, paths, pattern, dimensions, where)
-    if isinstance(paths, str):
-        found, missing = [paths], []
-    else:
-        found, missing = existing_paths(spark, paths)
+    found, missing = existing_paths(spark, paths)
     if not found:
         return spark.createDataFrame([], T.StructType(
             [f for f in schema.fields if not f.name.endswith("_1")]
             + [T.StructField(d, T.StringType()) for d in dimensions])), missing
-    name = F.url_decode(F.col("_metadata.file_name"))
-    return read_result_table(spark, found, schema, line_breaks).withColumns(_tags(name, pattern, dimensions)), missing
+    return stack(
+        read_result_table(spark, mine, schema, line_breaks).withColumns(_tags(name, pattern, dimensions)) for name, mine in _by_depth(spark, found)
+    ), missing
 
 
 def read_family_parquet(spark: SparkSession, paths: Sequence[str] | str, columns: Sequence[str], pattern: str,
                         dimensions: Sequence[str], where: Column | None = None) -> DataFrame:
     """The same over Parquet files that share the named columns; a glob may stand for the list. At least one file must be left."""
+    paths = _matched(spark, paths) if isinstance(paths, str) else paths
     if where is not None:
         paths = _chosen(spark, paths, pattern, dimensions, where)
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    tags = _tags(F.col("_metadata.file_name"), pattern, dimensions)
-    return spark.read.option("mergeSchema", "false").parquet(*paths).select(*columns, *[c.alias(d) for d, c in tags.items()])
+    if not paths:
+        raise FileNotFoundError("no file of the family is left")
+    return stack(
+        spark.read.option("mergeSchema", "false").parquet(*mine).select(*columns, *[c.alias(d) for d, c in _tags(name, pattern, dimensions).items()])
+        for name, mine in _by_depth(spark, paths)
+    )
 
 
 def file_listing(spark: SparkSession, glob: str) -> DataFrame:

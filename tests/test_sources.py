@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,6 +176,24 @@ def test_a_condition_on_names_keeps_files_closed(spark, tmp_path):
     assert none.count() == 0 and none.columns == ["v", "model", "style"]
 
 
+def test_family_members_kept_as_folders(spark, tmp_path):
+    schema = T.StructType([T.StructField("v", T.LongType())])
+    for at, name in enumerate(("x_ideal", "y+z_ideal", "x_critical")):
+        rows = spark.range(10 * at, 10 * at + 4).select(F.col("id").alias("v")).repartition(2)
+        rows.write.parquet(f"{tmp_path}/in/{name}.parquet")
+        writers.overwrite_table(rows, f"{tmp_path}/in/{name}.csv", ["v"])
+    pd.DataFrame({"v": [100]}).to_parquet(tmp_path / "in" / "file_ideal.parquet")
+    spark.range(200, 203).select(F.col("id").alias("v")).write.parquet(f"{tmp_path}/apart.parquet")
+    ideal, names = F.col("style") == "ideal", (r"^(.+)_(\w+)\.%s$", ["model", "style"])
+    want = sorted([(v, "x", "ideal") for v in range(4)] + [(v, "y+z", "ideal") for v in range(10, 14)])
+    csv, missing = readers.read_family(spark, f"{tmp_path}/in/*.csv", schema, names[0] % "csv", names[1], where=ideal)
+    assert sorted(map(tuple, csv.collect())) == want and missing == []
+    parquet = readers.read_family_parquet(spark, f"{tmp_path}/in/*.parquet", ["v"], names[0] % "parquet", names[1], where=ideal)
+    assert sorted(map(tuple, parquet.collect())) == [*want, (100, "file", "ideal")]
+    depths = readers.read_family_parquet(spark, f"{tmp_path}/{{in/file_*,apart.parquet}}", ["v"], r"^(\w+)", ["name"])
+    assert sorted(map(tuple, depths.collect())) == [(100, "file_ideal"), (200, "apart"), (201, "apart"), (202, "apart")]
+
+
 def test_many_paths_are_located_by_their_folders(spark, tmp_path):
     (tmp_path / "a b" / "deep" / "er").mkdir(parents=True)
     for name in ("x.wav", "deep/y.wav", "deep/er/z.wav"):
