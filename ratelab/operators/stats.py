@@ -14,6 +14,8 @@ from ratelab import constants as C
 from ratelab.operators.running import SLICE_ROWS, average_ranks
 from ratelab.session import settle
 
+MANY_DEGREES = 200
+
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function (modified Lentz), until it stands still.
@@ -54,9 +56,32 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - shift
 
 
+def _tail_integral(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided tail for MANY_DEGREES and more, as the density integrated beyond t.
+
+    Near one the steps of the continued fraction shrink as the root of the degrees grows, until rounding exceeds them. The
+    integral takes the same double exponential nodes for any number of degrees, over the length in which the density falls by e.
+    """
+    t, n = np.minimum(np.abs(t), 1e100)[:, None], df[:, None]
+    y, step = np.linspace(-4.2, 4.2, 120, retstep=True)
+    nodes = np.exp(y - np.exp(-y))
+    length = np.where(t > 1, (n + t * t) / ((n + 1) * np.maximum(t, 1)), 1.0)
+    beyond = nodes * length
+    fall = np.exp(-(n + 1) / 2 * np.log1p(beyond * (2 * t + beyond) / (n + t * t)))
+    area = (fall * nodes * (1 + np.exp(-y)) * step * length).sum(axis=1)
+    t, a = t[:, 0], df / 2
+    top = -1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5)  # of the log density at zero, beyond the normal one
+    return np.sqrt(2 / np.pi) * np.exp(top - (df + 1) / 2 * np.log1p(t * t / df)) * area
+
+
 def student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Two-sided tail probability of Student's t."""
     t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    many = df >= MANY_DEGREES
+    if many.any():
+        out = np.empty(df.shape)
+        out[many], out[~many] = _tail_integral(t[many], df[many]), student_tail(t[~many], df[~many])
+        return out
     a, b = df / 2.0, np.full_like(df, 0.5)
     x = df / (df + t * t)
     front = np.exp(

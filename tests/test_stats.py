@@ -38,6 +38,22 @@ def test_student_quantile_and_tail(df, quantile):
     assert stats.student_tail(np.array([quantile]), np.array([df]))[0] == pytest.approx(0.05, rel=1e-6)
 
 
+def test_student_quantile_of_very_many_degrees():
+    # Cornish-Fisher, exact to the places compared
+    z, df = 1.959963984540054, np.array([2e2, 3e4, 1.2e5, 179_998.0, 1e6, 1e9])
+    want = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
+    np.testing.assert_allclose(stats.student_quantile(0.975, df), want, rtol=1e-8)
+    np.testing.assert_allclose(stats.student_tail(want, df), 0.05, rtol=1e-7)
+    assert stats.student_tail(np.array([0.0, np.inf]), np.array([1e6, 1e6])).tolist() == pytest.approx([1.0, 0.0], abs=1e-14)
+
+
+def test_student_tail_is_one_curve():
+    t, at = np.array([0.01, 0.5, 1.96, 6.0, 40.0]), stats.MANY_DEGREES
+    ends = [stats.student_tail(t, np.full(5, df)) for df in (at - 1e-6, at)]
+    np.testing.assert_allclose(*ends, rtol=1e-4)
+    np.testing.assert_allclose(ends[0][:3], ends[1][:3], rtol=1e-8)
+
+
 def test_student_tail_closed_form():
     t = np.array([0.0, 0.3, 1.0, 8.0])
     np.testing.assert_allclose(stats.student_tail(t, np.full(4, 1.0)), 1 - 2 / np.pi * np.arctan(t), atol=1e-12)
