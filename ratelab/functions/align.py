@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ratelab.functions.binding import bind
 
 MAX_BLOCK_CELLS = 4_000_000
+NEAR_CELLS = 1 << 16  # costs of one step that stay in a core's cache
+MANY_PAIRS = 256
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -113,11 +115,47 @@ def _rolling(outer: list[np.ndarray], inner: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _by_frames(outer: list[np.ndarray], inner: list[np.ndarray]) -> np.ndarray:
+    """The same for many pairs of few frames: one step per two frames, over all pairs at once."""
+    left, left_len = _padded(outer)
+    right, right_len = _padded(inner)
+    width = right.shape[1]
+    frames = -right.transpose(1, 0, 2).reshape(-1, right.shape[2]).T
+    out = np.empty((len(outer), len(inner)))
+    row = np.full((width, len(outer), len(inner)), np.inf)
+    cost, best = np.empty((len(outer), width * len(inner))), np.empty((len(outer), len(inner)))
+    ends = [(j, np.flatnonzero(right_len == j + 1)) for j in np.unique(right_len - 1)]
+    for i in range(left.shape[1]):
+        going = int(np.searchsorted(-left_len, -i, "left"))  # longer than i
+        steps = np.matmul(left[:going, i], frames, out=cost[:going]).reshape(going, width, -1)
+        steps += 1.0
+        least, beside, slanting = best[:going], None, None
+        for j in range(width):
+            mine, step = row[j, :going], steps[:, j]
+            if beside is None:
+                entered = mine if i else None
+            elif i:
+                entered = np.minimum(np.minimum(mine, slanting, out=least), beside, out=least)
+            else:
+                entered = beside
+            slanting = mine.copy() if i else None
+            beside = mine
+            if entered is None:
+                mine[:] = step
+            else:
+                np.add(entered, step, out=mine)
+        for k in np.flatnonzero(left_len[:going] == i + 1):
+            for j, those in ends:
+                out[k, those] = row[j, k, those]
+    return out
+
+
 def dtw_block(targets: list[np.ndarray], references: list[np.ndarray]) -> np.ndarray:
     """Alignment cost of every target with every reference; NaN where a frame is all zero.
 
     Sequences of similar length are aligned together. The loop goes over the frames of the shorter side, the rows of
-    the cost table along the longer one; memory follows the frames of one bucket, not the product of two lengths.
+    the cost table along the longer one; memory follows the frames of one bucket, not the product of two lengths. Many pairs
+    of few frames go frame by frame over all pairs, others row by row.
     """
     targets, references = _unit_frames(targets), _unit_frames(references)
     out = np.empty((len(targets), len(references)))
@@ -125,10 +163,14 @@ def dtw_block(targets: list[np.ndarray], references: list[np.ndarray]) -> np.nda
         for r in _similar(references):
             swap = len(targets[t[0]]) > len(references[r[0]])
             outer, own, inner, other = (references, r, targets, t) if swap else (targets, t, references, r)
-            step = max(1, MAX_BLOCK_CELLS // (4 * len(other) * len(inner[other[0]])))
+            wide = len(other) * len(inner[other[0]])
+            step, warp = max(1, MAX_BLOCK_CELLS // (4 * wide)), _rolling
+            near = NEAR_CELLS // wide
+            if min(near, len(own)) * len(other) >= MANY_PAIRS:
+                step, warp = near, _by_frames
             for at in range(0, len(own), step):
                 part = own[at:at + step]
-                found = _rolling([outer[k] for k in part], [inner[k] for k in other])
+                found = warp([outer[k] for k in part], [inner[k] for k in other])
                 if swap:
                     out[np.ix_(other, part)] = found.T
                 else:

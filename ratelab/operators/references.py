@@ -4,7 +4,9 @@ Every target meets every reference utterance of the same word, so the work per w
 the two counts. The product is laid out as a grid of cells: targets are spread over one side and
 references over the other by hash, and a cell holds about TARGETS_PER_CELL x REFERENCES_PER_CELL
 utterances. A word with a third of all rows becomes many cells; each cell is one bounded task that
-returns one partial sum per target, so pairs never leave it.
+returns one partial sum per target, so pairs never leave it. An utterance is sent to every cell of its row
+or column, so beyond CELLS_PER_WORD cells the cells of a word grow instead of their number, as far as the
+utterances of one side (SIDE_TOKENS) and their values (SIDE_VALUES) stay bounded.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from ratelab.session import settle
 
 TARGETS_PER_CELL = 128
 REFERENCES_PER_CELL = 128
+CELLS_PER_WORD = 64
+SIDE_TOKENS = 4096
+SIDE_VALUES = 4 << 20
 
 
 def durations(timestamps: DataFrame) -> DataFrame:
@@ -84,30 +89,38 @@ def _cell_sums(keys: list[str], cell: pd.DataFrame) -> pd.DataFrame:
     return out.assign(cost=np.nansum(cost, axis=1), n=np.isfinite(cost).sum(axis=1))
 
 
-def _cell_grid(census: DataFrame, keys: Sequence[str], is_ref: Column, targets_per_cell: int,
+def _cell_grid(census: DataFrame, sized: DataFrame, keys: Sequence[str], is_ref: Column, targets_per_cell: int,
                references_per_cell: int) -> DataFrame:
-    """Rows and columns of cells per key, from token counts. Counts only steer balance."""
+    """Rows and columns of cells per key, from token counts and the mean number of values of a token. They only steer balance."""
     counts = census.groupBy(*keys).agg(F.count(F.lit(1)).alias("targets"), F.count(F.when(is_ref, 1)).alias("pool"))
-    return counts.where(F.col("pool") > 0).select(
-        *keys,
-        F.ceil(F.col("targets") / targets_per_cell).cast("int").alias("rows"),
-        F.ceil(F.col("pool") / references_per_cell).cast("int").alias("cols"),
-    )
+    values = sized.groupBy(*keys).agg(F.avg(F.size("emb") * F.size(F.get("emb", F.lit(0)))).alias("values"))
+    counts = counts.where(F.col("pool") > 0).join(values, list(keys), "left")
+    cells = F.ceil(F.col("targets") / targets_per_cell) * F.ceil(F.col("pool") / references_per_cell)
+    growth = F.greatest(F.lit(1.0), F.sqrt(cells / CELLS_PER_WORD))
+    room = F.least(F.lit(float(SIDE_TOKENS)), SIDE_VALUES / F.greatest(F.coalesce("values", F.lit(1.0)), F.lit(1.0)))
+
+    def parts(count: str, per_cell: int) -> Column:
+        return F.ceil(F.col(count) / F.greatest(F.lit(float(per_cell)), F.least(per_cell * growth, room))).cast("int")
+
+    return counts.select(*keys, parts("targets", targets_per_cell).alias("rows"), parts("pool", references_per_cell).alias("cols"))
 
 
 def left_out_distances(tokens: DataFrame, keys: Sequence[str] = ("word",), reference: str = C.REFERENCE_ACCENT,
                        targets_per_cell: int = TARGETS_PER_CELL, references_per_cell: int = REFERENCES_PER_CELL,
-                       census: DataFrame | None = None, census_keys: Sequence[str] | None = None) -> DataFrame:
+                       census: DataFrame | None = None, census_keys: Sequence[str] | None = None,
+                       sized: DataFrame | None = None) -> DataFrame:
     """Mean alignment cost of every token to the reference pool of its word, and the pool size.
 
     Expects one row per key and speaker_id with accent and emb (frames of floats). Words without a
     reference, and tokens whose pool is empty, give no row. A census is a lighter table of the same
-    tokens, keyed by some of the keys, to count instead of the tokens themselves.
+    tokens, keyed by some of the keys, to count instead of the tokens themselves; sized is a table with their emb, to
+    measure instead of them. The cell sizes are the least ones: cells of words with many grow.
     """
     keys = list(keys)
     is_ref = F.col("accent") == reference
     grid_keys = list(census_keys or keys)
-    grid = _cell_grid(tokens if census is None else census, grid_keys, is_ref, targets_per_cell, references_per_cell)
+    grid = _cell_grid(tokens if census is None else census, tokens if sized is None else sized, grid_keys, is_ref,
+                      targets_per_cell, references_per_cell)
 
     def place(side: str) -> Column:
         return F.pmod(F.xxhash64("speaker_id", F.lit(side)), F.col(side)).cast("int")
@@ -164,7 +177,7 @@ def word_distances(words: DataFrame, frames: DataFrame, keys: Sequence[str] = ("
         frames = frames.where(F.col("n_samples") >= C.MIN_SEGMENT_SAMPLES)
     embedded = frames.select(*token_keys, *[k for k in frame_keys if k not in keys], "emb")
     tokens = words.select(*token_keys, "accent").join(embedded, token_keys)
-    dist = left_out_distances(tokens, frame_keys, reference, census=words, census_keys=keys, **cells)
+    dist = left_out_distances(tokens, frame_keys, reference, census=words, census_keys=keys, sized=embedded, **cells)
     timed = dist.join(words.select(*token_keys, F.col("dur").alias("speaker_dur")), token_keys)
     norm = normalized_distance(F.col("distance"), F.col("speaker_dur"), F.col("am_dur"))
     return attach(timed, reference_durations(words, keys, reference), keys).select(

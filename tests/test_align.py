@@ -50,6 +50,19 @@ def test_block_equals_single_pairs(monkeypatch):
     np.testing.assert_allclose(dtw_block(targets, refs), want, atol=1e-9)
 
 
+def test_many_pairs_of_few_frames(monkeypatch):
+    targets, refs = sequences(21, [4, 3, 4, 1, 5, 2] * 8), sequences(22, [4, 2, 4, 3, 1] * 9)
+    targets[5][1], refs[7][0] = 0, 0
+    with np.errstate(invalid="ignore"):
+        want = np.array([[plain_dtw(a, b) for b in refs] for a in targets])
+    want[5], want[:, 7] = np.nan, np.nan
+    monkeypatch.setattr("ratelab.functions.align._rolling", None)  # every pair goes frame by frame
+    monkeypatch.setattr("ratelab.functions.align.MANY_PAIRS", 1)
+    for near in (1 << 16, 700):
+        monkeypatch.setattr("ratelab.functions.align.NEAR_CELLS", near)
+        np.testing.assert_allclose(dtw_block(targets, refs), want, atol=1e-9)
+
+
 def test_block_marks_zero_frames():
     targets, refs = sequences(5, [2, 3]), sequences(6, [2])
     targets[0][1] = 0

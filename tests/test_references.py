@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ratelab.operators import references
 from ratelab.plans import distances as D
@@ -39,6 +40,29 @@ def test_left_out_distances_however_the_cells_fall(spark, cells):
         assert got[k].distance == pytest.approx(d, abs=1e-6) and got[k].n_ref == n
 
 
+@pytest.mark.parametrize("cells, values", [(1, 1 << 22), (4, 1 << 22), (1, 20)])
+def test_cells_grow_without_changing_distances(spark, monkeypatch, cells, values):
+    monkeypatch.setattr(references, "CELLS_PER_WORD", cells)
+    monkeypatch.setattr(references, "SIDE_VALUES", values)
+    rows = utterances(5)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.word, r.speaker_id): r for r in references.left_out_distances(df, targets_per_cell=1, references_per_cell=1).collect()}
+    want = plain_left_out(rows)
+    assert got.keys() == want.keys()
+    assert all(got[k].distance == pytest.approx(d, abs=1e-6) and got[k].n_ref == n for k, (d, n) in want.items())
+
+
+def test_copies_of_a_token_are_bounded(spark):
+    frames = F.array_repeat(F.array_repeat(F.lit(1.0).cast("float"), 8), 4)
+    tokens = spark.range(3000).select(F.lit("w").alias("word"), F.when(F.col("id") % 5 == 0, "American").otherwise("a").alias("accent"), frames.alias("emb"))
+    grid = references._cell_grid(tokens, tokens, ["word"], F.col("accent") == "American", 32, 8).first()
+    assert 32 <= grid.rows * grid.cols <= 128  # 94 rows and 75 columns at the least sizes
+    long = tokens.withColumn("emb", F.array_repeat(F.array_repeat(F.lit(1.0).cast("float"), 768), 100))
+    grid = references._cell_grid(tokens, long, ["word"], F.col("accent") == "American", 32, 8).first()
+    side = references.SIDE_VALUES / 76_800
+    assert 3000 / grid.rows <= side and 600 / grid.cols <= side
+
+
 def test_undefined_pairs_do_not_count(spark):
     rows = [("w", "am0", "American", [[0.0, 0.0]]), ("w", "am1", "American", [[1.0, 0.0]]), ("w", "in0", "Indian", [[0.0, 2.0]])]
     got = {r.speaker_id: (r.distance, r.n_ref) for r in references.left_out_distances(spark.createDataFrame(rows, SCHEMA)).collect()}
