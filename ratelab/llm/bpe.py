@@ -12,7 +12,6 @@ import base64
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +61,8 @@ def _pack(*parts: bytes) -> bytes:
     return zstandard.ZstdCompressor(3).compress(struct.pack(f"<{len(parts) + 1}Q", len(parts), *map(len, parts)) + b"".join(parts))
 
 
-def _unpack(data: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
+def _unpack(data: bytes) -> list[memoryview]:
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(data))
     n = struct.unpack_from("<Q", raw)[0]
     ends = np.cumsum([8 * (n + 1), *struct.unpack_from(f"<{n}Q", raw, 8)]).tolist()
     return [raw[a:b] for a, b in zip(ends, ends[1:])]
@@ -95,25 +94,36 @@ class _Block:
     def rows(self, place: str) -> Iterator[tuple]:
         """(block, bucket, ids, payload): one row with the positions (bucket -1), one per bucket with its words.
 
-        Words are numbered anew by frequency class, bucket and spelling, which compresses well.
+        Words are numbered anew by frequency class, bucket and spelling, which compresses well. The block is used up:
+        what is not needed any more goes at once, since a worker's memory is greatest here.
         """
-        words = list(self.number)
+        data = [w.encode() for w in self.number]
+        self.number.clear()
+        docs = np.array([len(p) for p in self.parts])
         index = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint32)
-        count = np.bincount(index, minlength=len(words))
+        self.parts.clear()
+        count = np.bincount(index, minlength=len(data))
         rank = 32 - np.frexp(count.astype(float))[1]
-        data = [w.encode() for w in words]
         bucket = np.fromiter((xxhash.xxh32_intdigest(w) % self.buckets for w in data), np.int64, len(data))
-        order = sorted(range(len(words)), key=lambda i: (rank[i], bucket[i], data[i]))
-        renumber = np.empty(len(words), np.uint32)
-        renumber[order] = np.arange(len(words), dtype=np.uint32)
+        order = np.array(sorted(range(len(data)), key=data.__getitem__), np.int64)
+        order = order[np.argsort((rank * self.buckets + bucket)[order], kind="stable")]
+        renumber = np.empty(len(data), np.uint32)
+        renumber[order] = np.arange(len(data), dtype=np.uint32)
         sizes = np.zeros((33, self.buckets), np.uint32)
         np.add.at(sizes, (rank, bucket), 1)
-        payload = _pack(sizes.tobytes(), _planes(np.array([len(p) for p in self.parts])), _planes(renumber[index]))
+        np.take(renumber, index, out=index, mode="clip")
+        planes = _planes(index)
+        del index, renumber
+        payload = _pack(sizes.tobytes(), _planes(docs), planes)
+        del planes
         block = f"{place}-{xxhash.xxh64_hexdigest(payload)}"
         yield block, -1, self.ids, payload
-        for b, mine in groupby(sorted(order, key=lambda i: bucket[i]), key=lambda i: bucket[i]):
-            chosen = [data[i] for i in mine]
-            yield block, int(b), None, _pack(_planes(np.array([len(w) for w in chosen])), b"".join(chosen))
+        order = order[np.argsort(bucket[order], kind="stable")]
+        ends = np.cumsum(np.bincount(bucket, minlength=self.buckets)).tolist()
+        for b, (start, end) in enumerate(zip([0, *ends], ends)):
+            if end > start:
+                chosen = [data[i] for i in order[start:end].tolist()]
+                yield block, b, None, _pack(_planes(np.array([len(w) for w in chosen])), b"".join(chosen))
 
 
 def _to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -159,7 +169,7 @@ def _encoded(requests: DataFrame, vocabulary, schema: str) -> DataFrame:
 
 def _answer(request: bytes, known: dict[bytes, list[int]], encode) -> bytes:
     lengths, data = _unpack(request)
-    ends = np.cumsum(_from_planes(lengths)).tolist()
+    ends, data = np.cumsum(_from_planes(lengths)).tolist(), bytes(data)
     out = []
     for a, b in zip([0, *ends], ends):
         word = data[a:b]
@@ -181,7 +191,8 @@ def _assemble(positions: tuple, answers: dict[int, bytes]) -> Iterator[tuple[lis
     ids, payload = positions
     raw_sizes, raw_docs, raw_index = _unpack(payload)
     sizes = np.frombuffer(raw_sizes, np.uint32).reshape(33, -1).astype(np.int64)
-    docs, index = _from_planes(raw_docs).astype(np.int64), _from_planes(raw_index).astype(np.int64)
+    docs, index = _from_planes(raw_docs).astype(np.int64), _from_planes(raw_index)
+    del raw_index  # the numbers of a block's words once, not twice
     if set(np.flatnonzero(sizes.sum(axis=0)).tolist()) != set(answers):
         raise RuntimeError("a block of documents came back without all its words")
     # a word's number counts by frequency class, then bucket; an answer holds a bucket's words class by class

@@ -53,3 +53,19 @@ def test_query_against_the_library(spark, vocabulary):
         ids = encoder.encode_ordinary(r.text or "")
         want.append((r.doc_id, len(ids), sha(" ".join(map(str, ids)).encode()), sha((r.text or "").encode())))
     assert sorted(map(tuple, queries.QUERIES["op3_byte_level_bpe"](spark, folder).collect())) == sorted(want)
+
+
+def test_a_block_is_used_up_while_it_is_written():
+    import tracemalloc
+
+    words = [f"w{i}" for i in range(100_000)]
+    block = bpe._Block(12)
+    tracemalloc.start()
+    for at in range(0, 2_000_000, 100_000):
+        block.add(at, "", lambda _: words)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    rows = list(block.rows("0"))
+    more = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert len(rows) == 13 and more < 25 << 20
