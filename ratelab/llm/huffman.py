@@ -6,6 +6,7 @@ import numpy as np
 
 LIMIT = 20
 BLOCK = 1024
+RUN = 1 << 16  # symbols that are encoded at once
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -50,23 +51,26 @@ def codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def encode(symbols: np.ndarray, lengths: np.ndarray, code: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
-    """The bits, and the bit offset at which every block of symbols starts."""
-    length = lengths[symbols].astype(np.int64)
-    end = np.cumsum(length)
-    at = end - length
-    total = int(end[-1]) if len(end) else 0
+    """The bits, and the bit offset at which every block of symbols starts.
+
+    Symbols go by runs that a processor's cache holds; a run adds its bits to the words, which start as zeros.
+    """
+    length = lengths[symbols]
+    total = int(length.sum(dtype=np.int64))
     words = np.zeros(total // 64 + 2, np.uint64)
-    if total:
-        place, inside = at >> 6, at & 63
-        value = code[symbols]
-        over = inside + length - 64  # bits that spill into the next word
-        fits = over <= 0
-        high = np.where(fits, value << np.where(fits, -over, 0).astype(np.uint64), value >> np.where(fits, 0, over).astype(np.uint64))
+    high = code << (64 - np.maximum(lengths, 1).astype(np.uint64))  # the codes at the left end of a word
+    offsets, bits = [np.zeros(0, np.int64)], 0
+    for i in range(0, len(symbols), RUN):
+        end = np.cumsum(length[i:i + RUN], dtype=np.int64) + bits
+        at = end - length[i:i + RUN]
+        offsets.append(at[-i % block::block])
+        bits = int(end[-1])
+        place, inside, value = at >> 6, (at & 63).astype(np.uint64), high[symbols[i:i + RUN]]
         first = np.flatnonzero(np.diff(place, prepend=-1))
-        words[place[first]] = np.add.reduceat(high, first)
-        spill = np.flatnonzero(~fits)
-        words[place[spill] + 1] += value[spill] << (64 - over[spill]).astype(np.uint64)
-    return words.astype(">u8").tobytes()[: (total + 7) // 8], at[::block].astype(np.uint64)
+        words[place[first]] += np.add.reduceat(value >> inside, first)
+        last = np.append(first[1:], len(at)) - 1  # only a word's last code spills into the next word
+        words[place[last] + 1] += value[last] << (63 - inside[last]) << np.uint64(1)
+    return words.astype(">u8").tobytes()[: (total + 7) // 8], np.concatenate(offsets).astype(np.uint64)
 
 
 def decode(bits: bytes, offsets: np.ndarray, n: int, lengths: np.ndarray, block: int = BLOCK) -> np.ndarray:
@@ -76,18 +80,18 @@ def decode(bits: bytes, offsets: np.ndarray, n: int, lengths: np.ndarray, block:
     longest = int(lengths.max(initial=1))
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
+    symbol = order.astype(np.uint32)
     repeat = 1 << (longest - lengths[order].astype(np.int64))
-    symbol = np.zeros(1 << longest, np.uint32)
-    symbol[: int(repeat.sum())] = np.repeat(order, repeat)
-    step = lengths.astype(np.int64)[symbol]
+    found = np.zeros(1 << longest, np.uint32)  # place in the order and length of the code that these bits start with
+    found[: int(repeat.sum())] = np.repeat(np.arange(len(order)) << 5 | lengths[order], repeat)
     raw = np.frombuffer(bits + b"\0" * 8, np.uint8).astype(np.uint32)
     window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
     at = offsets.astype(np.int64)
-    out = np.zeros((len(at), block), np.uint32)
-    for i in range(min(block, n)):
+    out = np.zeros((min(block, n), len(at)), np.uint32)
+    for i in range(len(out)):
         if i == (n - 1) % block + 1:
             at = at[:-1]  # the last block ends here
-        look = (window[at >> 3] << (at & 7).astype(np.uint32)) >> np.uint32(32 - longest)
-        out[: len(at), i] = symbol[look]
-        at = at + step[look]
-    return out.ravel()[:n]
+        look = found[(window[at >> 3] << (at & 7).astype(np.uint32)) >> np.uint32(32 - longest)]
+        out[i, : len(at)] = symbol[look >> 5]
+        at = at + (look & 31)
+    return out.T.ravel()[:n]

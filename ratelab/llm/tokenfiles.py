@@ -9,12 +9,13 @@ from __future__ import annotations
 import gc
 import json
 import os
-import re
 import struct
+import unicodedata
 import uuid
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,69 @@ from ratelab.llm.frames import file_system, id_text, partitions, read_files, set
 END_ID = 0
 FILE_TOKENS = 1 << 22
 CACHE_BYTES = 80 << 20  # of one of two generations of remembered pieces
+ENTRY_BYTES = 180  # of a remembered piece besides its letters and ids
+GROUP_BYTES = 4 << 20  # of texts that are cut and put together at once
 ROWS_AT_ONCE = 1000
 MAGIC = b"TOKHUF1\n"
 
 
-_SPACES, _CUT, _BEFORE_BLANK = re.compile(r"\s\s"), "\x01", re.compile(r"(?<=\S)(?= )")
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_OTHER, _BLANK, _BREAK, _WORD, _MARK, _QUOTE, _WIDE = range(7)
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _kind_of_bytes() -> bytes:
+    """What each byte is in a text; those of several-byte characters count as wide."""
+    kinds = dict.fromkeys(map(ord, _MARKS), _MARK) | {0x20: _BLANK, 0x0A: _BREAK, 0x27: _QUOTE}
+    return bytes(kinds.get(b, _WIDE if b > 127 else _WORD if chr(b).isalnum() else _OTHER) for b in range(256))
+
+
+def _starts() -> bytes:
+    """Where pieces start by two kinds side by side (7 times the first and the second): 1 between them, 2 before the first, 3 both.
+
+    White space starts behind what is none. The last of white space before what is none starts a pre-token, whatever white
+    space is before it: a blank one with what follows, a line break one of its own. Words and marks part, but for the
+    letters behind a single quote.
+    """
+    solid, out = (_WORD, _MARK, _QUOTE, _WIDE), bytearray(256)
+    for kind in solid:
+        out[7 * kind + _BLANK] = out[7 * kind + _BREAK] = 1
+        out[7 * _BLANK + kind], out[7 * _BREAK + kind] = 2, 3
+    for first, second in ((_WORD, _MARK), (_WORD, _QUOTE), (_MARK, _WORD)):
+        out[7 * first + second] = 1
+    return bytes(out)
+
+
+@cache
+def _kind_of_wide() -> np.ndarray:
+    """The kind of the characters below U+10000: letters and digits are those that have been so since Unicode 3.2."""
+    def kind(char: str) -> int:
+        old, now = unicodedata.ucd_3_2_0.category(char)[0], unicodedata.category(char)[0]
+        return _OTHER if char.isspace() or old == "Z" else _WORD if old == now and now in "LN" else _WIDE
+
+    return np.array([kind(chr(i)) for i in range(1 << 16)], np.uint8)
+
+
+_KIND_OF_BYTES, _STARTS = _kind_of_bytes(), _starts()
+
+
+def _cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """At which bytes of these texts, one behind the other up to their ends, a piece starts."""
+    starts = np.zeros(len(data) + 1, np.uint8)
+    if len(data):
+        kind = np.frombuffer(bytearray(data).translate(_KIND_OF_BYTES), np.uint8)
+        lead = np.flatnonzero((data >= 0xC2) & (data < 0xF0))
+        if len(lead):
+            one, two, three = (data.take(lead + i, mode="clip").astype(np.int32) for i in range(3))
+            long = one >= 0xE0  # of three bytes
+            wide = _kind_of_wide()[np.where(long, (one & 0x0F) << 12 | (two & 0x3F) << 6 | three & 0x3F, (one & 0x1F) << 6 | two & 0x3F)]
+            kind[lead] = kind[lead + 1] = wide
+            kind[lead[long] + 2] = wide[long]
+        found = np.frombuffer(bytearray(kind[:-1] * np.uint8(7) + kind[1:]).translate(_STARTS), np.uint8)
+        found[ends[(ends > 0) & (ends < len(data))] - 1] = 0  # the next text tells nothing about this one
+        starts[1:-1] = found & 1
+        starts[:-2] |= found >> 1
+    starts[ends] = 1
+    return starts
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,10 +105,11 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Encode texts with the tokenizers library, remembering the ids of pieces between blanks.
 
-    No pre-token of the usual byte-level pattern runs across the place between a non-blank and a blank, or on
-    either side of a line break between non-blanks, so a text may be cut there; nor from a letter or digit into marks
-    behind it. A vocabulary with another way of cutting gets whole texts. Two generations of remembered pieces keep
-    the memory bounded.
+    No pre-token of the usual byte-level pattern runs across the place between a non-blank and a blank or a line
+    break, or between a line break and a non-blank, so a text may be cut there; nor between a letter or digit and
+    marks. A vocabulary with another way of cutting gets whole texts. Texts are cut and their ids put together in
+    groups, as whole arrays; only a group's distinct pieces are looked up one by one. Two generations of remembered
+    pieces keep the memory bounded.
     """
 
     def __init__(self, path: str, room: int = CACHE_BYTES):
@@ -66,59 +125,62 @@ class Encoder:
         self.cuts = (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space"), told["normalizer"], model["type"], model.get("ignore_merges", False),
                      model.get("dropout")) == ("ByteLevel", True, False, None, "BPE", False, None)
 
-    def pieces(self, text: str) -> list[str]:
-        if not self.cuts:
-            return [text]
-        if _CUT in text or _SPACES.search(text):
-            return _BEFORE_BLANK.split(text)
-        return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split(_CUT)
-
-    def _keep(self, piece: str, ids: bytes) -> None:
-        self.new[piece] = ids
-        self.held += 180 + len(piece) + len(ids)
-
-    def learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces: plain words by the model alone, words with marks behind them as word and marks, others as texts."""
-        missing, marked, old = [], [], self.old
-        for p in pieces.difference(self.new):
-            if p in old:
-                self._keep(p, old[p])
-            elif self.cuts and p[-1:] in _MARKS and (stem := p.rstrip(_MARKS))[-1:].isalnum():
-                marked.append((p, stem, p[len(stem):]))
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, remembered or learned: plain words by the model alone, others as texts."""
+        new, old, held = self.new, self.old, 0
+        out, plain, others = list(map(new.get, pieces)), [], []
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            p = pieces[i]
+            ids = out[i] = old.get(p)
+            if ids is None:
+                (plain if self.cuts and p.lstrip(" ").isalpha() and p[1:2] != " " else others).append(i)
             else:
-                missing.append(p)
-        if marked:
-            self.learn({m[1] for m in marked} | {m[2] for m in marked})
-        for p, stem, marks in marked:
-            self._keep(p, self.new[stem] + self.new[marks])
-        plain, others = [], []
-        for p in missing:
-            (plain if self.cuts and p.lstrip(" ").isalpha() and p[1:2] != " " else others).append(p)
+                new[p] = ids
+                held += ENTRY_BYTES + len(p) + len(ids)
         tokenize = self.tokenizer.model.tokenize
-        for p, word in zip(plain, "\n".join(plain).encode().decode("latin-1").translate(self.letter_of | {10: "\n"}).split("\n")):
-            self._keep(p, array("I", [t.id for t in tokenize(word)]).tobytes())
-        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            self._keep(p, array("I", e.ids).tobytes())
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        words = "\n".join([pieces[i] for i in plain]).encode().decode("latin-1").translate(self.letter_of | {10: "\n"}).split("\n")
+        learned = [array("I", [t.id for t in tokenize(word)]).tobytes() for word in words[:len(plain)]]
+        learned += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False)]
+        for i, ids in zip(plain + others, learned):
+            new[pieces[i]] = out[i] = ids
+            held += ENTRY_BYTES + len(pieces[i]) + len(ids)
+        self.held += held
+        return out
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(texts):
+            return
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)
         at = 0
         while at < len(texts):
-            group, chars = [], 0
-            while at < len(texts) and (not group or chars < 1 << 20):
-                group.append(self.pieces(texts[at]))
-                chars += len(texts[at])
-                at += 1
-            if self.held > self.room:
-                self.old, self.new, self.held = self.new, {}, 0
-            gc.disable()  # nothing here refers to itself, and looking for what does takes a third of the time
-            try:
-                self.learn(set(chain.from_iterable(group)))
-                known = self.new.__getitem__
-                joined = [b"".join(map(known, pieces)) for pieces in group]
-            finally:
-                gc.enable()
-            yield from (np.frombuffer(ids, "<u4") for ids in joined)
+            upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP_BYTES, "right")) - 1)
+            yield from self._encode_group(data[offsets[at]:offsets[upto]], offsets[at:upto + 1] - offsets[at])
+            at = upto
+
+    def _encode_group(self, data: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+        if self.held > self.room:
+            self.old, self.new, self.held = self.new, {}, 0
+        bounds = np.flatnonzero(_cuts(data, ends)).astype(np.int32) if self.cuts else np.unique(ends).astype(np.int32)
+        first = np.searchsorted(bounds, ends)
+        pieces = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        del bounds
+        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        gc.disable()  # nothing here refers to itself, and looking for what does takes a third of the time
+        try:
+            known = self.known(words)
+        finally:
+            gc.enable()
+        length = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        flat, start, index = np.frombuffer(b"".join(known), "<u4"), np.cumsum(length) - length, pieces.indices.to_numpy()
+        lengths = length[index]
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.repeat(start[index] - before[:-1], lengths) + np.arange(before[-1])]
+        of_text = before[first].tolist()
+        yield from (ids[a:b] for a, b in zip(of_text, of_text[1:]))
 
 
 _SQUEEZE, _OPEN = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
@@ -156,9 +218,10 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             _ENCODERS[path] = Encoder(path)
         total, end = np.zeros(end_id + 1, np.int64), np.array([end_id], np.uint32)
         for batch in batches:
+            encoded = _ENCODERS[path].encode(batch.column(1).fill_null(""))
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                ids = [np.concatenate([i, end]) for i in _ENCODERS[path].encode([t or "" for t in part.column(1).to_pylist()])]
+                ids = [np.concatenate([i, end]) for i in islice(encoded, ROWS_AT_ONCE)]
                 found = np.bincount(np.concatenate(ids), minlength=len(total))
                 found[: len(total)] += total
                 total = found

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,6 +48,18 @@ def test_code_round_trip(symbols, block):
         assert huffman.decode(bits, offsets[1:2], min(block, len(symbols) - block), lengths, block).tolist() == symbols[block:2 * block].tolist()
 
 
+@pytest.mark.parametrize("n", [0, 1, 6, 7, 8, 21, 500])
+def test_runs_of_symbols_give_the_bits_of_the_whole(monkeypatch, n):
+    symbols = np.random.default_rng(n).geometric(0.2, n).clip(max=60).astype(np.uint32)
+    lengths = huffman.code_lengths(np.bincount(symbols, minlength=61))
+    code = huffman.codes(lengths)
+    want = "".join(f"{code[s]:0{lengths[s]}b}" for s in symbols.tolist())
+    monkeypatch.setattr(huffman, "RUN", 7)
+    bits, offsets = huffman.encode(symbols, lengths, code, 4)
+    assert "".join(f"{b:08b}" for b in bits) == want.ljust(-(-len(want) // 8) * 8, "0")
+    assert offsets.tolist() == [int(lengths[symbols[:i]].sum()) for i in range(0, n, 4)]
+
+
 ENCODER = tokenfiles.Encoder(PATH)
 
 
@@ -118,3 +131,29 @@ def test_ids_are_counted_while_they_are_made(spark, tokenizer):
     want = np.bincount([i for r in docs.collect() for i in [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]])
     assert counts.tolist() == want.tolist()
     assert tokenfiles.count_ids(tokenfiles.tokenize(docs.limit(0), PATH)).tolist() == []
+
+
+@settings(deadline=None, max_examples=500)
+@given(st.lists(st.text(alphabet="ab1Zé×½ß語かж́ \n\n\t\r\v\x1c\x85\xa0 ᠎ ​ 　'\"#.,_”😀\x01\x00", max_size=25), max_size=5))
+def test_odd_characters_beside_cuts_keep_the_ids(texts):
+    got = [i.tolist() for i in SMALL.encode(texts)]
+    assert got == [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_remembered_without_the_marks_and_breaks_around_them():
+    """Each distinct word is learned once, whatever stands beside it, so memory and time go with the words."""
+    texts = [f"été{a}word{a} été  été" for a in ["", ".", ",", "#!?", "\n", "\n\n", "\n  "]]
+    encoder = tokenfiles.Encoder(PATH)
+    got = [i.tolist() for i in encoder.encode(texts)]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(encoder.new) == {"étéword", "été", " été", "word", ".", ",", "#!?", " word", " ", "\n", "\n\n", "\n ", "\n  "}
+
+
+def test_groups_of_texts_are_cut_apart(monkeypatch):
+    """Texts that share a group, or are longer than one, do not touch each other; nulls in front and behind are empty."""
+    texts = ["", "x\n", "y", "x\n\n", "", "'s it", "don", "'t", "long text " * 9, " ", " b", ""]
+    want = [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (1, 7, 40, 1 << 20):
+        monkeypatch.setattr(tokenfiles, "GROUP_BYTES", size)
+        assert [i.tolist() for i in tokenfiles.Encoder(PATH).encode(texts)] == want
+        assert [i.tolist() for i in tokenfiles.Encoder(PATH).encode(pa.array(["left out", *texts]).slice(1))] == want
