@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelab.llm.frames import id_text, partitions
+from ratelab.llm.frames import give_back, giving_back, id_text, partitions
 
 BLOCK_CHARS = 16 << 20
 OUT_TOKENS = 1 << 20
@@ -58,7 +59,9 @@ class Vocabulary:
 
 
 def _pack(*parts: bytes) -> bytes:
-    return zstandard.ZstdCompressor(3).compress(struct.pack(f"<{len(parts) + 1}Q", len(parts), *map(len, parts)) + b"".join(parts))
+    parts = (struct.pack(f"<{len(parts) + 1}Q", len(parts), *map(len, parts)), *parts)
+    packed = zstandard.ZstdCompressor(3).compressobj(size=sum(map(len, parts)))  # part by part, without a copy of all in one
+    return b"".join([*map(packed.compress, parts), packed.flush()])
 
 
 def _unpack(data: bytes) -> list[memoryview]:
@@ -70,7 +73,7 @@ def _unpack(data: bytes) -> list[memoryview]:
 
 def _planes(values: np.ndarray) -> bytes:
     """32-bit numbers, all lowest bytes first, then the next ones."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return values.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _from_planes(data: bytes) -> np.ndarray:
@@ -141,10 +144,11 @@ def _pretokens(rows: DataFrame, pattern: str, buckets: int, block_chars: int, ki
                 if block.chars >= block_chars:
                     yield _to_batch(list(block.rows(f"{part}-{n}")), schema)
                     block, n = _Block(buckets), n + 1
+                    give_back()
         if block.ids:
             yield _to_batch(list(block.rows(f"{part}-{n}")), schema)
 
-    return rows.mapInArrow(run, f"block string, bucket int, ids array<{kind}>, payload binary")
+    return rows.mapInArrow(giving_back(run), f"block string, bucket int, ids array<{kind}>, payload binary")
 
 
 def _encoded(requests: DataFrame, vocabulary, schema: str) -> DataFrame:
@@ -164,7 +168,7 @@ def _encoded(requests: DataFrame, vocabulary, schema: str) -> DataFrame:
             columns = [*batch.columns[:3], pa.array(payloads, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return requests.mapInArrow(run, schema)
+    return requests.mapInArrow(giving_back(run), schema)
 
 
 def _answer(request: bytes, known: dict[bytes, list[int]], encode) -> bytes:
@@ -192,7 +196,7 @@ def _assemble(positions: tuple, answers: dict[int, bytes]) -> Iterator[tuple[lis
     raw_sizes, raw_docs, raw_index = _unpack(payload)
     sizes = np.frombuffer(raw_sizes, np.uint32).reshape(33, -1).astype(np.int64)
     docs, index = _from_planes(raw_docs).astype(np.int64), _from_planes(raw_index)
-    del raw_index  # the numbers of a block's words once, not twice
+    del raw_sizes, raw_docs, raw_index  # views of one buffer, which goes with the last: the numbers of a block's words once, not twice
     if set(np.flatnonzero(sizes.sum(axis=0)).tolist()) != set(answers):
         raise RuntimeError("a block of documents came back without all its words")
     # a word's number counts by frequency class, then bucket; an answer holds a bucket's words class by class
@@ -261,7 +265,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
         if now is not None:
             yield from out(positions, answers)
 
-    return back.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return back.mapInArrow(giving_back(run), f"doc_id {kind}, ids array<int>")
+
+
+def _pieces(batch: pa.RecordBatch, ids: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, cut where the lists of its column ids come to OUT_TOKENS // 4 numbers; a longer list is alone."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, before + OUT_TOKENS // 4, "right")))
+        yield batch.slice(at, upto - at)
+        at, before = upto, int(ends[upto - 1])
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -288,10 +302,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out
             found = values.to_numpy(zero_copy_only=False)
             if len(found) and (found.min() < 0 or found.max() >= len(length) or (length[found] < 0).any()):
                 return None
-            return b"".join(_gather(start[f], length[f], flat).tobytes() for f in np.array_split(found, 1 + len(found) // OUT_TOKENS))
+            return b"".join(_gather(start[f], length[f], flat).tobytes() for f in np.array_split(found, 1 + len(found) // (OUT_TOKENS // 8)))
 
         for batch in batches:
-            out = pa.array([one(x) for x in batch.column(at)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, out_col])
+            for rows in _pieces(batch, at):
+                out = pa.array([one(x) for x in rows.column(at)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rows.columns, out], names=[*rows.schema.names, out_col])
 
-    return encoded.mapInArrow(run, f"{schema}, `{out_col}` binary")
+    return encoded.mapInArrow(giving_back(run), f"{schema}, `{out_col}` binary")

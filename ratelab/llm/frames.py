@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ratelab.session import ensure_checkpoint_dir, settle
 
-__all__ = ["file_system", "id_text", "in_arrow", "partitions", "read_files", "settle", "shared_folder"]
+__all__ = ["file_system", "give_back", "giving_back", "id_text", "in_arrow", "partitions", "read_files", "settle", "shared_folder"]
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -33,6 +35,27 @@ def in_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Hand memory that Arrow's and the C library's allocators hold for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives back freed memory at the end of each task.
+
+    Spark keeps a task's Python worker for later tasks; what its allocators hold stays beside the workers of the next stage.
+    """
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
 def file_system(folder: str) -> tuple[pa_fs.FileSystem, str]:
     """The file system and path of a folder, for tasks that write files of their own."""
     uri = re.sub(r"^file:/(?!/)", "file:///", folder)

@@ -1,8 +1,10 @@
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from ratelab.llm import bpe, queries
+from ratelab.llm import bpe, frames, queries
 
 ODD = [None, "", " ", "a  b\n\n  c\x1c d e  ", "don't we'll 12 34!!  \t x", "é日本語 \U0001f600 é", "x" * 3000, "the word " * 30_000]
 
@@ -69,3 +71,62 @@ def test_a_block_is_used_up_while_it_is_written():
     more = tracemalloc.get_traced_memory()[1] - held
     tracemalloc.stop()
     assert len(rows) == 13 and more < 25 << 20
+
+
+def test_parts_are_packed_without_a_copy_of_all():
+    import tracemalloc
+
+    data = bytes(20 << 20)
+    tracemalloc.start()
+    packed = bpe._pack(b"", data, b"end")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(map(bytes, bpe._unpack(packed))) == [b"", data, b"end"] and most < 5 << 20
+
+
+def test_a_block_is_put_together_beside_one_copy_of_its_positions():
+    import tracemalloc
+
+    n = 4_000_000
+    sizes = np.zeros((33, 1), np.uint32)
+    sizes[0] = 1
+    payload = bpe._pack(sizes.tobytes(), bpe._planes(np.full(n // 1000, 1000)), bpe._planes(np.zeros(n, np.uint32)))
+    answer = bpe._pack(bpe._planes(np.array([1])), bpe._planes(np.array([7])))
+    tracemalloc.start()
+    pieces = bpe._assemble((list(range(n // 1000)), payload), {0: answer})
+    total = sum(len(next(pieces)[2]) for _ in range(2))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 4 * n + (12 << 20) and total + sum(len(tokens) for _, _, tokens in pieces) == n
+
+
+def test_long_batches_are_decoded_in_pieces(vocabulary):
+    most = bpe.OUT_TOKENS // 4
+    lists = [None, [], *[[64] * (most // 10)] * 25, [65] * (2 * most), [], None, [-1], [66]]
+    batch = pa.record_batch([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.int32()))], ["n", "ids"])
+
+    class Rows:
+        columns, schema = ["n", "ids"], []
+
+        class sparkSession:
+            class sparkContext:
+                broadcast = staticmethod(lambda table: type("Shared", (), {"value": table}))
+
+        def mapInArrow(self, run, _):
+            return [*run(iter([batch.slice(1), batch, batch.slice(0, 0)]))]
+
+    done = bpe.decode(Rows(), vocabulary)
+    table = vocabulary.token_bytes()
+    want = [(i, x, None if x is None or x == [-1] else b"".join(table[t] for t in x)) for i, x in enumerate(lists)]
+    assert [tuple(r.values()) for b in done for r in b.to_pylist()] == want[1:] + want
+    assert all(b.num_rows == 1 or sum(len(x or []) for x in b.column(1).to_pylist()) <= most for b in done)
+
+
+def test_workers_give_memory_back_after_their_last_batch(monkeypatch):
+    seen = []
+    monkeypatch.setattr(frames, "give_back", lambda: seen.append("back"))
+    for batch in frames.giving_back(lambda batches: (b + 1 for b in batches))(iter([1, 2])):
+        seen.append(batch)
+    assert seen == [2, 3, "back"]
+    monkeypatch.undo()
+    frames.give_back()
